@@ -47,14 +47,15 @@ def covered_dates(spark: SparkSession, start: str, end: str) -> DataFrame:
     return spark.range(0, days, 1, 1).select(F.date_add(first, F.col("id").cast("int")).alias("date"))
 
 
-def mark_closed(dates: DataFrame, closed: DataFrame) -> DataFrame:
-    """Range join of dates with closed ranges (first_date, last_date)."""
-    hit = dates.join(
-        F.broadcast(closed), F.col("date").between(F.col("first_date"), F.col("last_date")), "left_semi"
-    ).select("date", F.lit(True).alias("in_closed_range"))
-    return dates.join(hit, "date", "left").withColumn(
-        "in_closed_range", F.coalesce("in_closed_range", F.lit(False))
-    )
+def mark_closed_rows(rows: DataFrame, closed: DataFrame, date="date") -> DataFrame:
+    """Flag table rows whose date falls in a closed range.
+
+    The few ranges are expanded to dates first, which turns the range join
+    into a broadcast hash join on the date.
+    """
+    days = closed.select(F.explode(F.sequence("first_date", "last_date")).alias("_closed_day")).distinct()
+    out = rows.join(F.broadcast(days), F.col(date) == F.col("_closed_day"), "left")
+    return out.withColumn("in_closed_range", F.col("_closed_day").isNotNull()).drop("_closed_day")
 
 
 def build_calendar(spark, version, start, end, closed_ranges=(), open_weekdays=(0, 1, 2, 3, 4)) -> DataFrame:
@@ -67,7 +68,7 @@ def build_calendar(spark, version, start, end, closed_ranges=(), open_weekdays=(
         [(dt.date.fromisoformat(a), dt.date.fromisoformat(b)) for a, b in closed_ranges],
         "first_date date, last_date date",
     )
-    marked = mark_closed(dates, ranges)
+    marked = mark_closed_rows(dates, ranges)
     open_day = F.weekday("date").isin(list(open_weekdays)) & ~F.col("in_closed_range")
     return marked.select(F.lit(version).alias("calendar_version"), "date", open_day.alias("is_trading"))
 
@@ -77,13 +78,15 @@ def announced_calendar(spark) -> DataFrame:
 
 
 def sessions_asof(calendar: DataFrame) -> DataFrame:
-    """Per date, the last session at or before it and strictly before it."""
+    """Per date, the last session at or before it, strictly before it, and the
+    number of sessions up to it."""
     session = F.when(F.col("is_trading"), F.col("date"))
     upto = Window.partitionBy("calendar_version").orderBy("date")
     return calendar.select(
         "*",
         F.max(session).over(upto.rowsBetween(Window.unboundedPreceding, 0)).alias("session_at_or_before"),
         F.max(session).over(upto.rowsBetween(Window.unboundedPreceding, -1)).alias("session_before"),
+        F.count(session).over(upto.rowsBetween(Window.unboundedPreceding, 0)).alias("session_number"),
     )
 
 

@@ -17,8 +17,8 @@ def _win(expr, n_first, n_last):
 
 
 @query("e01_moving_average", f"""WITH {DAILY}
-SELECT symbol, date, CASE WHEN count(*) OVER (w20) = 20 THEN round(avg(close) OVER (w20), 4) END AS ma20,
-  CASE WHEN count(*) OVER (w60) = 60 THEN round(avg(close) OVER (w60), 4) END AS ma60
+SELECT symbol, date, CASE WHEN count(*) OVER w20 = 20 THEN round(avg(close) OVER w20, 4) END AS ma20,
+  CASE WHEN count(*) OVER w60 = 60 THEN round(avg(close) OVER w60, 4) END AS ma60
 FROM bars WINDOW w20 AS ({W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW),
   w60 AS ({W} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)""")
 def moving_average(spark, d):
