@@ -38,3 +38,22 @@ def with_halo(df: DataFrame, reach: int, block: int = 4096, index="row_index") -
     tail = (F.col(index) % block) >= block - reach
     ids = F.when(tail, F.array(own, own + 1)).otherwise(F.array(own))
     return df.withColumn("block_id", F.explode(ids)).withColumn("is_halo", F.col("block_id") > own)
+
+
+def with_previous_value(df: DataFrame, keys, order, value: str, coarse: Column, name: str) -> DataFrame:
+    """Value of the preceding row of a series, one (key, coarse) bucket at a time.
+
+    The first row of a bucket takes the last value of the preceding bucket,
+    from a summary with one row per bucket.
+    """
+    keys = list(keys)
+    df = df.withColumn("_coarse", coarse)
+    last = df.groupBy(*keys, "_coarse").agg(F.max_by(value, order).alias("_last"))
+    across = Window.partitionBy(*keys).orderBy("_coarse")
+    carry = last.select(*keys, "_coarse", F.lag("_last").over(across).alias("_carry"))
+    inside = Window.partitionBy(*keys, "_coarse").orderBy(order)
+    first = F.row_number().over(inside) == 1
+    df = df.withColumn("_first", first).withColumn("_lag", F.lag(value).over(inside))
+    df = df.join(carry, [*keys, "_coarse"])
+    picked = F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag"))
+    return df.withColumn(name, picked).drop("_coarse", "_first", "_lag", "_carry")

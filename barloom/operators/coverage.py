@@ -4,6 +4,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import SERIES
 from ..functions.clock import instant_at, shanghai_date, shanghai_minute
+from .blocks import with_previous_value
+from .paging import integer_bucket
 
 
 def with_session_number(df: DataFrame, dim: DataFrame, date="date") -> DataFrame:
@@ -36,6 +38,20 @@ def missing_sessions(bars: DataFrame, dim: DataFrame, keys=SERIES, date="date")
     return numbers.join(F.broadcast(sessions), "session_number").select(*keys, "missing_date")
 
 
+def _order_faults(bars: DataFrame, keys, date, row) -> DataFrame:
+    """Repeated and backward dates between neighbours in input order."""
+    if row not in bars.columns:
+        days = bars.groupBy(*keys, date).agg(F.count("*").alias("_n"))
+        return days.groupBy(*keys).agg(
+            F.sum(F.col("_n") - 1).alias("duplicate_timestamps"), F.lit(0).cast("long").alias("non_monotonic_timestamps")
+        )
+    pairs = with_previous_value(bars.select(*keys, date, row), keys, row, date, integer_bucket(row), "_before")
+    return pairs.groupBy(*keys).agg(
+        F.count_if(F.col(date) == F.col("_before")).alias("duplicate_timestamps"),
+        F.count_if(F.col(date) < F.col("_before")).alias("non_monotonic_timestamps"),
+    )
+
+
 def coverage(bars: DataFrame, dim: DataFrame, keys=SERIES, date="date", row="row_no") -> DataFrame:
     """One row per series: counts, range, order faults and calendar gaps.
 
@@ -43,26 +59,22 @@ def coverage(bars: DataFrame, dim: DataFrame, keys=SERIES, date="date", row="row
     number the input order is the date order.
     """
     keys = list(keys)
-    order = row if row in bars.columns else date
-    before = F.lag(date).over(Window.partitionBy(*keys).orderBy(order))
-    df = bars.withColumn("_before", before)
     side = dim.select(F.col("date").alias("_d"), F.lit(True).alias("_covered"))
-    df = df.join(F.broadcast(side), F.col(date) == F.col("_d"), "left").drop("_d")
+    df = bars.join(F.broadcast(side), F.col(date) == F.col("_d"), "left").drop("_d")
+    unknown = F.count_if(F.col("_covered").isNull())
     base = df.groupBy(*keys).agg(
         F.count("*").alias("rows"),
         F.min(date).alias("first_date"),
         F.max(date).alias("last_date"),
-        F.count_if(F.col(date) == F.col("_before")).alias("duplicate_timestamps"),
-        F.count_if(F.col(date) < F.col("_before")).alias("non_monotonic_timestamps"),
-        F.count_if(F.col("_covered").isNull()).alias("calendar_unverified_rows"),
-        (F.count_if(F.col("_covered").isNull() & F.col(date).isNotNull()) > 0).alias("calendar_gaps_unverified"),
+        unknown.alias("calendar_unverified_rows"),
+        (unknown > 0).alias("calendar_gaps_unverified"),
     )
     gaps = missing_sessions(bars, dim, keys, date).groupBy(*keys).agg(
         F.count("*").alias("missing_sessions"),
         F.min("missing_date").alias("first_missing"),
         F.max("missing_date").alias("last_missing"),
     )
-    out = base.join(gaps, keys, "left")
+    out = base.join(_order_faults(bars, keys, date, row), keys).join(gaps, keys, "left")
     return out.withColumn("missing_sessions", F.coalesce("missing_sessions", F.lit(0)))
 
 

@@ -7,6 +7,7 @@ link between days goes through a one-row-per-day summary.
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.clock import shanghai_date, shanghai_minute
+from .blocks import with_previous_value
 
 MINUTE_US = 60_000_000
 # Fixed value: a minute point is complete once its label is 63 s old.
@@ -45,22 +46,11 @@ def complete_points(points: DataFrame, cutoff, ts="source_timestamp") -> DataFra
     return points.withColumn("complete", done)
 
 
-def with_previous(points: DataFrame, keys, ts="source_timestamp", name="previous_timestamp") -> DataFrame:
-    """Preceding timestamp of a series, found day by day."""
-    keys = list(keys)
-    df = points.withColumn("_day", shanghai_date(F.col(ts)))
-    days = df.groupBy(*keys, "_day").agg(F.max(ts).alias("_last"))
-    days = days.select(*keys, "_day", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_day")).alias("_carry"))
-    inside = Window.partitionBy(*keys, "_day").orderBy(ts)
-    df = df.withColumn("_lag", F.lag(ts).over(inside)).join(days, [*keys, "_day"])
-    return df.withColumn(name, F.coalesce("_lag", "_carry")).drop("_lag", "_carry", "_day")
-
-
 def gap_audit(points: DataFrame, expected_minutes=1, keys=("symbol", "source", "interval", "adjustment"),
               ts="source_timestamp") -> DataFrame:
     """Gaps longer than the expected step, with their kind and missing minutes."""
     keys = list(keys)
-    df = with_previous(points, keys, ts)
+    df = with_previous_value(points, keys, ts, ts, shanghai_date(F.col(ts)), "previous_timestamp")
     a, b = F.col("previous_timestamp"), F.col(ts)
     elapsed = _minutes(b, a)
     lunch = shanghai_minute(a).between(*LUNCH_FROM) & shanghai_minute(b).between(*LUNCH_TO)

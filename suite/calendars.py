@@ -287,7 +287,7 @@ def missing_daily(spark, d):
 
 
 @query("j07_coverage", f"""WITH {SESSION}, {WKCAL}, {_MISSING}
-SELECT b.symbol, b.rows, b.first_date, b.last_date, 0 AS duplicate_timestamps, 0 AS non_monotonic_timestamps,
+SELECT b.symbol, b.rows, b.first_date, b.last_date, CAST(0 AS BIGINT) AS duplicate_timestamps, CAST(0 AS BIGINT) AS non_monotonic_timestamps,
   b.unverified AS calendar_unverified_rows, b.unverified > 0 AS calendar_gaps_unverified, coalesce(m.n, 0) AS missing_sessions,
   m.f AS first_missing, m.l AS last_missing
 FROM (SELECT symbol, count(*) AS rows, min(bars.date) AS first_date, max(bars.date) AS last_date,
