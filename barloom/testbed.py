@@ -4,10 +4,12 @@ Used by the query suite and benchmarks only. Prices are cut to whole cents
 with floor, which every engine computes alike.
 """
 
+import weakref
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .functions.clock import instant_at
-from .operators.calendar import build_calendar
+from .operators.calendar import build_calendar, calendar_dimension
 
 # Synthetic calendars for the years the tables cover.
 DAILY_CALENDAR = {
@@ -36,8 +38,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_PLANS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def calendar(spark, spec) -> DataFrame:
-    return build_calendar(spark, **spec)
+    return _kept(spark, spec["version"], lambda: build_calendar(spark, **spec))
+
+
+def dimension(spark, spec) -> DataFrame:
+    """Calendar dimension of a testbed calendar; the lazy plan is built once."""
+    return _kept(spark, "dim " + spec["version"], lambda: calendar_dimension(calendar(spark, spec)))
+
+
+def _kept(spark, key, build):
+    plans = _PLANS.setdefault(spark, {})
+    if key not in plans:
+        plans[key] = build()
+    return plans[key]
 
 
 def cents(price: Column) -> Column:

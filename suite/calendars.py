@@ -32,7 +32,7 @@ dims AS (SELECT *, session_before AS prev_end_1d,
 
 
 def _dim(spark, spec=T.DAILY_CALENDAR):
-    return C.calendar_dimension(T.calendar(spark, spec))
+    return T.dimension(spark, spec)
 
 
 def _cutoff(text=CUTOFF):
@@ -275,13 +275,13 @@ missing AS (SELECT r.symbol, cal.date AS missing_date FROM r JOIN cal ON cal.is_
 
 @query("c15_missing_sessions", f"WITH {SESSION}, {WKCAL}, {_MISSING} SELECT symbol, missing_date FROM missing")
 def missing_sessions(spark, d):
-    dim = C.sessions_asof(T.calendar(spark, T.WEEKLY_CALENDAR))
+    dim = _dim(spark, T.WEEKLY_CALENDAR)
     return V.missing_sessions(T.session_bars(spark, d), dim, keys=["symbol"]).select("symbol", "missing_date")
 
 
 @query("g03_missing_sessions_daily", f"WITH {DAILY}, {CAL}, {_MISSING} SELECT symbol, count(*) AS missing_sessions FROM missing GROUP BY 1")
 def missing_daily(spark, d):
-    dim = C.sessions_asof(T.calendar(spark, T.DAILY_CALENDAR))
+    dim = _dim(spark)
     out = V.missing_sessions(T.daily_bars(spark, d), dim, keys=["symbol"])
     return out.groupBy("symbol").agg(F.count("*").alias("missing_sessions"))
 
@@ -294,7 +294,7 @@ FROM (SELECT symbol, count(*) AS rows, min(bars.date) AS first_date, max(bars.da
     count(CASE WHEN cal.date IS NULL THEN 1 END) AS unverified FROM bars LEFT JOIN cal ON bars.date = cal.date GROUP BY symbol) b
 LEFT JOIN (SELECT symbol, count(*) AS n, min(missing_date) AS f, max(missing_date) AS l FROM missing GROUP BY symbol) m USING (symbol)""")
 def coverage(spark, d):
-    dim = C.sessions_asof(T.calendar(spark, T.WEEKLY_CALENDAR))
+    dim = _dim(spark, T.WEEKLY_CALENDAR)
     return V.coverage(T.session_bars(spark, d), dim, keys=["symbol"])
 
 
@@ -305,7 +305,7 @@ SELECT o_custkey, count(*) AS rows, min(day) AS first_date, max(day) AS last_dat
 FROM r GROUP BY 1""")
 def series_coverage(spark, d):
     o = T.table(spark, d, "orders").select("o_custkey", F.to_date("o_orderdate").alias("date"), F.col("o_orderkey").alias("row_no"))
-    dim = C.sessions_asof(T.calendar(spark, T.DAILY_CALENDAR))
+    dim = _dim(spark)
     out = V.coverage(o, dim, keys=["o_custkey"])
     return out.select("o_custkey", "rows", "first_date", "last_date", "duplicate_timestamps", "non_monotonic_timestamps")
 

@@ -32,7 +32,7 @@ RULE = {
 
 
 def _dim(spark):
-    return C.calendar_dimension(T.calendar(spark, T.WEEKLY_CALENDAR))
+    return T.dimension(spark, T.WEEKLY_CALENDAR)
 
 
 def _as_of():
