@@ -41,27 +41,16 @@ def instant_at(date: Column, seconds_of_day) -> Column:
 
 def strict_date(c: Column) -> Column:
     """`yyyy-MM-dd` or `yyyyMMdd` text to a date; NULL when it does not round-trip."""
-    iso = F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(c, "yyyy-MM-dd"))
-    compact = F.when(c.rlike(r"^\d{8}$"), F.try_to_date(c, "yyyyMMdd"))
-    return F.coalesce(iso, compact)
+    shaped = c.rlike(r"^(\d{4}-\d{2}-\d{2}|\d{8})$")
+    return F.when(shaped, F.try_to_date(F.replace(c, F.lit("-"), F.lit("")), "yyyyMMdd"))
 
 
 def parse_stamp(c: Column) -> Column:
     """14-digit, spaced or T-separated provider clock text to an instant at +08:00."""
-    compact = F.regexp_replace(
-        c, r"^(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})$", "$1-$2-$3 $4:$5:$6"
-    )
-    plain = F.regexp_replace(F.regexp_replace(compact, r"\+08:00$", ""), "T", " ")
-    whole = F.when(plain.rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$"), F.concat(plain, F.lit(":00"))).otherwise(plain)
-    day = strict_date(F.substring(whole, 1, 10))
-    hh = F.substring(whole, 12, 2).try_cast("int")
-    mm = F.substring(whole, 15, 2).try_cast("int")
-    ss = F.substring(whole, 18, 2).try_cast("int")
-    ok = (
-        whole.rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$")
-        & day.isNotNull() & (hh < 24) & (mm < 60) & (ss < 60)
-    )
-    return F.when(ok, instant_at(day, hh * 3600 + mm * 60 + ss))
+    shaped = c.rlike(r"^(\d{14}|\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2})?(\+08:00)?)$")
+    digits = F.regexp_replace(c, r"\+08:00$|[^0-9]", "")
+    whole = F.concat(F.rpad(digits, 14, "0"), F.lit("+0800"))
+    return F.when(shaped, F.try_to_timestamp(whole, F.lit("yyyyMMddHHmmssxx")))
 
 
 def period_start(date: Column, interval: str) -> Column:

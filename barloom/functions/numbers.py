@@ -2,7 +2,8 @@
 
 from pyspark.sql import Column, functions as F
 
-_DECIMAL_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+# Decimal text short enough that it cannot overflow a double.
+_DECIMAL_TEXT = r"^\s*[+-]?(\d{1,100}\.?\d*|\.\d+)([eE][+-]?\d{1,2})?\s*$"
 
 
 def finite(c: Column) -> Column:
@@ -12,9 +13,7 @@ def finite(c: Column) -> Column:
 
 def strict_number(c: Column) -> Column:
     """Text to double; NULL for blank, malformed or non-finite text."""
-    text = F.trim(c)
-    value = F.when(text.rlike(_DECIMAL_TEXT), text.try_cast("double"))
-    return F.when(finite(value), value)
+    return F.when(c.rlike(_DECIMAL_TEXT), c.try_cast("double"))
 
 
 def age_seconds(now: Column, then: Column) -> Column:

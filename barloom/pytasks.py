@@ -33,3 +33,60 @@ def entity_text(value):
 
 def gb18030_text(value):
     return None if value is None else bytes(value).decode("gb18030", errors="replace")
+
+
+def _first_hit(steps, r, c, t):
+    """Index of the first step that a state (r, c, t) would accept."""
+    for i, (sr, sc, st, _) in enumerate(steps):
+        if sr >= r and sc >= c and st >= t:
+            return i
+    return None
+
+
+def reduce_block(rows):
+    """Reduce arrivals (r, c, t, arrival) to steps, newest processed first.
+
+    A step says: a state at or below (r, c, t) ends this block as `outcome`.
+    Rows hidden by an earlier row, or leading straight into the next step,
+    are dropped.
+    """
+    steps = []
+    for r, c, t, arrival in reversed(rows):
+        hit = _first_hit(steps, r, c, t)
+        outcome = steps[hit][3] if hit is not None else (r, c, t, arrival)
+        if hit == 0:
+            continue
+        steps = [s for s in steps if not (s[0] <= r and s[1] <= c and s[2] <= t)]
+        steps.insert(0, (r, c, t, outcome))
+    return steps
+
+
+def block_steps(keys):
+    import pandas as pd
+
+    def reduce(pdf):
+        pdf = pdf.sort_values("arrival_no")
+        steps = reduce_block(list(zip(pdf.r, pdf.c, pdf.t, pdf.arrival_no)))
+        head = pdf.iloc[0]
+        out = [[*(head[k] for k in keys), head.block, i, r, c, t, *o] for i, (r, c, t, o) in enumerate(steps)]
+        names = [*keys, "block", "step", "r", "c", "t", "out_r", "out_c", "out_t", "arrival_no"]
+        return pd.DataFrame(out, columns=names)
+
+    return reduce
+
+
+def apply_steps(keys):
+    import pandas as pd
+
+    def fold(pdf):
+        lowest = -(2**63)
+        state = (lowest, lowest, lowest, None)
+        for _, block in pdf.sort_values(["block", "step"]).groupby("block", sort=True):
+            steps = list(zip(block.r, block.c, block.t, zip(block.out_r, block.out_c, block.out_t, block.arrival_no)))
+            hit = _first_hit(steps, *state[:3])
+            if hit is not None:
+                state = steps[hit][3]
+        head = pdf.iloc[0]
+        return pd.DataFrame([[*(head[k] for k in keys), state[3]]], columns=[*keys, "arrival_no"])
+
+    return fold

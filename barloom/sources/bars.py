@@ -7,7 +7,7 @@ from ..functions.numbers import strict_number
 from ..functions.symbols import lot_factor
 from ..operators.calendar import with_bar_completion
 from ..operators.intraday import POINT_DELAY_SECONDS
-from .captures import first_code, split_valid
+from .captures import first_code, settled, split_valid
 
 # Fixed value: a minute bar is complete once its end label is 3 s old.
 BAR_DELAY_SECONDS = 3
@@ -54,7 +54,7 @@ def decode_minute_bars(raw: DataFrame, cutoff: Column, limit: int, include_incom
         (r["amount"].isNotNull() & strict_number(r["amount"]).isNull()).alias("bad_amount"),
         (F.unix_micros(parse_stamp(r["day"])) + BAR_DELAY_SECONDS * 1_000_000 < late).alias("complete"),
     ))
-    df = df.withColumn("_bars", bars)
+    df = settled(df.withColumn("_bars", bars).drop("body"))
     codes = F.transform("_bars", lambda b: F.when(b["source_timestamp"].isNull(), "INVALID_SOURCE_TIMESTAMP")
                         .when(b["bad_amount"], "INVALID_SOURCE_NUMBER")
                         .when(value_code(b).isNotNull(), value_code(b)).when(b["amount_cny"] < 0, "INVALID_BAR_VALUES"))
@@ -66,7 +66,7 @@ def decode_minute_bars(raw: DataFrame, cutoff: Column, limit: int, include_incom
     df = df.withColumn("reason", F.when(F.col("_rows").isNull(), "INVALID_SINA_BAR_WRAPPER")
                        .when(first_code(codes).isNotNull(), first_code(codes))
                        .when(F.size("_kept") == 0, "NO_COMPLETED_BARS"))
-    good, bad = split_valid(df.drop("_rows", "_bars", "body", "_cut"))
+    good, bad = split_valid(df.drop("_rows", "_bars", "_cut"))
     keep = [c for c in good.columns if c not in ("_kept", "excluded")]
     out = good.select(*keep, "excluded", F.inline("_kept")).drop("bad_amount")
     return out, bad.drop("_kept")
@@ -106,7 +106,7 @@ def decode_history(raw, provider, dim, cutoff, interval="1d", adjustment="none",
     A capture fails as a whole on a bad or repeated date, a future date, a
     known closed day or broken values. Unadjusted sina days also need low > 0.
     """
-    df = _daily_rows(raw, provider, interval, adjustment).withColumn("_today", shanghai_date(cutoff))
+    df = settled(_daily_rows(raw, provider, interval, adjustment)).withColumn("_today", shanghai_date(cutoff))
     days = F.transform("_bars", lambda b: b["date"])
     positive = provider == "sina"
     today = F.col("_today")
@@ -161,7 +161,7 @@ def decode_intraday(raw: DataFrame, cutoff: Column, include_incomplete=False):
             (amount.isNotNull() & strict_number(amount).isNull()).alias("bad_amount"),
         )
 
-    df = df.withColumn("_pts", F.transform("_rows", parse))
+    df = settled(df.withColumn("_pts", F.transform("_rows", parse)).drop("body"))
     points = F.col("_pts")
     cut = F.unix_micros(cutoff)
 
@@ -185,7 +185,7 @@ def decode_intraday(raw: DataFrame, cutoff: Column, include_incomplete=False):
                   "INVALID_INTRADAY_ORDER_OR_VALUES").alias("code"),
         )
 
-    df = df.withColumn("_all", F.transform(points, enrich))
+    df = settled(df.withColumn("_all", F.transform(points, enrich)))
     code = first_code(F.transform("_all", lambda p: p["code"]))
     kept = F.col("_all") if include_incomplete else F.filter("_all", lambda p: p["complete"])
     df = df.withColumn("_kept", kept).withColumn("reason", F.coalesce(
@@ -193,7 +193,7 @@ def decode_intraday(raw: DataFrame, cutoff: Column, include_incomplete=False):
         .when(F.col("session_date").isNull() | F.col("_rows").isNull(), "INTRADAY_UNAVAILABLE")
         .when(F.col("_factor").isNull(), "TENCENT_VOLUME_UNIT_UNVERIFIED_FOR_CDR"),
         code, F.when(F.size(kept) == 0, "NO_COMPLETED_INTRADAY_POINTS")))
-    good, bad = split_valid(df.drop("_doc", "_rows", "_factor", "_pts", "_all", "body"))
+    good, bad = split_valid(df.drop("_doc", "_rows", "_factor", "_pts", "_all"))
     keep = [c for c in good.columns if c != "_kept"]
     return good.select(*keep, F.inline("_kept")).drop("code"), bad.drop("_kept")
 
@@ -223,6 +223,7 @@ def decode_auction(raw: DataFrame, as_of: Column):
         ((blank(f, 5).isNotNull() & strict_number(blank(f, 5)).isNull())
          | (blank(f, 6).isNotNull() & strict_number(blank(f, 6)).isNull())).alias("bad_text"),
     )))
+    df = settled(df.drop("body"))
     pts, limit = F.col("_pts"), F.unix_micros(as_of) + 5_000_000
 
     def code(p, i):
@@ -241,7 +242,7 @@ def decode_auction(raw: DataFrame, as_of: Column):
                | d["code"].isNull() | d["trends"].isNull(), "AUCTION_OBSERVATIONS_UNAVAILABLE")
         .when(d["market"] != market, "AUCTION_MARKET_MISMATCH"),
         first_code(F.transform(pts, code))))
-    good, bad = split_valid(df.drop("_doc", "body"))
+    good, bad = split_valid(df.drop("_doc"))
     keep = [c for c in good.columns if c != "_pts"]
     out = good.select(*keep, F.inline("_pts")).drop("bad_text")
     out = out.withColumn("session_date", shanghai_date(F.col("source_timestamp")))

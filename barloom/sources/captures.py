@@ -35,8 +35,18 @@ def decode_text(body: Column, charset="utf-8") -> Column:
     return F.when(plain, ascii_text).otherwise(decoded(body))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Same rows, with every column computed exactly once.
+
+    Spark copies a column's expression into filters pushed below it, which
+    would decode an array once per element. A one-row generator stops that.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def split_valid(df: DataFrame, reason="reason"):
     """(valid rows without the reason column, quarantined rows with it)."""
+    df = settled(df)
     return df.filter(F.col(reason).isNull()).drop(reason), df.filter(F.col(reason).isNotNull())
 
 
