@@ -124,6 +124,7 @@ def fold_auction(arrivals: DataFrame, keys=("symbol", "session_date"), bits=12)
         F.unix_micros("source_timestamp").alias("t"), integer_bucket("arrival_no", bits).alias("block"))
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
     head = ", ".join(f"`{k}` {types[k]}" for k in keys)
-    steps = rows.groupBy(*keys, "block").applyInPandas(
+    steps = rows.repartition(*keys, "block").sortWithinPartitions(*keys, "block", "arrival_no").mapInPandas(
         pytasks.block_steps(keys), f"{head}, block long, step long, r long, c long, t long, out_r long, out_c long, out_t long, arrival_no long")
-    return steps.groupBy(*keys).applyInPandas(pytasks.apply_steps(keys), f"{head}, arrival_no long")
+    return steps.repartition(*keys).sortWithinPartitions(*keys, "block", "step").mapInPandas(
+        pytasks.apply_steps(keys), f"{head}, arrival_no long")

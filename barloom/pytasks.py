@@ -61,32 +61,95 @@ def reduce_block(rows):
     return steps
 
 
-def block_steps(keys):
+def _groups(batches, columns, width):
+    """Consecutive rows sharing their first `width` values, across batches."""
+    current, rows = None, []
+    for pdf in batches:
+        for row in zip(*(pdf[c].tolist() for c in columns)):
+            if row[:width] != current:
+                if rows:
+                    yield current, rows
+                current, rows = row[:width], []
+            rows.append(row[width:])
+    if rows:
+        yield current, rows
+
+
+def _framed(rows, columns, size=10_000):
     import pandas as pd
 
-    def reduce(pdf):
-        pdf = pdf.sort_values("arrival_no")
-        steps = reduce_block(list(zip(pdf.r, pdf.c, pdf.t, pdf.arrival_no)))
-        head = pdf.iloc[0]
-        out = [[*(head[k] for k in keys), head.block, i, r, c, t, *o] for i, (r, c, t, o) in enumerate(steps)]
-        names = [*keys, "block", "step", "r", "c", "t", "out_r", "out_c", "out_t", "arrival_no"]
-        return pd.DataFrame(out, columns=names)
+    out = []
+    for row in rows:
+        out.append(row)
+        if len(out) >= size:
+            yield pd.DataFrame(out, columns=columns)
+            out = []
+    if out:
+        yield pd.DataFrame(out, columns=columns)
+
+
+def block_steps(keys):
+    """Task function: arrivals sorted by (keys, block, arrival) to steps."""
+    columns = [*keys, "block", "r", "c", "t", "arrival_no"]
+    names = [*keys, "block", "step", "r", "c", "t", "out_r", "out_c", "out_t", "arrival_no"]
+
+    def run(batches):
+        return _framed((
+            (*group, i, r, c, t, *outcome)
+            for group, rows in _groups(batches, columns, len(keys) + 1)
+            for i, (r, c, t, outcome) in enumerate(reduce_block(rows))
+        ), names)
 
-    return reduce
+    return run
 
 
 def apply_steps(keys):
+    """Task function: steps sorted by (keys, block, step) to the final arrival."""
+    columns = [*keys, "block", "r", "c", "t", "out_r", "out_c", "out_t", "arrival_no"]
+    lowest = -(2**63)
+
+    def final(rows):
+        state, done = (lowest, lowest, lowest, None), None
+        for block, r, c, t, *outcome in rows:
+            # The first accepted step ends its block.
+            if block != done and r >= state[0] and c >= state[1] and t >= state[2]:
+                state, done = tuple(outcome), block
+        return state[3]
+
+    def run(batches):
+        return _framed(((*group, final(rows)) for group, rows in _groups(batches, columns, len(keys))), [*keys, "arrival_no"])
+
+    return run
+
+
+def difference_points(key, frames, state):
+    """Interval differences of one session against the last stored point."""
+    import numpy as np
+    import pandas as pd
+
+    pdf = pd.concat(list(frames)).sort_values("ts")
+    t0, v0, a0 = state.get if state.exists else (None, np.nan, np.nan)
+    ts = np.concatenate([[np.nan if t0 is None else t0], pdf.ts.to_numpy(float)])
+    volume = np.concatenate([[v0], pdf.volume.to_numpy(float)])
+    amount = np.concatenate([[a0], pdf.amount.to_numpy(float)])
+    step = lambda x: np.where(x[1:] >= x[:-1], x[1:] - x[:-1], np.nan)
+    state.update((int(pdf.ts.iloc[-1]), float(volume[-1]), float(amount[-1])))
+    yield pd.DataFrame({
+        "symbol": key[0], "session_date": key[1], "ts": pdf.ts.to_numpy(), "price": pdf.price.to_numpy(),
+        "interval_volume_shares": step(volume), "interval_amount_cny": step(amount),
+        "interval_minutes": (ts[1:] - ts[:-1]) / 60e6,
+    })
+
+
+def fold_snapshots(key, frames, state):
+    """Apply one batch of auction snapshots to the stored one."""
     import pandas as pd
 
-    def fold(pdf):
-        lowest = -(2**63)
-        state = (lowest, lowest, lowest, None)
-        for _, block in pdf.sort_values(["block", "step"]).groupby("block", sort=True):
-            steps = list(zip(block.r, block.c, block.t, zip(block.out_r, block.out_c, block.out_t, block.arrival_no)))
-            hit = _first_hit(steps, *state[:3])
-            if hit is not None:
-                state = steps[hit][3]
-        head = pdf.iloc[0]
-        return pd.DataFrame([[*(head[k] for k in keys), state[3]]], columns=[*keys, "arrival_no"])
-
-    return fold
+    pdf = pd.concat(list(frames)).sort_values("arrival_no")
+    lowest = -(2**63)
+    stored = state.get if state.exists else (lowest, lowest, lowest, None)
+    for r, c, t, n in zip(pdf.r, pdf.c, pdf.t, pdf.arrival_no):
+        if r >= stored[0] and c >= stored[1] and t >= stored[2]:
+            stored = (int(r), int(c), int(t), int(n))
+    state.update(stored)
+    yield pd.DataFrame({"symbol": [key[0]], "session_date": [key[1]], "arrival_no": [stored[3]]})
