@@ -120,3 +120,11 @@ def with_security_status(quotes: DataFrame) -> DataFrame:
         .withColumn("status_limit_up", F.when(verified, F.col("limit_up_price")))
         .withColumn("status_limit_down", F.when(verified, F.col("limit_down_price")))
     )
+
+
+def annotate(df, dim, as_of="as_of", kind="quote", max_age=90) -> DataFrame:
+    """Market phase, freshness and, for quotes, security status on every row."""
+    out = with_freshness(df, dim, now=as_of, kind=kind, max_age=max_age)
+    if "price_relation" in out.columns:
+        out = with_security_status(out)
+    return out

@@ -3,8 +3,8 @@
 from importlib import import_module
 
 MODULES = [
-    "windows", "calendars", "relations", "aggregates", "scalars",
-    "decoders", "selection", "screens", "ledgers", "archives", "streams",
+    "screens", "windows", "calendars", "decoders", "selection", "ledgers",
+    "relations", "scalars", "archives", "streams",
 ]
 
 
@@ -12,8 +12,6 @@ def load():
     """All (queries, oracles) of the suite, in module order."""
     queries, oracles = {}, {}
     for name in MODULES:
-        import importlib.util as u
-        if u.find_spec(f"suite.{name}") is None: continue  # TEMP
         module = import_module(f"suite.{name}")
         for key, (fn, sql) in module.REGISTRY.items():
             if key in queries:
