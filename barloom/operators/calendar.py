@@ -146,34 +146,48 @@ def latest_completed(prefix: str, interval: str, cutoff: Column) -> Column:
     )
 
 
-def with_bar_completion(bars: DataFrame, dim: DataFrame, cutoff: Column, interval: str, date="date") -> DataFrame:
-    """Add the six completion-evidence columns to bars of one interval."""
+def with_bar_completion(bars: DataFrame, dim: DataFrame, cutoff: Column, interval: str | None = None, date="date") -> DataFrame:
+    """Add the six completion-evidence columns.
+
+    `interval` names the interval of all bars; None reads it from the
+    `interval` column, so that mixed bars are stamped in one pass.
+    """
     label = F.col(date)
+    used = INTERVALS if interval is None else (interval,)
+
+    def per_interval(value):
+        """Value of the row's own interval."""
+        if interval is not None:
+            return value(interval)
+        out = F.when(F.col("interval") == used[0], value(used[0]))
+        for i in used[1:]:
+            out = out.when(F.col("interval") == i, value(i))
+        return out
+
     df = bars.withColumn("_cutoff", cutoff)
-    df = with_asof_dim(df, dim, label, "bar", ["is_trading", f"end_{interval}"])
-    df = with_asof_dim(
-        df, dim, shanghai_date(F.col("_cutoff")), "now", ["is_trading", f"end_{interval}", f"prev_end_{interval}"]
-    )
-    end = F.col(f"bar_end_{interval}")
+    df = with_asof_dim(df, dim, label, "bar", ["is_trading", *[f"end_{i}" for i in used]])
+    now = [f"{p}_{i}" for i in used for p in ("end", "prev_end")]
+    df = with_asof_dim(df, dim, shanghai_date(F.col("_cutoff")), "now", ["is_trading", *now])
     trading = F.col("bar_is_trading")
-    known = end.isNotNull()
-    if interval == "1d":
-        known = known & F.coalesce(trading, F.lit(False))
-    calendar = F.when(known, completed_by(end, F.col("_cutoff")))
-    invalid = F.lit(False)
-    if interval == "1d":
-        invalid = F.coalesce(~trading, F.lit(False))
-    start = period_start(label, interval)
-    today_start = period_start(shanghai_date(F.col("_cutoff")), interval)
-    elapsed = ~invalid & calendar.isNull() & (start < today_start)
-    expected = latest_completed("now", interval, F.col("_cutoff"))
-    df = df.select(
+    daily = per_interval(lambda i: F.lit(i == "1d"))
+    df = df.withColumns({
+        "_end": per_interval(lambda i: F.col(f"bar_end_{i}")),
+        "_invalid": F.coalesce(daily & ~trading, F.lit(False)),
+        "_start": per_interval(lambda i: period_start(label, i)),
+        "_today": per_interval(lambda i: period_start(shanghai_date(F.col("_cutoff")), i)),
+        "_latest": per_interval(lambda i: period_start(latest_completed("now", i, F.col("_cutoff")), i)),
+    })
+    # A day bar has an end session only when its own date is a session.
+    calendar, invalid = completed_by(F.col("_end"), F.col("_cutoff")), F.col("_invalid")
+    df = df.withColumn("_calendar", calendar)
+    calendar = F.col("_calendar")
+    elapsed = ~invalid & calendar.isNull() & (F.col("_start") < F.col("_today"))
+    return df.select(
         *[F.col(c) for c in bars.columns],
         (~invalid & (F.coalesce(calendar, F.lit(False)) | elapsed)).alias("complete"),
         F.when(~invalid, calendar).alias("calendar_completion"),
         F.when(invalid, INVALID_DAY).when(calendar.isNull(), ELAPSED).otherwise(VERIFIED).alias("completion_basis"),
-        end.alias("period_end_session"),
-        (start == period_start(expected, interval)).alias("observed_latest"),
+        F.col("_end").alias("period_end_session"),
+        (F.col("_start") == F.col("_latest")).alias("observed_latest"),
         F.lit("unknown").alias("source_finality"),
     )
-    return df

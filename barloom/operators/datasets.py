@@ -27,15 +27,6 @@ def value_fault() -> Column:
     return ~F.coalesce(ok, F.lit(False))
 
 
-def stamp_completion(bars: DataFrame, dim: DataFrame, cutoff: Column) -> DataFrame:
-    """Completion evidence for bars of all three intervals."""
-    out = None
-    for interval in ("1d", "1w", "1mo"):
-        part = with_bar_completion(bars.filter(F.col("interval") == interval), dim, cutoff, interval)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def publish_dataset(bars: DataFrame, dim: DataFrame, run: dict, cutoff: Column):
     """Validate every series of every symbol: (series header, accepted bars).
 
@@ -44,7 +35,7 @@ def publish_dataset(bars: DataFrame, dim: DataFrame, run: dict, cutoff: Column):
     """
     target = F.lit(run["target_session"]).cast("date")
     side = dim.select(F.col("date").alias("_d"), "is_trading")
-    rows = stamp_completion(bars, dim, cutoff)
+    rows = with_bar_completion(bars, dim, cutoff)
     rows = rows.join(F.broadcast(side), F.col("date") == F.col("_d"), "left").drop("_d")
     closed = (F.col("interval") == "1d") & ~F.coalesce("is_trading", F.lit(True))
     fault = (

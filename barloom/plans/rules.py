@@ -231,45 +231,42 @@ def _reach(conditions) -> int:
 
 # -- operands over a bounded tail of bars ---------------------------------------
 def _operand(e, back: int) -> Column:
-    """struct(code, value) of an operand read `back` bars before the newest."""
-    nothing = F.lit(None).cast("string")
+    """struct(code, value) of an operand read `back` bars before the newest.
+
+    Written as SQL text: the expression is long, and text is parsed at once.
+    """
     if e["kind"] == "constant":
-        return F.struct(nothing.alias("code"), F.lit(float(e["value"])).alias("value"))
-    bars, span = F.col("_tail"), _span(e)
+        return F.expr(f"struct(CAST(NULL AS string) AS code, {float(e['value'])!r}D AS value)")
+    span = _span(e)
     back = back + e.get("offset", 0)
-    end = F.size(bars) - back
     length = span - 1 if e["kind"] == "prior_high" else span
-    sample = F.slice(bars, F.greatest(end - span + 1, F.lit(1)), F.lit(length))
-    last = F.get(bars, end - 1)
-    first_day = F.get(sample, F.lit(0))["period_start"]
-    gap = F.exists(F.col("missing_sessions"), lambda m: (m >= first_day) & (m <= last["date"]))
-    unknown = F.exists(sample, lambda b: ~b["usable"])
-    bad = F.get(F.filter(sample, lambda b: b["fault"].isNotNull()), F.lit(0))["fault"]
-    values = F.transform(sample, lambda b: b[_field(e)])
-    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
-    zero = F.lit(False)
+    sample = f"slice(_tail, greatest(size(_tail) - {back + span - 1}, 1), {length})"
+    values = f"transform({sample}, b -> b.{_field(e)})"
+    total = lambda v: f"aggregate({v}, 0D, (a, x) -> a + x)"
+    zero = "false"
     if e["kind"] == "field":
-        value = F.get(values, F.lit(0))
+        value = f"get({values}, 0)"
     elif e["kind"] in ("ma", "volume_ma"):
-        value = total(values) / e["window"]
+        value = f"{total(values)} / {e['window']}"
     elif e["kind"] == "prior_high":
-        value = F.array_max(values)
+        value = f"array_max({values})"
     elif e["kind"] == "change_pct":
-        value = (F.get(values, F.lit(span - 1)) / F.get(values, F.lit(0)) - 1) * 100
+        value = f"(get({values}, {span - 1}) / get({values}, 0) - 1) * 100"
     else:
-        mean = total(F.slice(values, 1, e["window"])) / e["window"]
-        zero = mean == 0
-        value = F.get(values, F.lit(span - 1)) / F.nullif(mean, F.lit(0.0))
-    code = (
-        F.when(F.size(bars) < back + span, "INSUFFICIENT_HISTORY")
-        .when(F.col("calendar_gaps_unverified"), "CALENDAR_GAPS_UNVERIFIED")
-        .when(gap, "MISSING_SCHEDULED_SESSIONS")
-        .when(unknown, "COMPLETION_UNKNOWN")
-        .when(bad.isNotNull(), bad)
-        .when(zero, "ZERO_BASELINE")
-        .when(~finite(value), "NONFINITE_RESULT")
-    )
-    return F.struct(code.alias("code"), F.when(code.isNull(), value).alias("value"))
+        mean = f"({total(f'slice({values}, 1, {span - 1})')} / {span - 1})"
+        zero = f"{mean} = 0"
+        value = f"get({values}, {span - 1}) / nullif({mean}, 0D)"
+    last = f"get(_tail, size(_tail) - {back + 1}).date"
+    gap = f"exists(missing_sessions, m -> m >= get({sample}, 0).period_start AND m <= {last})"
+    fault = f"get(filter({sample}, b -> b.fault IS NOT NULL), 0).fault"
+    code = f"""CASE WHEN size(_tail) < {back + span} THEN 'INSUFFICIENT_HISTORY'
+        WHEN calendar_gaps_unverified THEN 'CALENDAR_GAPS_UNVERIFIED'
+        WHEN {gap} THEN 'MISSING_SCHEDULED_SESSIONS'
+        WHEN exists({sample}, b -> NOT b.usable) THEN 'COMPLETION_UNKNOWN'
+        WHEN {fault} IS NOT NULL THEN {fault}
+        WHEN {zero} THEN 'ZERO_BASELINE' END"""
+    checked = f"transform(array(struct({code} AS code, {value} AS value)), s -> struct(coalesce(s.code, CASE WHEN NOT coalesce(abs(s.value) < double('Infinity'), false) THEN 'NONFINITE_RESULT' END) AS code, CASE WHEN s.code IS NULL THEN s.value END AS value))"
+    return F.expr(f"get({checked}, 0)")
 
 
 def _condition(c, column_of) -> Column:

@@ -248,19 +248,14 @@ def _tail_metrics(series: DataFrame) -> DataFrame:
     Sums run left to right over the slice, so equality-sensitive comparisons
     see the same doubles as a row-order window would.
     """
-    used = F.col("_used")
-    n = F.size(used)
-
     def tail(field, length, back=0):
-        start = F.greatest(n - back - length + 1, F.lit(1))
-        return F.transform(F.slice(used, start, F.lit(length)), lambda b: b[field])
+        start = f"greatest(size(_used) - {back + length - 1}, 1)"
+        return f"transform(slice(_used, {start}, {length}), b -> b.{field})"
 
     def mean(field, length, back=0):
-        values = tail(field, length, back)
-        return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / length
+        return f"aggregate({tail(field, length, back)}, 0D, (a, x) -> a + x) / {length}"
 
-    at = lambda field, back=0: F.get(used, n - 1 - back)[field]
-    full = n >= MINIMUM_BARS
+    at = lambda field, back=0: f"get(_used, size(_used) - {1 + back}).{field}"
     base = {
         "close": at("close"),
         "volume_shares": at("volume_shares"),
@@ -268,13 +263,14 @@ def _tail_metrics(series: DataFrame) -> DataFrame:
         "ma60": mean("close", 60),
         "ma20_5_bars_ago": mean("close", 20, 5),
         "ma60_5_bars_ago": mean("close", 60, 5),
-        "prior_high20": F.array_max(tail("high", 20, 1)),
-        "previous_prior_high20": F.array_max(tail("high", 20, 2)),
+        "prior_high20": f"array_max({tail('high', 20, 1)})",
+        "previous_prior_high20": f"array_max({tail('high', 20, 2)})",
         "prior_mean_volume20": mean("volume_shares", 20, 1),
         "close_5_bars_ago": at("close", 5),
         "previous_close": at("close", 1),
     }
-    series = series.withColumns({k: F.when(full, v) for k, v in base.items()})
+    full = f"size(_used) >= {MINIMUM_BARS}"
+    series = series.withColumns({k: F.expr(f"CASE WHEN {full} THEN {v} END") for k, v in base.items()})
     metrics = _derived({k: F.col(k) for k in base if k in METRICS})
     return series.withColumns({k: v for k, v in metrics.items() if k not in base})
 

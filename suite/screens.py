@@ -6,7 +6,7 @@ from barloom import testbed as T
 from barloom.operators import calendar as C, coverage as V
 from barloom.plans import rules as R, swing as S
 
-from .base import SESSION, SESSION_MONTH, calendar_sql, code_sql, registry
+from .base import SESSION, SESSION_MONTH, calendar_sql, code_sql, registry, stored
 
 REGISTRY, query = registry()
 WKCAL = calendar_sql(T.WEEKLY_CALENDAR)
@@ -168,17 +168,15 @@ def snapshot(spark, d):
         "symbol", F.when(g % 11 == 5, "error").otherwise("ready").alias("status"),
         F.when(g % 13 == 7, "suspended").otherwise("active").alias("suspension_state"),
         F.when(g % 31 == 9, F.lit("2001-06-11")).otherwise(F.lit("2001-12-31")).cast("date").alias("verified_through"))
-    bars = None
-    for tf, interval in (("D", "1d"), ("W", "1w"), ("M", "1mo")):
-        b = C.with_bar_completion(T.session_bars(spark, d, interval), dim, _as_of(), interval)
-        if tf != "M":
-            b = b.join(F.broadcast(dim.filter("is_trading").select("date")), "date", "left_semi")
-        b = b.filter("period_end_session IS NOT NULL").select(
-            "symbol", F.lit(tf).alias("timeframe"), "date", F.col("date").alias("period_start"),
-            F.col("period_end_session").alias("period_end"),
-            R.adapter_completion(F.col("complete"), F.col("calendar_completion"), F.col("completion_basis")).alias("completion"),
-            "calendar_completion", "completion_basis", "source", "adjustment", "open", "high", "low", "close", "volume_shares")
-        bars = b if bars is None else bars.unionByName(b)
+    bars = T.session_bars(spark, d, "1d")
+    bars = bars.join(F.broadcast(dim.filter("is_trading").select("date")), "date", "left_semi").select(*bars.columns)
+    bars = bars.withColumn("interval", F.explode(F.array(F.lit("1d"), F.lit("1w"))))
+    bars = C.with_bar_completion(bars.unionByName(T.session_bars(spark, d, "1mo")), dim, _as_of())
+    completion = R.adapter_completion(F.col("complete"), F.col("calendar_completion"), F.col("completion_basis"))
+    frame = F.element_at(F.create_map(*[F.lit(x) for x in ("1d", "D", "1w", "W", "1mo", "M")]), F.col("interval"))
+    bars = stored(bars.filter("period_end_session IS NOT NULL").select(
+        "symbol", frame.alias("timeframe"), "date", F.col("date").alias("period_start"), F.col("period_end_session").alias("period_end"),
+        completion.alias("completion"), "calendar_completion", "completion_basis", "source", "adjustment", "open", "high", "low", "close", "volume_shares"), "frames")
     returned = bars.groupBy("symbol", "timeframe").agg(F.count("*").alias("returned"), F.first("source").alias("source"), F.first("adjustment").alias("adjustment"))
     gaps = V.missing_sessions(bars.filter("timeframe = 'D'"), dim, keys=["symbol"]).groupBy("symbol").agg(
         F.collect_list("missing_date").alias("missing_sessions")).withColumn("timeframe", F.lit("D"))
