@@ -6,10 +6,12 @@ with floor, which every engine computes alike.
 
 import weakref
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .functions.clock import instant_at
 from .operators.calendar import build_calendar, calendar_dimension
+from .session import work_dir
 
 # Synthetic calendars for the years the tables cover.
 DAILY_CALENDAR = {
@@ -38,23 +40,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_PLANS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def calendar(spark, spec) -> DataFrame:
-    return _kept(spark, spec["version"], lambda: build_calendar(spark, **spec))
+    return dimension(spark, spec).select("calendar_version", "date", "is_trading")
 
 
 def dimension(spark, spec) -> DataFrame:
-    """Calendar dimension of a testbed calendar; the lazy plan is built once."""
-    return _kept(spark, "dim " + spec["version"], lambda: calendar_dimension(calendar(spark, spec)))
+    """Calendar dimension of a testbed calendar, written once per session.
 
-
-def _kept(spark, key, build):
-    plans = _PLANS.setdefault(spark, {})
-    if key not in plans:
-        plans[key] = build()
-    return plans[key]
+    A calendar is a small stored table; plans then scan it instead of deriving
+    it again at every join.
+    """
+    paths = _PATHS.setdefault(spark, {})
+    name = spec["version"]
+    if name in paths:
+        try:
+            return spark.read.parquet(paths[name])
+        except AnalysisException:
+            pass
+    paths[name] = work_dir(spark, "calendar")
+    calendar_dimension(build_calendar(spark, **spec)).coalesce(1).write.parquet(paths[name])
+    return spark.read.parquet(paths[name])
 
 
 def cents(price: Column) -> Column:
