@@ -149,8 +149,7 @@ def decode_intraday(raw: DataFrame, cutoff: Column, include_incomplete=False):
     df = df.withColumn("_rows", session["data"]).withColumn("_factor", lot_factor(F.col("symbol")))
     day, factor = F.col("session_date"), F.col("_factor")
 
-    def parse(row):
-        f = F.split(row, r"\s+")
+    def parse(f):
         amount = F.get(f, F.lit(3))
         label = F.get(f, F.lit(0))
         return F.struct(
@@ -161,7 +160,7 @@ def decode_intraday(raw: DataFrame, cutoff: Column, include_incomplete=False):
             (amount.isNotNull() & strict_number(amount).isNull()).alias("bad_amount"),
         )
 
-    df = settled(df.withColumn("_pts", F.transform("_rows", parse)).drop("body"))
+    df = settled(df.withColumn("_pts", F.transform(F.transform("_rows", lambda r: F.split(r, r"\s+")), parse)).drop("body"))
     points = F.col("_pts")
     cut = F.unix_micros(cutoff)
 
