@@ -9,9 +9,10 @@ ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"
 
 
 def nfkc(c: Column) -> Column:
-    """Unicode NFKC form; ASCII text never leaves the JVM."""
+    """Unicode NFKC form. ASCII text is its own form and goes to Arrow as NULL."""
     folded = F.udf(pytasks.nfkc_text, "string", useArrow=True)
-    return F.when(c.rlike(r"^[\x00-\x7f]*$"), c).otherwise(folded(c))
+    ascii_only = c.rlike(r"^[\x00-\x7f]*$")
+    return F.coalesce(F.when(ascii_only, c), folded(F.when(~ascii_only, c)))
 
 
 def st_name(normalized: Column) -> Column:
@@ -33,7 +34,8 @@ def decode_entities(c: Column) -> Column:
     # An ampersand entity may create new entity text, so only single-level
     # lower-case named entities are safe to replace on the JVM side.
     simple = ~c.rlike(r"&#") & ~c.rlike(r"&amp;[A-Za-z]+;") & ~c.rlike(r"&[a-z]*[A-Z]")
-    return F.when(~c.contains("&"), c).when(simple, named).otherwise(decoded(c))
+    jvm = F.when(~c.contains("&"), c).when(simple, named)
+    return F.coalesce(jvm, decoded(F.when(jvm.isNull(), c)))
 
 
 def search_text_ok(c: Column) -> Column:

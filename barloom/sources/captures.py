@@ -26,13 +26,13 @@ def read_table(spark: SparkSession, path: str, fmt="parquet", schema=None, **opt
 
 
 def decode_text(body: Column, charset="utf-8") -> Column:
-    """Bytes to text. GB18030 goes through an Arrow function unless ASCII."""
+    """Bytes to text. GB18030 goes through Arrow; ASCII bodies go there as NULL."""
     if charset.lower() != "gb18030":
         return F.decode(body, charset)
-    ascii_text = F.decode(body, "us-ascii")
-    plain = F.encode(ascii_text, "us-ascii") == body
+    bytes_as_text = F.decode(body, "iso-8859-1")
+    ascii_only = bytes_as_text.rlike(r"^[\x00-\x7f]*$")
     decoded = F.udf(pytasks.gb18030_text, "string", useArrow=True)
-    return F.when(plain, ascii_text).otherwise(decoded(body))
+    return F.coalesce(F.when(ascii_only, bytes_as_text), decoded(F.when(~ascii_only, body)))
 
 
 def settled(df: DataFrame) -> DataFrame:
