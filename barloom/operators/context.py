@@ -4,8 +4,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 # Fixed value: number of categories in the taxonomy that ranks are valid for.
 RANKED_CATEGORIES = 49
-# Fixed value: a provider taxonomy is a list of categories, far below this.
-MAX_SECTORS = 100_000
 
 
 def sector_leaders(sectors: DataFrame, k: int = 10) -> DataFrame:

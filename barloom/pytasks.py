@@ -139,17 +139,3 @@ def difference_points(key, frames, state):
         "interval_volume_shares": step(volume), "interval_amount_cny": step(amount),
         "interval_minutes": (ts[1:] - ts[:-1]) / 60e6,
     })
-
-
-def fold_snapshots(key, frames, state):
-    """Apply one batch of auction snapshots to the stored one."""
-    import pandas as pd
-
-    pdf = pd.concat(list(frames)).sort_values("arrival_no")
-    lowest = -(2**63)
-    stored = state.get if state.exists else (lowest, lowest, lowest, None)
-    for r, c, t, n in zip(pdf.r, pdf.c, pdf.t, pdf.arrival_no):
-        if r >= stored[0] and c >= stored[1] and t >= stored[2]:
-            stored = (int(r), int(c), int(t), int(n))
-    state.update(stored)
-    yield pd.DataFrame({"symbol": [key[0]], "session_date": [key[1]], "arrival_no": [stored[3]]})

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from .. import pytasks
-from ..operators.archive import ARCHIVE_KEY, STATE, archive_upsert
+from ..operators.archive import ARCHIVE_KEY, STATE, archive_upsert, fold_auction
 
 # Completion delay in seconds by kind; days wait until 15:30:03.
 DELAYS = {"1m": 3, "5m": 3, "intraday": 63, "1d": 30 * 60 + 3, "1w": 30 * 60 + 3, "1mo": 30 * 60 + 3}
@@ -44,6 +44,19 @@ def _write_version(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
 
 
+def _each_batch(stream: DataFrame, apply, checkpoint: str, trigger):
+    """Run `apply` on every micro-batch, reading its source once."""
+    def run(batch: DataFrame, batch_id: int):
+        batch.persist()
+        try:
+            apply(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
 def stream_archive(arrivals: DataFrame, path: str, checkpoint: str, keys=ARCHIVE_KEY, trigger=None):
     """Archive upsert per micro-batch; receipts older than the stored one lose."""
     keys = list(keys)
@@ -54,8 +67,7 @@ def stream_archive(arrivals: DataFrame, path: str, checkpoint: str, keys=ARCHIVE
             stored = stored.join(batch.select(*keys).distinct(), keys, "left_semi")
         _write_version(archive_upsert(batch, stored, keys).select(*keys, *STATE), path, batch_id)
 
-    writer = arrivals.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
+    return _each_batch(arrivals, apply, checkpoint, trigger)
 
 
 def stream_latest_quotes(quotes: DataFrame, path: str, checkpoint: str, now="fetched_at", trigger=None):
@@ -89,14 +101,23 @@ def stream_intraday(points: DataFrame) -> DataFrame:
     return df.withColumn("source_timestamp", F.timestamp_micros("ts")).drop("ts")
 
 
-def stream_auction(arrivals: DataFrame) -> DataFrame:
-    """Fuller-snapshot fold per (symbol, session_date); emits accepted rows.
+def stream_auction(arrivals: DataFrame, path: str, checkpoint: str, keys=("symbol", "session_date"), trigger=None):
+    """Fuller-snapshot fold per micro-batch.
 
-    State leaves a day after its session, by event time.
+    The stored snapshot has the lowest arrival number of its key, so it simply
+    joins the batch; the block-wise fold then copes with any number of
+    arrivals per key.
     """
-    src = arrivals.select(
-        "symbol", "session_date", "arrival_no", F.unix_micros("fetched_at").alias("r"), F.col("points").cast("long").alias("c"),
-        F.unix_micros("source_timestamp").alias("t"))
-    out = "symbol string, session_date date, arrival_no long"
-    return src.groupBy("symbol", "session_date").applyInPandasWithState(
-        pytasks.fold_snapshots, out, "r long, c long, t long, arrival_no long", "update", GroupStateTimeout.NoTimeout)
+    keys = list(keys)
+    columns = [*keys, "arrival_no", "fetched_at", "points", "source_timestamp"]
+
+    def apply(batch: DataFrame, batch_id: int):
+        stored = read_log(batch.sparkSession, path, keys, below=batch_id)
+        rows = batch.select(*columns)
+        if stored is not None:
+            touched = stored.join(batch.select(*keys).distinct(), keys, "left_semi")
+            rows = rows.unionByName(touched.select(*columns))
+        kept = fold_auction(rows, keys).join(rows, [*keys, "arrival_no"])
+        _write_version(kept.select(*columns), path, batch_id)
+
+    return _each_batch(arrivals, apply, checkpoint, trigger)

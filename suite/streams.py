@@ -79,11 +79,8 @@ def stream_auction(spark, d):
         F.timestamp_seconds(F.unix_date(F.to_date("o_orderdate")) * 86400).alias("fetched_at"), (k % 16 + 1).alias("points"),
         F.timestamp_seconds((k % 7) * 60).alias("source_timestamp"), F.lit("2000-01-01").cast("date").alias("session_date"))
 
-    def keep(df, batch_id):
-        df.write.mode("overwrite").parquet(f"{path}/log/version={batch_id}")
-
-    S.stream_auction(arrivals).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return S.read_log(spark, f"{path}/log", ["symbol"]).select("symbol", "arrival_no")
+    S.stream_auction(arrivals, f"{path}/log", f"{path}/checkpoint").awaitTermination()
+    return S.read_log(spark, f"{path}/log", ["symbol", "session_date"]).select("symbol", "arrival_no")
 
 
 @query("l05_completion_delays", f"""WITH {MINUTES} SELECT symbol, minute, minute + INTERVAL 3 SECOND < TIMESTAMP '2024-01-15 12:00:03' AS bar_done,

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from barloom import pytasks
 from barloom.operators import archive as A
-from barloom.streaming import read_log, stream_archive, stream_intraday
+from barloom.streaming import read_log, stream_archive, stream_auction, stream_intraday
 from barloom.sources import store as ST
 
 BASE = dt.datetime(2026, 9, 30, 8)
@@ -119,6 +119,20 @@ def test_stream_archive_over_several_batches(spark, tmp_path):
     assert as_dict(read_log(spark, log, ["key"])) == brute_archive(rows)
 
 
+def test_stream_auction_over_several_batches(spark, tmp_path):
+    rnd = random.Random(6)
+    rows = [(f"s{i % 3}", i, 100 + i // 3 - rnd.randrange(8), rnd.randrange(1, 17), rnd.randrange(16)) for i in range(150)]
+    day = dt.date(2026, 9, 30)
+    src, log, cp = (str(tmp_path / x) for x in ("in", "log", "cp"))
+    schema = "symbol string, session_date date, arrival_no long, fetched_at timestamp, points int, source_timestamp timestamp"
+    for lo in range(0, 150, 50):
+        part = [(s, day, n, BASE + dt.timedelta(seconds=r), c, BASE + dt.timedelta(minutes=t)) for s, n, r, c, t in rows[lo:lo + 50]]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+        stream_auction(spark.readStream.schema(schema).parquet(src), log, cp).awaitTermination()
+    got = {r.symbol: r.arrival_no for r in read_log(spark, log, ["symbol", "session_date"]).collect()}
+    assert got == {s: brute_auction([(r, c, t, n) for s2, n, r, c, t in rows if s2 == s]) for s in got}
+
+
 def test_stream_differences_carry_over_batches(spark, tmp_path):
     src, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
     schema = "symbol string, session_date date, source_timestamp timestamp, price double, cumulative_volume_shares double, cumulative_amount_cny double"
