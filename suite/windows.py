@@ -291,8 +291,8 @@ def page_after(spark, d):
     return paging.page_after(c, "c_custkey", F.lit(100), 100).select("c_custkey", "c_name")
 
 
-@query("f05_batch_cursor", """SELECT s_suppkey, s_name, (SELECT max(s_suppkey) FROM
-  (SELECT s_suppkey FROM supplier WHERE s_suppkey > 3 ORDER BY s_suppkey LIMIT 20)) AS next_after
+@query("f05_batch_cursor", """SELECT s_suppkey, s_name, CASE WHEN (SELECT count(*) FROM supplier WHERE s_suppkey > 3) > 20 THEN (SELECT max(s_suppkey) FROM
+  (SELECT s_suppkey FROM supplier WHERE s_suppkey > 3 ORDER BY s_suppkey LIMIT 20)) END AS next_after
 FROM supplier WHERE s_suppkey > 3 ORDER BY s_suppkey LIMIT 20""")
 def batch_cursor(spark, d):
     s = T.table(spark, d, "supplier")
