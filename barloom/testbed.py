@@ -48,20 +48,23 @@ def calendar(spark, spec) -> DataFrame:
 
 
 def dimension(spark, spec) -> DataFrame:
-    """Calendar dimension of a testbed calendar, written once per session.
+    """Calendar dimension of a testbed calendar, a small stored table."""
+    return kept_table(spark, "calendar " + spec["version"], lambda: calendar_dimension(build_calendar(spark, **spec)).coalesce(1))
 
-    A calendar is a small stored table; plans then scan it instead of deriving
-    it again at every join.
+
+def kept_table(spark, name, build) -> DataFrame:
+    """Derived input written once per session and read back as a table.
+
+    Plans then scan it instead of deriving it again at every use.
     """
     paths = _PATHS.setdefault(spark, {})
-    name = spec["version"]
     if name in paths:
         try:
             return spark.read.parquet(paths[name])
         except AnalysisException:
             pass
-    paths[name] = work_dir(spark, "calendar")
-    calendar_dimension(build_calendar(spark, **spec)).coalesce(1).write.parquet(paths[name])
+    paths[name] = work_dir(spark, "table")
+    build().write.parquet(paths[name])
     return spark.read.parquet(paths[name])
 
 

@@ -14,15 +14,6 @@ def registry():
     return entries, query
 
 
-def stored(df, label):
-    """Write derived input once and read it back, as an engine reads its tables."""
-    from barloom.session import work_dir
-
-    path = work_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def code_sql(n: str) -> str:
     return (
         "(['sh600','sh601','sh603','sh605','sz000','sz001','sz002','sz003']"

@@ -8,7 +8,7 @@ from barloom.plans import rules as R
 from barloom.session import work_dir
 from barloom.sources import store as ST
 
-from .base import DAILY, SESSION, SESSION_MONTH, calendar_sql, registry, stored
+from .base import DAILY, SESSION, SESSION_MONTH, calendar_sql, registry
 
 REGISTRY, query = registry()
 WKCAL = calendar_sql(T.WEEKLY_CALENDAR)
@@ -181,6 +181,10 @@ def admit_batches(spark, d):
 
 # -- frozen datasets --------------------------------------------------------------
 def dataset_bars(spark, d):
+    return T.kept_table(spark, f"dataset bars {d}", lambda: _dataset_bars(spark, d))
+
+
+def _dataset_bars(spark, d):
     """Four series per symbol on weekly sessions, cut at the target session.
 
     Every fifth symbol's adjusted series stops a session early; every seventh
@@ -200,7 +204,7 @@ def dataset_bars(spark, d):
     week = raw.withColumn("interval", F.lit("1w")).filter(F.col("date") >= F.lit("1999-07-01").cast("date"))
     adjusted = day.filter(~((n % 5 == 2) & (F.col("date") == target)))
     out = raw.filter(F.col("date") >= tail).unionByName(week).unionByName(month.withColumn("adjustment", F.lit("none"))).unionByName(adjusted.filter(F.col("date") >= tail))
-    return stored(out.withColumn("amount_cny", F.lit(None).cast("double")), "dataset-bars")
+    return out.withColumn("amount_cny", F.lit(None).cast("double"))
 
 
 def published(spark, d):

@@ -6,7 +6,7 @@ from barloom import testbed as T
 from barloom.operators import calendar as C, coverage as V
 from barloom.plans import rules as R, swing as S
 
-from .base import SESSION, SESSION_MONTH, calendar_sql, code_sql, registry, stored
+from .base import SESSION, SESSION_MONTH, calendar_sql, code_sql, registry
 
 REGISTRY, query = registry()
 WKCAL = calendar_sql(T.WEEKLY_CALENDAR)
@@ -156,6 +156,38 @@ def _group_no(spark, d):
 
 
 def snapshot(spark, d):
+    """Universe, stocks, series and bars as stored tables, with frames and run."""
+    build = lambda i: lambda: _snapshot_tables(spark, d)[i]
+    bars = T.kept_table(spark, f"frames {d}", lambda: _frame_bars(spark, d))
+    universe, stocks, series = (
+        T.kept_table(spark, f"{name} {d}", build(i)) for i, name in enumerate(("universe", "stocks", "series")))
+    frames = {
+        "D": {"cutoff_date": TARGET, "expected_last_date": TARGET},
+        "W": {"cutoff_date": TARGET, "expected_last_date": TARGET},
+        "M": {"cutoff_date": TARGET, "expected_last_date": "2001-05-01"},
+    }
+    run = {
+        "generation": "synthetic-run", "target_session": TARGET, "calendar_version": T.WEEKLY_CALENDAR["version"],
+        "policy_version": "local-ohlcv-v1", "synthetic": True, "directory_as_of": "2001-06-20",
+        "verified_range": (T.WEEKLY_CALENDAR["start"], T.WEEKLY_CALENDAR["end"]),
+    }
+    return universe, stocks, series, bars, frames, run
+
+
+def _frame_bars(spark, d):
+    dim = _dim(spark)
+    bars = T.session_bars(spark, d, "1d")
+    bars = bars.join(F.broadcast(dim.filter("is_trading").select("date")), "date", "left_semi").select(*bars.columns)
+    bars = bars.withColumn("interval", F.explode(F.array(F.lit("1d"), F.lit("1w"))))
+    bars = C.with_bar_completion(bars.unionByName(T.session_bars(spark, d, "1mo")), dim, _as_of())
+    completion = R.adapter_completion(F.col("complete"), F.col("calendar_completion"), F.col("completion_basis"))
+    frame = F.element_at(F.create_map(*[F.lit(x) for x in ("1d", "D", "1w", "W", "1mo", "M")]), F.col("interval"))
+    return bars.filter("period_end_session IS NOT NULL").select(
+        "symbol", frame.alias("timeframe"), "date", F.col("date").alias("period_start"), F.col("period_end_session").alias("period_end"),
+        completion.alias("completion"), "calendar_completion", "completion_basis", "source", "adjustment", "open", "high", "low", "close", "volume_shares")
+
+
+def _snapshot_tables(spark, d):
     dim = _dim(spark)
     g = F.col("g")
     base = _group_no(spark, d).withColumn("symbol", T.code_of(g))
@@ -168,15 +200,7 @@ def snapshot(spark, d):
         "symbol", F.when(g % 11 == 5, "error").otherwise("ready").alias("status"),
         F.when(g % 13 == 7, "suspended").otherwise("active").alias("suspension_state"),
         F.when(g % 31 == 9, F.lit("2001-06-11")).otherwise(F.lit("2001-12-31")).cast("date").alias("verified_through"))
-    bars = T.session_bars(spark, d, "1d")
-    bars = bars.join(F.broadcast(dim.filter("is_trading").select("date")), "date", "left_semi").select(*bars.columns)
-    bars = bars.withColumn("interval", F.explode(F.array(F.lit("1d"), F.lit("1w"))))
-    bars = C.with_bar_completion(bars.unionByName(T.session_bars(spark, d, "1mo")), dim, _as_of())
-    completion = R.adapter_completion(F.col("complete"), F.col("calendar_completion"), F.col("completion_basis"))
-    frame = F.element_at(F.create_map(*[F.lit(x) for x in ("1d", "D", "1w", "W", "1mo", "M")]), F.col("interval"))
-    bars = stored(bars.filter("period_end_session IS NOT NULL").select(
-        "symbol", frame.alias("timeframe"), "date", F.col("date").alias("period_start"), F.col("period_end_session").alias("period_end"),
-        completion.alias("completion"), "calendar_completion", "completion_basis", "source", "adjustment", "open", "high", "low", "close", "volume_shares"), "frames")
+    bars = T.kept_table(spark, f"frames {d}", lambda: _frame_bars(spark, d))
     returned = bars.groupBy("symbol", "timeframe").agg(F.count("*").alias("returned"), F.first("source").alias("source"), F.first("adjustment").alias("adjustment"))
     gaps = V.missing_sessions(bars.filter("timeframe = 'D'"), dim, keys=["symbol"]).groupBy("symbol").agg(
         F.collect_list("missing_date").alias("missing_sessions")).withColumn("timeframe", F.lit("D"))
@@ -187,17 +211,7 @@ def snapshot(spark, d):
         F.lit("local-ohlcv-v1").alias("policy_version"), at.alias("request_started_at"), at.alias("completion_cutoff"), at.alias("fetched_at"),
         "source", "adjustment", F.lit("CNY").alias("currency"), F.lit("shares").alias("volume_unit"), "returned",
         F.coalesce("missing_sessions", F.array().cast("array<date>")).alias("missing_sessions"), F.lit(False).alias("calendar_gaps_unverified"))
-    frames = {
-        "D": {"cutoff_date": TARGET, "expected_last_date": TARGET},
-        "W": {"cutoff_date": TARGET, "expected_last_date": TARGET},
-        "M": {"cutoff_date": TARGET, "expected_last_date": "2001-05-01"},
-    }
-    run = {
-        "generation": "synthetic-run", "target_session": TARGET, "calendar_version": T.WEEKLY_CALENDAR["version"],
-        "policy_version": "local-ohlcv-v1", "synthetic": True, "directory_as_of": "2001-06-20",
-        "verified_range": (T.WEEKLY_CALENDAR["start"], T.WEEKLY_CALENDAR["end"]),
-    }
-    return universe, stocks, series, bars, frames, run
+    return universe, stocks, series
 
 
 _G = "CAST(floor(s_suppkey / 4) AS BIGINT)"
