@@ -37,12 +37,15 @@ def _local_base() -> str:
 
 
 def work_dir(spark: SparkSession, label: str) -> str:
-    """A fresh path below the cluster's shared checkpoint folder.
+    """A fresh path below the shared folder that `spark.checkpoint.dir` names.
 
-    The folder comes from `spark.checkpoint.dir`; a machine-local folder is
-    used only where the session names none (tests, single-machine runs).
+    Where none is named, a single-machine session (`local[...]`: tests, bench)
+    gets a temporary folder; on a cluster that is an error, as executors could
+    not read such a folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = _local_base()
     return f"{base.rstrip('/')}/{label}-{os.urandom(6).hex()}"
