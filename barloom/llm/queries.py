@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import packing, simhash, substrings, token_counts, toxicity
+from . import mixing, packing, simhash, substrings, token_counts, toxicity
 
 QUERIES, SQL = {}, {}
 
@@ -17,6 +17,22 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Levels of the mixing tree: a source's domain is given by its number.
+LEVELS = {"domain": "CASE WHEN try_cast(regexp_extract(source, '([0-9]+)$', 1) AS bigint) IS NULL THEN 'other' ELSE concat('d', try_cast(regexp_extract(source, '([0-9]+)$', 1) AS bigint) % 4) END",
+          "lang": "lang", "source": "source"}
+#: Target weights by path; nodes that are not named weigh 1.
+WEIGHTS = {("d0",): 3, ("d1",): 2, ("d2",): 2, ("d0", "en"): 4, ("d1", "en"): 3, ("d2", "de"): 2, ("d3", "en"): 2, ("d0", "en", "src0"): 3, ("d1", "en", "src5"): 2}
+MIX = {"share": 0.8, "epochs": 2, "seed": 17}
+
+
+@query
+def op1_mixing(spark, sf_dir):
+    return mixing.mixed(table(spark, sf_dir, "documents"), {n: F.expr(e) for n, e in LEVELS.items()}, WEIGHTS, **MIX)
+
+
+SQL["op1_mixing"] = mixing.mixing_sql(LEVELS, WEIGHTS, **MIX)
+
+
 @query
 def op2_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

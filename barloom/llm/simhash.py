@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import arrow_map, bodies, group_bounds, sorted_groups, stored, texts, tiled
+from .common import arrow_map, bodies, free_name, group_bounds, sorted_groups, stored, texts, tiled
 from .components import components
 
 BITS, DISTANCE = 64, 3
@@ -151,6 +151,10 @@ def one_of_each(docs: DataFrame, groups: DataFrame, id_col="doc_id") -> DataFram
     Rows without an id cannot be told apart and form one group of their own
     only if their texts are near each other; one row without an id stays.
     """
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    rows = docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_kept_id")), "left_semi")
-    return rows.dropDuplicates([id_col])
+    groups = stored(groups, "groups")
+    mark = free_name(docs, "_kept")
+    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(mark)).distinct()
+    rows = docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col(mark)), "left_semi")
+    if groups.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        rows = rows.dropDuplicates([id_col])
+    return rows

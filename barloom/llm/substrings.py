@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import work_dir
-from .common import arrow_map, stored
+from .common import arrow_map, free_name, stored
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -234,7 +234,7 @@ def _judge(table: pa.Table, kind, anchored: bool, chunk=1 << 22) -> pa.Table:
                      "bits": pa.array([r[1] for r in rows], pa.binary())})
 
 
-def _sliced(batches: Iterator[pa.RecordBatch], text_col: str, slice_bytes: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _sliced(batches: Iterator[pa.RecordBatch], text_col: str, slice_bytes: int, names: list[str], key: str) -> Iterator[pa.RecordBatch]:
     """Rows with a slice number: consecutive rows of about `slice_bytes`."""
     number, filled = TaskContext.get().partitionId() << 32, 0
     for batch in batches:
@@ -244,7 +244,7 @@ def _sliced(batches: Iterator[pa.RecordBatch], text_col: str, slice_bytes: int,
                 number, filled = number + 1, 0
             filled += n + 64
             out.append(number)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*names, "_slice"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*names, key])
 
 
 def _texts(table: pa.Table, text_col: str) -> list[bytes]:
@@ -272,11 +272,11 @@ def without_repeats(docs: DataFrame, text_col="text", window=35, slice_bytes=2 <
     total = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
     parts, buckets = (min(100_000, max(1, math.ceil(total / size))) for size in (part_bytes, bucket_bytes))
     slice_bytes = max(slice_bytes, total // 1_000_000)
-    names = docs.columns
+    names, number = docs.columns, free_name(docs, "_slice")
     rows = docs.withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
-    cut = arrow_map(rows, lambda it: _sliced(it, text_col, slice_bytes, names), T.StructType([*rows.schema.fields, T.StructField("_slice", T.LongType())]))
+    cut = arrow_map(rows, lambda it: _sliced(it, text_col, slice_bytes, names, number), T.StructType([*rows.schema.fields, T.StructField(number, T.LongType())]))
     table = f"barloom_slices_{os.urandom(6).hex()}"
-    cut.write.bucketBy(buckets, "_slice").option("path", work_dir(spark, "slices")).saveAsTable(table)
+    cut.write.bucketBy(buckets, number).option("path", work_dir(spark, "slices")).saveAsTable(table)
     slices = spark.table(table)
 
     def sent(table: pa.Table, rows: list[tuple]) -> pa.Table:
@@ -308,10 +308,10 @@ def without_repeats(docs: DataFrame, text_col="text", window=35, slice_bytes=2 <
         return pa.Table.from_arrays([*columns, pa.array(s.counts, pa.int64()), pa.array(lost, pa.int64())], [*names, "_n_words", "_n_removed"])
 
     answer = "slice long, part int, bits binary"
-    probes = slices.select("_slice", text_col).groupBy("_slice").applyInArrow(probe, _SENT)
+    probes = slices.select(number, text_col).groupBy(number).applyInArrow(probe, _SENT)
     hits = stored(probes.groupBy("part").applyInArrow(lambda t: _judge(t, np.uint32, True), answer), "hits").withColumn("step", F.lit(0))
-    grouped = slices.select("_slice", text_col).groupBy("_slice")
+    grouped = slices.select(number, text_col).groupBy(number)
     sequences = grouped.cogroup(hits.groupBy("slice")).applyInArrow(extend, _SENT)
     found = stored(sequences.groupBy("part").applyInArrow(lambda t: _judge(t, np.uint64, False), answer), "repeats").withColumn("step", F.lit(1))
     both = hits.unionByName(found)
-    return slices.groupBy("_slice").cogroup(both.groupBy("slice")).applyInArrow(finish, kept_schema)
+    return slices.groupBy(number).cogroup(both.groupBy("slice")).applyInArrow(finish, kept_schema)

@@ -16,9 +16,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import WordCache, arrow_map, bodies, crc_mod, runs, texts
+from .common import WordCache, arrow_map, bodies, crc_mod, free_name, runs, texts
 
 
 @dataclass(frozen=True)
@@ -151,7 +151,7 @@ def _evidence_cache(token: int, s: Settings, limit: int):
     return WordCache(None, limit)
 
 
-def _scores(batches, model, s: Settings, limit: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _scores(batches, model, s: Settings, limit: int, names: list[str], body: str) -> Iterator[pa.RecordBatch]:
     evidence, bias, token = model
     cache = _evidence_cache(token, s, limit)
 
@@ -162,28 +162,33 @@ def _scores(batches, model, s: Settings, limit: int, names: list[str]) -> Iterat
 
     cache.compute = compute
     for batch in batches:
-        bodies_, out = list(bodies(batch, "_body")), []
-        for a, b in runs(map(len, bodies_), 1 << 20):
-            words = [_lowered(t) for t in bodies_[a:b]]
+        texts_, out = list(bodies(batch, body)), []
+        for a, b in runs(map(len, texts_), 1 << 20):
+            words = [_lowered(t) for t in texts_[a:b]]
             known = cache.of(words).__getitem__
             for w in words:
                 total = sum(map(known, w))  # evidence in the real part, subwords in the imaginary
                 out.append(total.real / total.imag + bias if w else bias)
-        logit = np.array(out, float)
-        score = pa.array(1 / (1 + np.exp(-np.clip(logit, -60, 60))), pa.float64())
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], score], [*names, "_score"])
+        score = pa.array(1 / (1 + np.exp(-np.clip(np.array(out, float), -60, 60))), pa.float64())
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], score], [*names, "score"])
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, float] | None, s: Settings, text_col="text", cached=400_000) -> DataFrame:
-    """All columns of `docs` with `_score`. No shuffle."""
+def scored(docs: DataFrame, model: tuple[np.ndarray, float] | None, s: Settings, text_col="text", score_col="score", cached=400_000) -> DataFrame:
+    """All columns of `docs` and the score. No shuffle."""
     if model is None:
-        return docs.withColumn("_score", F.lit(0.0))
-    names = docs.columns
-    rows = docs.withColumn("_body", F.col(f"`{text_col}`").cast("string").cast("binary"))
-    schema = docs.schema.add("_score", "double")
+        return docs.withColumn(score_col, F.lit(0.0))
+    names, body = docs.columns, free_name(docs, "_body")
+    rows = docs.withColumn(body, F.col(f"`{text_col}`").cast("string").cast("binary"))
+    schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
     packed = (*model, xxhash.xxh64_intdigest(model[0].tobytes()))
     held = docs.sparkSession.sparkContext.broadcast(packed)  # the model: settings.buckets numbers
-    return arrow_map(rows, lambda it: _scores(it, held.value, s, cached, names), schema)
+    return arrow_map(rows, lambda it: _scores(it, held.value, s, cached, names, body), schema)
+
+
+def below(docs: DataFrame, model, s: Settings, limit: float, text_col="text") -> DataFrame:
+    """Rows of `docs`, as they are, that score below `limit`."""
+    score = free_name(docs, "_score")
+    return scored(docs, model, s, text_col, score).filter(F.col(score) < limit).drop(score)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", fold=5, settings=Settings()) -> DataFrame:
@@ -192,4 +197,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     out = scored(rows, model, settings)
     held = F.coalesce(crc_mod(F.col("doc_id"), fold) == 0, F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
