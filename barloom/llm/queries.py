@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import mixing, packing, simhash, substrings, token_counts, toxicity
+from . import mixing, packing, simhash, substrings, token_counts, toxicity, vectors
 
 QUERIES, SQL = {}, {}
 
@@ -59,3 +59,8 @@ def op7_simhash(spark, sf_dir):
 @query
 def op9_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_vectors(spark, sf_dir):
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
