@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import mixing, packing, simhash, substrings, token_counts, toxicity, vectors
+from . import mixing, packing, quality, simhash, substrings, token_counts, toxicity, vectors, warc
 
 QUERIES, SQL = {}, {}
 
@@ -38,6 +38,15 @@ def op2_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op3_warc(spark, sf_dir):
+    records = warc.round_trip(table(spark, sf_dir, "pages"))
+    # A record that does not read back is a fault of this run, not a page to leave out.
+    checked = F.when(F.col("fault").isNotNull(), F.raise_error(F.concat_ws(" ", "archive", "fault"))).otherwise(F.col("payload_bytes"))
+    return records.select(warc.page_number("record_id").alias("page_id"), checked.cast("long").alias("payload_bytes"), "payload_digest",
+                          "record_type", warc.page_number("refers_to").alias("refers_to"))
+
+
 @query
 def op4_substrings(spark, sf_dir):
     kept = substrings.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -50,6 +59,12 @@ def op5_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op6_quality(spark, sf_dir):
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1")
+    return quality.judged(table(spark, sf_dir, "documents"), trusted)
+
+
 @query
 def op7_simhash(spark, sf_dir):
     groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
