@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, simhash, substrings, token_counts, toxicity, vectors, warc
+from . import licenses, mixing, packing, quality, simhash, substrings, token_counts, toxicity, vectors, warc
 
 QUERIES, SQL = {}, {}
 
@@ -71,6 +71,11 @@ def op7_simhash(spark, sf_dir):
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op8_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
