@@ -88,11 +88,14 @@ def train(bags: list[tuple[int, np.ndarray, np.ndarray]], s: Settings) -> tuple[
     """
     rng = np.random.default_rng(s.seed)
     y = np.array([b[0] for b in bags])
-    held_by = np.bincount(np.concatenate([b[1] for b in bags]), minlength=s.buckets)
+    held_by = np.zeros(s.buckets, np.int64)
+    for b in bags:
+        held_by[b[1]] += 1
     used = np.flatnonzero(held_by >= max(2, s.least_share * len(bags)))
-    at = np.full(s.buckets, -1)
+    at = np.full(s.buckets, -1, np.int32)
     at[used] = np.arange(len(used))
-    bags = [(t, at[b][at[b] >= 0], w[at[b] >= 0]) for t, b, w in bags]
+    for i, (kind, b, w) in enumerate(bags):
+        bags[i] = kind, at[b][at[b] >= 0], w[at[b] >= 0]
     share = min(0.9, max(0.1, float(np.mean(y))))
     importance = np.array([1 / (1 - share), s.toxic_weight / share]) / 2  # a clean text taken for toxic costs more than the reverse
     params = [rng.normal(0, 0.01, (len(used) + 1, s.dim)).astype(np.float32), rng.normal(0, 1, (s.dim, 2)).astype(np.float32), np.zeros(2, np.float32)]
@@ -137,11 +140,13 @@ def learned(docs: DataFrame, labels: DataFrame, s: Settings, id_col="doc_id", te
     # At most 2 * sample ids: a proven bound for the broadcast.
     sample = texts(docs, id_col, text_col).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).select("toxic", "body")
     found = arrow_map(sample, lambda it: _bags(it, s), "toxic int, buckets array<int>, shares array<float>").toArrow()
-    at, n = found.column("buckets").to_pylist(), found.column("shares").to_pylist()
-    bags = [(t, np.array(b, np.int64), np.array(w, np.float32)) for t, b, w in zip(found.column("toxic").to_pylist(), at, n, strict=True) if b]
+    at, share = (found.column(c).combine_chunks() for c in ("buckets", "shares"))
+    cut = at.offsets.to_numpy()[1:-1]
+    bags = zip(found.column("toxic").to_pylist(), np.split(at.values.to_numpy(), cut), np.split(share.values.to_numpy(), cut), strict=True)
+    bags = [b for b in bags if len(b[1])] if found.num_rows else []
     if len({b[0] for b in bags}) < 2:
         return None
-    bags.sort(key=lambda b: (b[0], len(b[1]), b[1].tolist()))  # row order does not depend on partitions
+    bags.sort(key=lambda b: (b[0], len(b[1]), b[1].tobytes()))  # row order does not depend on partitions
     return train(bags, s)
 
 
