@@ -92,7 +92,8 @@ def forest(fps: np.ndarray, table: np.ndarray, distance: int) -> list[tuple[int,
     soon empty and links are never listed pair by pair.
     """
     order = np.argsort(table[:, 0], kind="stable")
-    fps, table = fps[order], table[order].astype(np.int16)
+    signed, table = fps[order], table[order].astype(np.int16)
+    fps = signed.view(np.uint64)  # numpy counts a negative number's bits by its absolute value
     waiting = np.ones(len(fps), bool)
     first, out = table[:, 0], []
     for root in range(len(fps)):
@@ -110,7 +111,7 @@ def forest(fps: np.ndarray, table: np.ndarray, distance: int) -> list[tuple[int,
             near = near[np.bitwise_count(fps[near] ^ fps[x]) <= distance]
             waiting[near] = False
             todo.extend(near.tolist())
-            out += [(int(v), int(fps[root])) for v in fps[near]]
+            out += [(int(v), int(signed[root])) for v in signed[near]]
     return out
 
 
