@@ -148,7 +148,9 @@ class Slice:
 def _by_part(part: np.ndarray, value: np.ndarray):
     """For each part: (part, distinct values ascending, whether repeated, order and inverse for the way back)."""
     order = np.lexsort((value, part))
-    edges = np.flatnonzero(np.concatenate(([True], np.diff(part[order].astype(np.int64)) != 0))) if len(order) else []
+    if not len(order):
+        return
+    edges = np.flatnonzero(np.concatenate(([True], np.diff(part[order].astype(np.int64)) != 0)))
     for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
         places = order[a:b]
         v = value[places]
