@@ -61,8 +61,9 @@ class Packer:
         if item[2] < item[3]:
             self.left.append(item)
             self.sizes = np.vstack((self.sizes, self._size(item)))
-        while len(self.left) >= self.pool:
-            self._fill(self.cap.copy(), cut=True)
+        # Enough waits to choose from and to fill a sequence up to one of its limits.
+        while len(self.left) >= self.pool and (self.sizes[:, 0].sum() >= self.cap[0] or len(self.left) >= self.cap[1]):
+            self._fill(self.cap.copy())
 
     def finish(self) -> None:
         """Pack what waits; the last tokens go to sequences whose length is a power of two."""
@@ -71,7 +72,7 @@ class Packer:
             cap = self.cap.copy()
             if total < cap[0]:
                 cap[0] = 1 << (total.bit_length() - 1)
-            self._fill(cap, cut=True)
+            self._fill(cap)
 
     @staticmethod
     def _loss(item, n: int) -> int:
@@ -107,7 +108,7 @@ class Packer:
             self.sizes[k] = self.sizes[-1]
             self.sizes = self.sizes[:-1]
 
-    def _fill(self, room, cut: bool) -> None:
+    def _fill(self, room) -> None:
         """One sequence: dot-product choices, then one cut, closed when nothing more goes in."""
         cap, offset = room.copy(), 0
         while self.left and room[0] >= 1 and room[1] >= 1:
