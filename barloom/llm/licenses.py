@@ -81,7 +81,7 @@ def name_places(w: str) -> Column:
 def alignments(w: str, rare: dict[str, float], top: int) -> tuple[Column, Column, Column]:
     """The rarest of the words present; their places (x, i); and (t, off, i) per posting they meet, sorted, each once."""
     ranked = F.array(*[F.struct(F.lit(-idf).alias("r"), F.lit(x).alias("x")) for x, idf in sorted(rare.items())])
-    postings = [(x, t, i) for t, (_, notice, _) in enumerate(TEMPLATES) for i, x in enumerate(split_words(notice)) if x in rare]
+    postings = [(x, t, i) for t, (_, notice, _) in enumerate(TEMPLATES) for i, x in enumerate(split_words(notice)) if x in rare] or [("", -1, 0)]
     table = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(t).alias("t"), F.lit(i).alias("i")) for x, t, i in postings])
     chosen = F.transform(F.slice(F.array_sort(F.filter(ranked, lambda r: F.array_contains("_present", r["x"]))), 1, top), lambda r: r["x"])
     hits = F.array_compact(F.transform(F.col(w), lambda x, i: F.when(F.array_contains("_chosen", x), F.struct(x.alias("x"), i.alias("i")))))
