@@ -2,8 +2,8 @@
 
 from pyspark.sql import Column, functions as F
 
-# Decimal text short enough that it cannot overflow a double.
-_DECIMAL_TEXT = r"^\s*[+-]?(\d{1,100}\.?\d*|\.\d+)([eE][+-]?\d{1,2})?\s*$"
+# Decimal text: the cast alone would also take suffixes and names such as 1d or NaN.
+_DECIMAL_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
 def finite(c: Column) -> Column:
@@ -13,7 +13,8 @@ def finite(c: Column) -> Column:
 
 def strict_number(c: Column) -> Column:
     """Text to double; NULL for blank, malformed or non-finite text."""
-    return F.when(c.rlike(_DECIMAL_TEXT), c.try_cast("double"))
+    value = c.try_cast("double")
+    return F.when(c.rlike(_DECIMAL_TEXT) & finite(value), value)
 
 
 def age_seconds(now: Column, then: Column) -> Column:

@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import pytasks
 from ..functions.numbers import age_seconds
 from ..functions.clock import shanghai_date
+from .blocks import join_on
 from .paging import integer_bucket, page_before
 
 SNAPSHOT_DAYS = 7
 ARCHIVE_KEY = ("symbol", "source", "kind", "interval", "adjustment", "source_timestamp")
+# What a key part stands for when a row leaves it out.
+KEY_DEFAULTS = {"interval": "intraday", "adjustment": "none"}
 STATE = ("first_fetched_at", "last_fetched_at", "payload", "revision_count")
 
 
@@ -22,15 +25,24 @@ def archive_eligible(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("complete") & ~F.coalesce("pending", F.lit(False)) & F.col("source_timestamp").isNotNull())
 
 
+def with_key_defaults(rows: DataFrame, keys=ARCHIVE_KEY) -> DataFrame:
+    """Rows whose absent interval is intraday and whose absent adjustment is none."""
+    return rows.withColumns({k: F.coalesce(F.col(k), F.lit(v)) for k, v in KEY_DEFAULTS.items() if k in keys and k in rows.columns})
+
+
 def archive_upsert(arrivals: DataFrame, archive: DataFrame | None = None, keys=ARCHIVE_KEY, bits=16) -> DataFrame:
     """Archive state after applying arrivals in order.
 
     A receipt at or after the stored one wins; a changed payload adds a
-    revision; the first receipt stays that of the first arrival.
+    revision; the first receipt stays that of the first arrival. Absent
+    intervals and adjustments take their defaults; other null key parts equal
+    each other.
     """
     keys = list(keys)
+    arrivals = with_key_defaults(arrivals, keys)
     rows = arrivals.select(*keys, "arrival_no", "fetched_at", "payload").withColumn("_b", integer_bucket("arrival_no", bits))
     if archive is not None:
+        archive = with_key_defaults(archive, keys)
         # The stored row acts as an arrival before all others.
         old = archive.select(*keys, F.col("last_fetched_at").alias("fetched_at"), "payload")
         rows = rows.unionByName(old.withColumn("arrival_no", F.lit(-1).cast("long")).withColumn("_b", F.lit(-1).cast("long")))
@@ -39,7 +51,7 @@ def archive_upsert(arrivals: DataFrame, archive: DataFrame | None = None, keys=A
     carry = blocks.select(*keys, "_b", F.max("_max").over(earlier).alias("_carry"))
     inside = Window.partitionBy(*keys, "_b").orderBy("arrival_no")
     before = F.max("fetched_at").over(inside.rowsBetween(Window.unboundedPreceding, -1))
-    judged = rows.withColumn("_before", before).join(carry, [*keys, "_b"])
+    judged = join_on(rows.withColumn("_before", before), carry, [*keys, "_b"])
     floor = F.greatest("_before", "_carry")
     judged = judged.withColumn("_ok", floor.isNull() | (F.col("fetched_at") >= floor))
     shown = F.when(F.col("_ok"), F.col("payload"))
@@ -59,7 +71,7 @@ def archive_upsert(arrivals: DataFrame, archive: DataFrame | None = None, keys=A
     if archive is None:
         return out
     stored = archive.select(*keys, F.col("first_fetched_at").alias("_f"), F.col("revision_count").alias("_r"))
-    out = out.join(stored, keys, "left")
+    out = join_on(out, stored, keys, "left")
     return out.select(
         *keys, F.coalesce("_f", "first_fetched_at").alias("first_fetched_at"), "last_fetched_at", "payload",
         (F.col("revision_count") + F.coalesce("_r", F.lit(0))).alias("revision_count"))
@@ -99,15 +111,22 @@ def snapshot_health(snapshots: DataFrame) -> DataFrame:
     return snapshots.agg(F.count("*").alias("snapshot_count"), F.max("fetched_at").alias("latest_saved_fetch"))
 
 
-def valid_auction(points: DataFrame, keys=("key",), session="session_date", ts="source_timestamp", fetched="fetched_at") -> DataFrame:
-    """Per capture: every point on the session day, rising, at most 5 s ahead.
+def valid_auction(points: DataFrame, keys=("key",), session="session_date", ts="source_timestamp", fetched="fetched_at", position="position",
+                  stamp: str | None = None) -> DataFrame:
+    """Per capture: every point on the session day, later than the one before it, at most 5 s ahead.
 
-    At most 16 labels exist per session, so order is checked on a sorted set.
+    `position` orders the points of a capture, which one response bounds; an
+    absent time is a fault. `stamp` names the capture's own time, which must be
+    that of its last point.
     """
     late = F.unix_micros(ts) > F.unix_micros(fetched) + 5_000_000
-    return points.groupBy(*keys).agg(
-        (F.bool_and((shanghai_date(F.col(ts)) == F.col(session)) & ~late) & (F.count_distinct(ts) == F.count(ts))).alias("valid"),
-        F.count("*").alias("points"), F.max(ts).alias("source_timestamp"))
+    order = Window.partitionBy(*keys).orderBy(position)
+    rows = points.withColumn("_before", F.lag(ts).over(order)).withColumn("_first", F.row_number().over(order) == 1)
+    fine = (shanghai_date(F.col(ts)) == F.col(session)) & ~late & (F.col("_first") | (F.col(ts) > F.col("_before")))
+    valid = F.bool_and(F.coalesce(fine, F.lit(False)))
+    if stamp is not None:
+        valid = valid & F.coalesce(F.max_by(ts, position) == F.max_by(stamp, position), F.lit(False))
+    return rows.groupBy(*keys).agg(valid.alias("valid"), F.count("*").alias("points"), F.max(ts).alias("source_timestamp"))
 
 
 def fold_auction(arrivals: DataFrame, keys=("symbol", "session_date"), bits=12) -> DataFrame:

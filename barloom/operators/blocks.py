@@ -9,6 +9,15 @@ carry from the preceding block.
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+def join_on(left: DataFrame, right: DataFrame, keys, how="inner") -> DataFrame:
+    """Join on equal keys where null equals null; the left side's keys are kept."""
+    keys = list(keys)
+    other = right.select(*[F.col(k).alias(f"_on_{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_on_{i}")) for i, k in enumerate(keys)]
+    out = left.join(other, same, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*[f"_on_{i}" for i in range(len(keys))])
+
+
 def with_row_index(df: DataFrame, keys, order, coarse: Column, name="row_index") -> DataFrame:
     """Zero-based row index per key without gathering a key in one task.
 
@@ -22,7 +31,7 @@ def with_row_index(df: DataFrame, keys, order, coarse: Column, name="row_index")
     offsets = counts.select(*keys, "_coarse", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     inside = Window.partitionBy(*keys, "_coarse").orderBy(*order)
     ranked = df.withColumn("_rn", F.row_number().over(inside))
-    joined = ranked.join(offsets, [*keys, "_coarse"])
+    joined = join_on(ranked, offsets, [*keys, "_coarse"])
     return joined.withColumn(name, F.col("_base") + F.col("_rn") - 1).drop("_coarse", "_rn", "_base")
 
 
@@ -54,6 +63,6 @@ def with_previous_value(df: DataFrame, keys, order, value: str, coarse: Column,
     inside = Window.partitionBy(*keys, "_coarse").orderBy(order)
     first = F.row_number().over(inside) == 1
     df = df.withColumn("_first", first).withColumn("_lag", F.lag(value).over(inside))
-    df = df.join(carry, [*keys, "_coarse"])
+    df = join_on(df, carry, [*keys, "_coarse"])
     picked = F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag"))
     return df.withColumn(name, picked).drop("_coarse", "_first", "_lag", "_carry")

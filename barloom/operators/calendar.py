@@ -7,6 +7,7 @@ before it is used as a broadcast side.
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.clock import instant_at, period_end, period_start, shanghai_date
@@ -146,6 +147,15 @@ def latest_completed(prefix: str, interval: str, cutoff: Column) -> Column:
     )
 
 
+def _constant(df: DataFrame, value: Column) -> bool:
+    """Whether a column expression reads no column."""
+    try:
+        df.sparkSession.range(1).select(value)
+    except AnalysisException:
+        return False
+    return True
+
+
 def with_bar_completion(bars: DataFrame, dim: DataFrame, cutoff: Column, interval: str | None = None, date="date") -> DataFrame:
     """Add the six completion-evidence columns.
 
@@ -167,7 +177,13 @@ def with_bar_completion(bars: DataFrame, dim: DataFrame, cutoff: Column, interva
     df = bars.withColumn("_cutoff", cutoff)
     df = with_asof_dim(df, dim, label, "bar", ["is_trading", *[f"end_{i}" for i in used]])
     now = [f"{p}_{i}" for i in used for p in ("end", "prev_end")]
-    df = with_asof_dim(df, dim, shanghai_date(F.col("_cutoff")), "now", ["is_trading", *now])
+    if _constant(bars, cutoff):
+        # One cutoff for all rows: its day is looked up once, not joined.
+        today = dim.filter(F.col("date") == shanghai_date(cutoff)).agg(F.max(F.struct("is_trading", *now)).alias("_t"))
+        df = df.withColumn("_now", today.scalar())
+        df = df.withColumns({f"now_{c}": F.col(f"_now.{c}") for c in ("is_trading", *now)})
+    else:
+        df = with_asof_dim(df, dim, shanghai_date(F.col("_cutoff")), "now", ["is_trading", *now])
     trading = F.col("bar_is_trading")
     daily = per_interval(lambda i: F.lit(i == "1d"))
     df = df.withColumns({

@@ -8,8 +8,8 @@ from ..plans.rules import adapter_completion
 from .calendar import with_bar_completion
 from .universe import table_digest
 
-# The four series of a bundle and their bar limits.
-POLICY = {"1d:none": 200, "1w:none": 104, "1mo:none": 60, "1d:qfq": 200}
+# The four series of a bundle.
+POLICY = ("1d:none", "1w:none", "1mo:none", "1d:qfq")
 STATES = ("ready", "partial", "pending_source", "failed_without_data")
 HASH_COLUMNS = ("date", "open", "high", "low", "close", "volume_shares")
 KEY = ("symbol", "interval", "adjustment")
@@ -27,11 +27,13 @@ def value_fault() -> Column:
     return ~F.coalesce(ok, F.lit(False))
 
 
-def publish_dataset(bars: DataFrame, dim: DataFrame, run: dict, cutoff: Column):
+def publish_dataset(bars: DataFrame, dim: DataFrame, run: dict, cutoff: Column, limits: dict | None = None):
     """Validate every series of every symbol: (series header, accepted bars).
 
-    The first fault in a series' own order decides its code. Histories are
-    judged with aggregates; nothing is gathered per symbol.
+    A row without a date, or rows of more than one source, fail the whole
+    series; else the first fault by date decides its code. `limits` maps a
+    series (`1d:none`) to the most bars it may have; by default there is no
+    limit. Histories are judged with aggregates; nothing is gathered per symbol.
     """
     target = F.lit(run["target_session"]).cast("date")
     side = dim.select(F.col("date").alias("_d"), "is_trading")
@@ -39,26 +41,29 @@ def publish_dataset(bars: DataFrame, dim: DataFrame, run: dict, cutoff: Column):
     rows = rows.join(F.broadcast(side), F.col("date") == F.col("_d"), "left").drop("_d")
     closed = (F.col("interval") == "1d") & ~F.coalesce("is_trading", F.lit(True))
     fault = (
-        F.when(F.col("date").isNull() | (F.col("date") > target), "INVALID_SERIES_DATES")
+        F.when(F.col("date") > target, "INVALID_SERIES_DATES")
         .when(closed, "BAR_ON_NONTRADING_DATE")
         .when(value_fault(), "INVALID_OHLCV_VALUES")
     )
     rows = rows.withColumn("_fault", fault)
     days = rows.groupBy(*KEY, "date").agg(F.count("*").alias("_n"), F.min("_fault").alias("_fault"), F.max("calendar_completion").alias("_done"),
-                                          F.max("source").alias("_source"))
-    limit = F.element_at(F.create_map(*[x for k, n in POLICY.items() for x in (F.lit(k), F.lit(n))]), series_key())
-    code_day = F.col("date")
+                                          F.min("source").alias("_least_source"), F.max("source").alias("_source"), F.count("source").alias("_sourced"))
+    over = F.lit(False)
+    for key, most in (limits or {}).items():
+        over = over | ((series_key() == key) & (F.col("returned") > most))
     series = days.groupBy(*KEY).agg(
         F.sum("_n").alias("returned"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
         F.max(F.col("_n") > 1).alias("_repeat"),
-        F.min_by("_fault", F.when(F.col("_fault").isNotNull(), code_day)).alias("_fault"),
+        F.max(F.col("date").isNull()).alias("_undated"),
+        F.min(F.when(F.col("_fault").isNotNull(), F.struct("date", "_fault")))["_fault"].alias("_fault"),
+        (F.min("_least_source").eqNullSafe(F.max("_source")) & F.max(F.col("_sourced") == F.col("_n")).eqNullSafe(F.min(F.col("_sourced") == F.col("_n")))).alias("_one_source"),
         F.max_by("_done", "date").alias("_last_done"),
         F.count_if(F.col("_done").isNull()).alias("calendar_unverified_rows"),
         F.max("_source").alias("source"),
     )
     error = (
-        F.when(limit.isNull() | (F.col("returned") > limit), "INVALID_SERIES_BASIS")
-        .when(F.col("_repeat"), "INVALID_SERIES_DATES")
+        F.when(~series_key().isin(*POLICY) | over | ~F.col("_one_source"), "INVALID_SERIES_BASIS")
+        .when(F.col("_undated") | F.col("_repeat"), "INVALID_SERIES_DATES")
         .when(F.col("_fault").isNotNull(), F.col("_fault"))
         .when(F.col("last_date") != target, "SOURCE_BEHIND_TARGET_SESSION")
         .when((F.col("interval") == "1d") & ~F.coalesce("_last_done", F.lit(False)), "UNVERIFIED_TARGET_COMPLETION")
@@ -68,7 +73,7 @@ def publish_dataset(bars: DataFrame, dim: DataFrame, run: dict, cutoff: Column):
         F.when(F.col("error_code").isNull(), "ready")
         .when(F.col("error_code") == "SOURCE_BEHIND_TARGET_SESSION", "pending_source").otherwise("failed_without_data")
     )
-    series = series.withColumn("status", status).drop("_repeat", "_fault", "_last_done")
+    series = series.withColumn("status", status).drop("_repeat", "_undated", "_one_source", "_fault", "_last_done")
     good = rows.join(series.filter("status = 'ready'").select(*KEY), list(KEY), "left_semi").drop("_fault", "is_trading")
     digest = table_digest(good, HASH_COLUMNS, KEY, levels=()).withColumnRenamed("digest", "content_hash")
     header = series.join(digest, list(KEY), "left")
@@ -123,10 +128,10 @@ def dataset_quality(header: DataFrame, bars: DataFrame, keys=KEY) -> DataFrame:
     bad_shape = (l > F.least(o, c)) | (h < F.greatest(o, c)) | (l > h)
     code = F.when(F.coalesce(bad_value, F.lit(False)), "INVALID_FIELD").when(F.coalesce(bad_shape, F.lit(False)), "INVALID_OHLC")
     days = bars.withColumn("_c", code).groupBy(*keys, "date").agg(F.count("*").alias("_n"), F.min("_c").alias("_c"))
-    first = F.when(F.col("_n") > 1, "MALFORMED_BARS").otherwise(F.col("_c"))
+    first = F.when((F.col("_n") > 1) | F.col("date").isNull(), "MALFORMED_BARS").otherwise(F.col("_c"))
     days = days.withColumn("_c", first)
     seen = days.groupBy(*keys).agg(
-        F.min_by("_c", F.when(F.col("_c").isNotNull(), F.col("date"))).alias("_c"), F.sum("_n").alias("_rows"),
+        F.min(F.when(F.col("_c").isNotNull(), F.struct("date", "_c")))["_c"].alias("_c"), F.sum("_n").alias("_rows"),
         F.min("date").alias("_first"), F.max("date").alias("_last"))
     j = header.join(seen, keys, "left")
     wrong = (

@@ -76,14 +76,14 @@ def macd_long(bars: DataFrame, index="row_index", keys=SERIES) -> DataFrame:
     return out.filter(F.col("_blk") == F.floor(F.col("_i") / BLOCK)).drop("_i", "_blk")
 
 
-def macd_panel(bars, limit=120, warmup=250, cap=600, keys=SERIES, order="date") -> DataFrame:
+def macd_panel(bars, limit=120, warmup=250, keys=SERIES, order="date") -> DataFrame:
     """Bounded panel: at most `limit + warmup` latest bars feed the averages.
 
     Adds `warmup_bars` and `seed_sensitive` (fewer than `warmup` earlier bars).
     """
     keys = list(keys)
     newest = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-    want = min(limit + warmup, cap)
+    want = limit + warmup
     recent = bars.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= want)
     warm = F.greatest(F.count("*").over(Window.partitionBy(*keys)) - limit, F.lit(0))
     recent = recent.withColumn("warmup_bars", warm).withColumn("seed_sensitive", warm < warmup)

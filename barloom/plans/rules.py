@@ -291,10 +291,10 @@ def _condition(c, column_of) -> Column:
 def bar_fault() -> Column:
     """First reason a bar's five fields cannot be used."""
     o, h, l, c, v = (F.col(x) for x in FIELDS)
-    absent = ~(finite(o) & finite(h) & finite(l) & finite(c) & finite(v))
-    negative = (o <= 0) | (h <= 0) | (l <= 0) | (c <= 0) | (v < 0)
-    broken = (l > F.least(o, c)) | (h < F.greatest(o, c)) | (l > h)
-    return F.when(absent, "MISSING_FIELD").when(negative, "INVALID_FIELD").when(broken, "INVALID_OHLC")
+    fault = F
+    for field, bad in ((o, o <= 0), (h, h <= 0), (l, l <= 0), (c, c <= 0), (v, v < 0)):  # field by field
+        fault = fault.when(~finite(field), "MISSING_FIELD").when(bad, "INVALID_FIELD")
+    return fault.when((l > F.least(o, c)) | (h < F.greatest(o, c)) | (l > h), "INVALID_OHLC")
 
 
 def _literal_date(text):
@@ -321,6 +321,7 @@ def prepared_frames(bars: DataFrame, series: DataFrame, frames: dict, run: dict,
     completed = _per_frame({tf: F.lit(frames[tf].get("mode", "completed") == "completed") for tf in used}, False)
     span = run.get("verified_range") or SUPPORTED_CALENDARS.get(run["calendar_version"])
     rows = bars.filter(F.col("timeframe").isin(*used))
+    returned = rows.groupBy("symbol", "timeframe").agg(F.count("*").alias("_rows"), F.count_if(F.col("date").isNull()).alias("_undated"))
     rank = F.row_number().over(Window.partitionBy("symbol", "timeframe", "date").orderBy("source", "adjustment"))
     rows = rows.withColumn("_seen", rank).filter(F.col("_seen") <= 2)
     rows = rows.withColumns({"_cutoff": cutoff, "_expected": expected, "_completed": completed})
@@ -350,14 +351,15 @@ def prepared_frames(bars: DataFrame, series: DataFrame, frames: dict, run: dict,
     unsure = (date == F.col("_expected")) & (date <= F.col("_cutoff")) & ((completion == "unknown") | ~F.col("_known"))
     agg = rows.groupBy("symbol", "timeframe").agg(
         F.array_sort(F.collect_list(F.when(kept & (F.col("_back") <= depth), bar))).alias("_tail"),
-        F.min_by("_quality", F.when(F.col("_quality").isNotNull(), date)).alias("_quality"),
-        F.min_by("_shape", F.when(F.col("_shape").isNotNull(), date)).alias("_shape"),
+        F.min(F.when(F.col("_quality").isNotNull(), F.struct(date.alias("d"), F.col("_quality").alias("q"))))["q"].alias("_quality"),
+        F.min(F.when(F.col("_shape").isNotNull(), F.struct(date.alias("d"), F.col("_shape").alias("q"))))["q"].alias("_shape"),
         F.bool_or(unsure).alias("_unsure"),
         F.max(F.when(kept, date)).alias("actual_last_date"),
-        F.count("*").alias("_rows"),
         F.min(F.struct("source", "adjustment")).alias("_first_basis"),
         F.max(F.struct("source", "adjustment")).alias("_last_basis"),
     )
+    agg = agg.join(returned, ["symbol", "timeframe"])
+    agg = agg.withColumn("_quality", F.when(F.col("_undated") > 0, "MALFORMED_BARS").otherwise(F.col("_quality"))).drop("_undated")
     out = series.filter(F.col("timeframe").isin(*used)).join(agg, ["symbol", "timeframe"], "left")
     s = F.col
     frame_context = _per_frame({tf: F.lit(_frame_ok(frames.get(tf))) for tf in used}, False)

@@ -10,6 +10,7 @@ from ..functions.clock import shanghai_date
 from ..functions.numbers import finite
 from ..operators.calendar import completed_by, latest_completed
 from ..operators.indicators import Series
+from ..sources.captures import settled
 
 # Threshold defaults and bounds, and the fixed periods.
 DEFAULTS = {
@@ -171,35 +172,41 @@ def swing_screen(bars: DataFrame, dim: DataFrame, as_of: Column, overrides=None,
     if universe is not None:
         bars = bars.join(universe.select("symbol").distinct(), "symbol", "left_semi")
     rows = _row_stage(bars, dim, as_of)
+    # All rows are counted, and those skipped before the duplicate test are
+    # only counted: they need no window and may be any number.
+    early_fail = F.when(~F.col("_early").isin(*SKIPS), F.col("row_no"))
+    totals = rows.groupBy("symbol").agg(
+        F.count("*").alias("input_count"), F.count_if(F.col("_early") == "current").alias("excluded_current_date"),
+        F.count_if(F.col("_early") == "future").alias("excluded_future"), F.min(early_fail).alias("_early_row"))
     # A repeated date fails at its second row. Ranks above 2 cannot come first,
-    # and the <= 2 limit is applied before the shuffle. Rows skipped before the
-    # duplicate test keep a partition of their own.
-    alone = F.when(F.col("_early").isNotNull(), F.col("row_no"))
-    rank = F.row_number().over(Window.partitionBy("symbol", "date", alone).orderBy("row_no"))
+    # and the <= 2 limit is applied before the shuffle.
+    rows = rows.filter(F.col("_early").isNull())
+    rank = F.row_number().over(Window.partitionBy("symbol", "date").orderBy("row_no"))
     rows = rows.withColumn("_seen", rank).filter(F.col("_seen") <= 2)
-    stage = F.coalesce(
-        F.col("_early"), F.when(F.col("_seen") == 2, "DUPLICATE_HISTORY_DATE"), F.col("_late"), F.lit("eligible")
-    )
+    stage = F.coalesce(F.when(F.col("_seen") == 2, "DUPLICATE_HISTORY_DATE"), F.col("_late"), F.lit("eligible"))
     rows = rows.withColumn("_stage", stage)
     eligible = F.col("_stage") == "eligible"
     newest = Window.partitionBy("symbol").orderBy(eligible.desc(), F.col("date").desc())
     rows = rows.withColumn("_back", F.row_number().over(newest))
     bar = F.struct("date", "open", "high", "low", "close", "volume_shares")
     failing = ~F.col("_stage").isin("eligible", *SKIPS)
-    counts = {
-        "input_count": F.count("*"),
+    judged = {
         "completed_count": F.count_if(eligible),
-        "excluded_current_date": F.count_if(F.col("_stage") == "current"),
-        "excluded_future": F.count_if(F.col("_stage") == "future"),
         "excluded_incomplete": F.count_if(F.col("_stage") == "incomplete"),
         "excluded_unknown_calendar": F.count_if(F.col("_stage") == "unknown_calendar"),
     }
+    counts = ("input_count", "completed_count", "excluded_current_date", "excluded_future", "excluded_incomplete", "excluded_unknown_calendar")
     series = rows.groupBy("symbol").agg(
-        F.min_by(F.when(failing, F.col("_stage")), F.when(failing, F.col("row_no"))).alias("_row_fail"),
+        F.min(F.when(failing, F.struct("row_no", "_stage"))).alias("_late_fail"),
         # At most 65 bars per symbol reach the list.
         F.array_sort(F.collect_list(F.when(eligible & (F.col("_back") <= MINIMUM_BARS), bar))).alias("_used"),
-        *[c.alias(n) for n, c in counts.items()],
+        *[c.alias(n) for n, c in judged.items()],
     )
+    series = totals.join(series, "symbol", "left").fillna(0, list(judged))
+    late = F.col("_late_fail")
+    first = F.col("_early_row").isNotNull() & (late.isNull() | (F.col("_early_row") < late["row_no"]))
+    series = series.withColumn("_row_fail", F.when(first, "INVALID_HISTORY_DATE").otherwise(late["_stage"]))
+    series = settled(series.withColumn("_used", F.coalesce("_used", F.array().cast(series.schema["_used"].dataType))))
     if universe is not None:
         series = universe.select("symbol").distinct().join(series, "symbol", "left")
     today_dim = dim.filter(F.col("date") == shanghai_date(as_of)).select(

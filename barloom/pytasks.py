@@ -127,15 +127,21 @@ def difference_points(key, frames, state):
     import numpy as np
     import pandas as pd
 
+    if state.hasTimedOut:
+        state.remove()
+        return
     pdf = pd.concat(list(frames)).sort_values("ts")
     t0, v0, a0 = state.get if state.exists else (None, np.nan, np.nan)
     ts = np.concatenate([[np.nan if t0 is None else t0], pdf.ts.to_numpy(float)])
     volume = np.concatenate([[v0], pdf.volume.to_numpy(float)])
     amount = np.concatenate([[a0], pdf.amount.to_numpy(float)])
     step = lambda x: np.where(x[1:] >= x[:-1], x[1:] - x[:-1], np.nan)
-    state.update((int(pdf.ts.iloc[-1]), float(volume[-1]), float(amount[-1])))
+    minutes = (ts[1:] - ts[:-1]) / 60e6
+    if t0 is None or ts[-1] >= t0:
+        state.update((int(pdf.ts.iloc[-1]), float(volume[-1]), float(amount[-1])))
+    state.setTimeoutDuration(24 * 3600 * 1000)
     yield pd.DataFrame({
         "symbol": key[0], "session_date": key[1], "ts": pdf.ts.to_numpy(), "price": pdf.price.to_numpy(),
         "interval_volume_shares": step(volume), "interval_amount_cny": step(amount),
-        "interval_minutes": (ts[1:] - ts[:-1]) / 60e6,
+        "interval_minutes": np.where(minutes >= 0, minutes, np.nan),
     })

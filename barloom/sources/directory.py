@@ -10,10 +10,8 @@ from .captures import first_code, split_valid
 # Identity of the two exchange list responses.
 SSE_QUERY = "COMMON_SSE_CP_GPJCTPZ_GPLB_GP_L"
 SSE_KEYS = ("A_STOCK_CODE", "SEC_NAME_CN", "LIST_DATE", "STOCK_TYPE", "LIST_BOARD", "DELIST_DATE")
-SSE_PAGE_SIZE = 5000
 SZSE_CATALOG, SZSE_TAB, SZSE_TITLE, MAIN_BOARD = "1110", "tab1", "A股列表", "主板"
 SZSE_HEADERS = ("板块", "A股代码", "A股简称", "A股上市日期")
-SUGGESTION_ROWS = 100
 
 _SSE_ROW = "array<struct<" + ",".join(f"{k}:string" for k in SSE_KEYS) + ">>"
 _SSE = (f"struct<sqlId:string,type:string,isPagination:string,actionErrors:array<string>,actionMessages:array<string>,"
@@ -62,8 +60,8 @@ def decode_sse_directory(raw: DataFrame):
     whole = (
         (d["sqlId"] == SSE_QUERY) & (d["type"] == "inParams") & (d["isPagination"] == "true")
         & (F.size(d["actionErrors"]) == 0) & (F.size(d["actionMessages"]) == 0) & (F.size(d["fieldErrors"]) == 0)
-        & F.size(rows).between(1, SSE_PAGE_SIZE) & (page["pageNo"] == 1) & (page["pageCount"] == 1)
-        & (page["pageSize"] == SSE_PAGE_SIZE) & (page["total"] == F.size(rows)) & (F.size(page["data"]) == F.size(rows))
+        & (F.size(rows) >= 1) & (page["pageNo"] == 1) & (page["pageCount"] == 1)
+        & (page["pageSize"] >= F.size(rows)) & (page["total"] == F.size(rows)) & (F.size(page["data"]) == F.size(rows))
     )
     pairs = F.zip_with(rows, page["data"], lambda a, b: a.eqNullSafe(b))
     in_scope = F.transform(rows, lambda r: (r["STOCK_TYPE"] == "1") & (r["LIST_BOARD"] == "1") & (r["DELIST_DATE"] == "-"))
@@ -79,7 +77,7 @@ def linked_name(html: Column) -> Column:
     """Name inside `<a ...><u>name</u></a>`, entities decoded; NULL otherwise."""
     inner = F.regexp_extract(html, r"^<a\s+[^<>]*>\s*<u>([^<>]*)</u>\s*</a>$", 1)
     text = decode_entities(inner)
-    return F.when((inner != "") & (F.length(html) <= 1024) & ~text.rlike(r"(?i)&(#|[a-z])"), text)
+    return F.when((inner != "") & ~text.rlike(r"(?i)&(#|[a-z])"), text)
 
 
 def decode_szse_metadata(raw: DataFrame):
@@ -89,7 +87,7 @@ def decode_szse_metadata(raw: DataFrame):
     df = df.withColumn("_n", F.size(tabs)).withColumn("_s", F.get(tabs, F.lit(0)))
     m, rows = F.col("_s.metadata"), F.col("_s.data")
     whole = (
-        F.col("_s.error").isNull() & (m["name"] == SZSE_TITLE) & (m["pageno"] == 1) & m["pagesize"].between(1, 200)
+        F.col("_s.error").isNull() & (m["name"] == SZSE_TITLE) & (m["pageno"] == 1) & (m["pagesize"] >= 1)
         & (m["recordcount"] >= 1) & (m["pagecount"] == F.ceil(m["recordcount"] / m["pagesize"]))
         & (F.size(rows) == F.least(m["recordcount"], m["pagesize"])) & strict_date(F.trim(m["subname"])).isNotNull()
     )
@@ -108,10 +106,13 @@ def decode_szse_metadata(raw: DataFrame):
     return kept, bad.select("capture_id", "reason").unionByName(failed)
 
 
-def map_workbook_rows(rows: DataFrame, metadata: DataFrame | None = None):
-    """Tabular list rows by header name: (valid items, bad rows).
+def map_workbook_rows(rows: DataFrame, metadata: DataFrame | None = None, keys=()):
+    """Tabular list rows by header name: (items of sound lists, faulty rows with their reason).
 
-    Each required header must occur exactly once.
+    Each required header must occur exactly once. A list is all rows with
+    equal `keys` (without keys, all rows); one faulty row, one repeated code
+    or a row count other than its metadata's `recordcount` refuses the whole
+    list. Faulty rows are returned one by one, a wrong count as one row.
     """
     for header in SZSE_HEADERS:
         if rows.columns.count(header) != 1:
@@ -119,9 +120,28 @@ def map_workbook_rows(rows: DataFrame, metadata: DataFrame | None = None):
     board, code, name, listed = (F.col(f"`{h}`") for h in SZSE_HEADERS)
     out = rows.withColumn("_i", directory_item(code, "SZ", name, listed, "szse_public_mainboard"))
     reason = F.when(~F.coalesce(board == MAIN_BOARD, F.lit(False)), "SZSE_WORKBOOK_SCOPE_MISMATCH").otherwise(F.col("_i.code"))
+    rest = [c for c in rows.columns if c not in SZSE_HEADERS]
     good, bad = split_valid(out.withColumn("reason", reason))
-    keys = [c for c in rows.columns if c not in SZSE_HEADERS]
-    return good.select(*keys, "_i.*").drop("code"), bad.drop("_i")
+    bad = bad.select(*rest, "reason")
+    keys = list(keys)
+    per_code = good.groupBy(*keys, "_i.symbol").count().filter("count > 1").withColumn("reason", F.lit("PUBLIC_DIRECTORY_DUPLICATE_IDENTITY"))
+    faults = bad.select(*keys, "reason").unionByName(per_code.select(*keys, "reason"))
+    if metadata is not None:
+        counted = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+        if keys:
+            wrong = counted.join(metadata.select(*keys, "recordcount").distinct(), keys)
+        else:
+            wrong = counted.withColumn("recordcount", metadata.agg(F.max("recordcount")).scalar())
+        faults = faults.unionByName(wrong.filter("_n <> recordcount").select(*keys, F.lit("SZSE_WORKBOOK_COUNT_MISMATCH").alias("reason")))
+    refused = faults.select(*keys).distinct() if keys else faults.agg(F.count("*").alias("_faults"))
+    if keys:
+        good = good.join(refused, keys, "left_anti")
+    else:
+        good = good.filter(refused.select("_faults").scalar() == 0)
+    missing = [c for c in rest if c not in keys]
+    extra = faults.join(bad.select(*keys, "reason").distinct(), [*keys, "reason"], "left_anti")
+    extra = extra.select(*keys, *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in missing], "reason")
+    return good.select(*rest, "_i.*").drop("code"), bad.unionByName(extra)
 
 
 def decode_ticker_pages(raw: DataFrame, limit: int, expected_snapshot: int | None = None):
@@ -178,17 +198,18 @@ def decode_ticker_pages(raw: DataFrame, limit: int, expected_snapshot: int | Non
     return rows, pages, bad.select("capture_id", "reason")
 
 
-def decode_suggestions(raw: DataFrame):
+def decode_suggestions(raw: DataFrame, limit: int | None = None):
     """Suggestion rows `exchange~code~name~~type^...`: one row per A-share match.
 
-    The first 100 rows of a response are examined; `truncated` says whether
-    there were more. `position` is the row's place in the response.
+    With a `limit` only the first rows of a response are examined, and
+    `truncated` says whether there were more. `position` is the row's place
+    in the response.
     """
     text = F.regexp_extract("body", r'^\s*v_hint\s*=\s*"((?:[^"\\]|\\.)*)"\s*;?\s*$', 1)
     plain = F.get_json_object(F.concat(F.lit('{"v":"'), text, F.lit('"}')), "$.v")
     rows = F.split(plain, r"\^", -1)
-    df = raw.select(*[c for c in raw.columns if c != "body"], (F.size(rows) > SUGGESTION_ROWS).alias("truncated"),
-                    F.posexplode(F.slice(rows, 1, SUGGESTION_ROWS)).alias("position", "_r"))
+    df = raw.select(*[c for c in raw.columns if c != "body"], (F.size(rows) > limit if limit else F.lit(False)).alias("truncated"),
+                    F.posexplode(F.slice(rows, 1, limit) if limit else rows).alias("position", "_r"))
     f = F.split("_r", "~", -1)
     at = lambda i: F.get(f, F.lit(i))
     symbol = F.concat(at(0), at(1))

@@ -29,9 +29,9 @@ def write_snapshots(snapshots: DataFrame, path: str) -> None:
 
 
 def write_dataset(header: DataFrame, bars: DataFrame, path: str) -> None:
-    """Frozen series as two tables, one folder per run."""
-    header.write.mode("append").partitionBy("run_id").parquet(f"{path}/series")
-    bars.write.mode("append").partitionBy("run_id").parquet(f"{path}/bars")
+    """Frozen series as two tables, one folder per run; a run written again replaces itself."""
+    for rows, name in ((header, "series"), (bars, "bars")):
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{path}/{name}")
 
 
 def read_dataset_tables(spark: SparkSession, path: str, run_id: str):

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from .. import pytasks
-from ..operators.archive import ARCHIVE_KEY, STATE, archive_upsert, fold_auction
+from ..operators.archive import ARCHIVE_KEY, STATE, archive_upsert, fold_auction, with_key_defaults
+from ..operators.blocks import join_on
 
 # Completion delay in seconds by kind; days wait until 15:30:03.
 DELAYS = {"1m": 3, "5m": 3, "intraday": 63, "1d": 30 * 60 + 3, "1w": 30 * 60 + 3, "1mo": 30 * 60 + 3}
@@ -26,7 +27,9 @@ def read_log(spark: SparkSession, path: str, keys, below: int | None = None) ->
     """Newest version of every key; optionally only versions below a batch id."""
     try:
         log = spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as fault:
+        if fault.getCondition() != "PATH_NOT_FOUND":  # a broken log is not an empty one
+            raise
         return None
     if below is not None:
         log = log.filter(F.col("version") < below)
@@ -64,7 +67,7 @@ def stream_archive(arrivals: DataFrame, path: str, checkpoint: str, keys=ARCHIVE
     def apply(batch: DataFrame, batch_id: int):
         stored = read_log(batch.sparkSession, path, keys, below=batch_id)
         if stored is not None:
-            stored = stored.join(batch.select(*keys).distinct(), keys, "left_semi")
+            stored = join_on(stored, with_key_defaults(batch, keys).select(*keys).distinct(), keys, "left_semi")
         _write_version(archive_upsert(batch, stored, keys).select(*keys, *STATE), path, batch_id)
 
     return _each_batch(arrivals, apply, checkpoint, trigger)
@@ -89,7 +92,9 @@ POINT_STATE = "ts long, volume double, amount double"
 def stream_intraday(points: DataFrame) -> DataFrame:
     """Interval differences per (symbol, session_date), carried across batches.
 
-    The state is the last cumulative point; a session has at most 1440.
+    The state is the last cumulative point; a session has at most 1440. It
+    is dropped when its session has had no point for a day of processing time.
+    Unknown differences are null; a point before the stored one has none.
     """
     src = points.select(
         "symbol", "session_date", F.unix_micros("source_timestamp").alias("ts"), F.col("price").cast("double").alias("price"),
@@ -97,8 +102,9 @@ def stream_intraday(points: DataFrame) -> DataFrame:
     out = ("symbol string, session_date date, ts long, price double, interval_volume_shares double, "
            "interval_amount_cny double, interval_minutes double")
     df = src.groupBy("symbol", "session_date").applyInPandasWithState(
-        pytasks.difference_points, out, POINT_STATE, "append", GroupStateTimeout.NoTimeout)
-    return df.withColumn("source_timestamp", F.timestamp_micros("ts")).drop("ts")
+        pytasks.difference_points, out, POINT_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    known = {c: F.when(~F.isnan(c), F.col(c)) for c in ("interval_volume_shares", "interval_amount_cny", "interval_minutes")}
+    return df.withColumns(known).withColumn("source_timestamp", F.timestamp_micros("ts")).drop("ts")
 
 
 def stream_auction(arrivals: DataFrame, path: str, checkpoint: str, keys=("symbol", "session_date"), trigger=None):
@@ -115,9 +121,9 @@ def stream_auction(arrivals: DataFrame, path: str, checkpoint: str, keys=("symbo
         stored = read_log(batch.sparkSession, path, keys, below=batch_id)
         rows = batch.select(*columns)
         if stored is not None:
-            touched = stored.join(batch.select(*keys).distinct(), keys, "left_semi")
+            touched = join_on(stored, batch.select(*keys).distinct(), keys, "left_semi")
             rows = rows.unionByName(touched.select(*columns))
-        kept = fold_auction(rows, keys).join(rows, [*keys, "arrival_no"])
+        kept = join_on(fold_auction(rows, keys), rows, [*keys, "arrival_no"])
         _write_version(kept.select(*columns), path, batch_id)
 
     return _each_batch(arrivals, apply, checkpoint, trigger)

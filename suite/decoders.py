@@ -409,7 +409,7 @@ def exchange_list(spark, d):
     g = p.groupBy("page").agg(F.collect_list(row).alias("rows"))
     none = F.array().cast("array<string>")
     total = F.when(F.col("page") % 7 == 3, F.size("rows") + 1).otherwise(F.size("rows"))
-    helper = F.struct(F.lit(1).alias("pageNo"), F.lit(1).alias("pageCount"), F.lit(D.SSE_PAGE_SIZE).alias("pageSize"), total.alias("total"), F.col("rows").alias("data"))
+    helper = F.struct(F.lit(1).alias("pageNo"), F.lit(1).alias("pageCount"), F.lit(2000).alias("pageSize"), total.alias("total"), F.col("rows").alias("data"))
     body = F.to_json(F.struct(F.lit(D.SSE_QUERY).alias("sqlId"), F.lit("inParams").alias("type"), F.lit("true").alias("isPagination"), none.alias("actionErrors"),
                               none.alias("actionMessages"), F.create_map().cast("map<string,string>").alias("fieldErrors"), F.col("rows").alias("result"), helper.alias("pageHelp")))
     good, _ = D.decode_sse_directory(g.select(F.col("page").cast("string").alias("capture_id"), body.alias("body")))
@@ -432,12 +432,16 @@ def list_metadata(spark, d):
     return good.select(F.col("capture_id").cast("long").alias("page"), "symbol", "name", "list_date", "source_effective_date")
 
 
-@query("a14_workbook_rows", f"""WITH {_PT} SELECT p_partkey, 'sz' || ticker AS symbol, p_name AS name, listed AS list_date FROM pt WHERE p_partkey % 9 <> 4 AND p_partkey % 10 <> 7""")
+@query("a14_workbook_rows", f"""WITH {_PT} SELECT p_partkey, 'sz' || ticker AS symbol, p_name AS name, listed AS list_date FROM pt
+WHERE NOT ((page % 5 = 2 OR page % 7 = 3) AND EXISTS (SELECT 1 FROM pt o WHERE o.page = pt.page AND o.p_partkey % 100 = 7)) AND page % 11 <> 4""")
 def workbook_rows(spark, d):
+    """One list per page; a foreign board, a wrong date or a wrong count refuses a whole list."""
     p = _parts(spark, d)
-    rows = p.select("p_partkey", F.when(F.col("p_partkey") % 9 == 4, "创业板").otherwise("主板").alias("板块"), F.col("ticker").alias("A股代码"), F.col("p_name").alias("A股简称"),
-                    F.when(F.col("p_partkey") % 10 == 7, "1995-02-30").otherwise(F.col("listed").cast("string")).alias("A股上市日期"))
-    good, _ = D.map_workbook_rows(rows)
+    one = F.col("p_partkey") % 100 == 7
+    rows = p.select("p_partkey", "page", F.when(one & (F.col("page") % 5 == 2), "创业板").otherwise("主板").alias("板块"), F.col("ticker").alias("A股代码"), F.col("p_name").alias("A股简称"),
+                    F.when(one & (F.col("page") % 7 == 3), "1995-02-30").otherwise(F.col("listed").cast("string")).alias("A股上市日期"))
+    counts = p.groupBy("page").agg((F.count("*") + F.when(F.first("page") % 11 == 4, 1).otherwise(0)).alias("recordcount"))
+    good, _ = D.map_workbook_rows(rows, counts, ["page"])
     return good.select("p_partkey", "symbol", "name", "list_date")
 
 
@@ -484,10 +488,10 @@ def suggestions(spark, d):
     return out.select("page", "lookup_name", "symbol", "truncated", "position", F.lit(True).alias("kept"))
 
 
-@query("a21_export_window", f"""WITH {DAILY} SELECT symbol, date, close FROM bars WHERE date >= DATE '2001-01-01'""")
+@query("a21_export_window", f"""WITH {DAILY} SELECT symbol, date, close FROM bars""")
 def export_window(spark, d):
     from barloom.session import work_dir
 
     path = work_dir(spark, "export")
-    ST.export_json(T.daily_bars(spark, d).filter(F.col("date") >= F.lit("2001-01-01").cast("date")).select("symbol", "date", "close"), path)
+    ST.export_json(T.daily_bars(spark, d).select("symbol", "date", "close"), path)
     return K.read_table(spark, path, "json", schema="symbol string, date date, close double")

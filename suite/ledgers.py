@@ -195,15 +195,14 @@ def _dataset_bars(spark, d):
     target = F.lit(TARGET).cast("date")
     n = F.substring("symbol", 6, 3).cast("int")
     day = T.session_bars(spark, d, "1d").join(sessions, "date", "left_semi").filter(F.col("date") <= target)
-    month = T.session_bars(spark, d, "1mo").filter((F.col("date") <= target) & (F.col("date") >= F.lit("1996-09-01").cast("date")))
+    month = T.session_bars(spark, d, "1mo").filter(F.col("date") <= target)
     # The forming month is observed at the target session.
     month = month.withColumn("date", F.when(F.col("date") == F.lit("2001-06-01").cast("date"), target).otherwise(F.col("date")))
     month = month.withColumn("high", F.when((n % 7 == 3) & (F.col("date") == F.lit("2000-01-01").cast("date")), F.lit(0.01)).otherwise(F.col("high")))
     raw = day.withColumn("adjustment", F.lit("none"))
-    tail = F.lit("1997-10-01").cast("date")
-    week = raw.withColumn("interval", F.lit("1w")).filter(F.col("date") >= F.lit("1999-07-01").cast("date"))
+    week = raw.withColumn("interval", F.lit("1w"))
     adjusted = day.filter(~((n % 5 == 2) & (F.col("date") == target)))
-    out = raw.filter(F.col("date") >= tail).unionByName(week).unionByName(month.withColumn("adjustment", F.lit("none"))).unionByName(adjusted.filter(F.col("date") >= tail))
+    out = raw.unionByName(week).unionByName(month.withColumn("adjustment", F.lit("none"))).unionByName(adjusted)
     return out.withColumn("amount_cny", F.lit(None).cast("double"))
 
 
@@ -213,13 +212,13 @@ def published(spark, d):
 
 _DS = f"""WITH {SESSION}, {SESSION_MONTH.replace('raw AS', 'rawm AS').replace('bars AS', 'mbars AS').replace('FROM raw ', 'FROM rawm ')}, {WKCAL},
 day AS (SELECT bars.*, CAST(substr(symbol, 6, 3) AS INT) AS n FROM bars JOIN cal ON cal.date = bars.date AND is_trading WHERE bars.date <= DATE '{TARGET}'),
-ds AS (SELECT symbol, '1d' AS interval, 'none' AS adjustment, date, high, close, n FROM day WHERE date >= DATE '1997-10-01'
- UNION ALL SELECT symbol, '1w', 'none', date, high, close, n FROM day WHERE date >= DATE '1999-07-01'
- UNION ALL SELECT symbol, '1d', 'qfq', date, high, close, n FROM day WHERE date >= DATE '1997-10-01' AND NOT (n % 5 = 2 AND date = DATE '{TARGET}')
+ds AS (SELECT symbol, '1d' AS interval, 'none' AS adjustment, date, high, close, n FROM day
+ UNION ALL SELECT symbol, '1w', 'none', date, high, close, n FROM day
+ UNION ALL SELECT symbol, '1d', 'qfq', date, high, close, n FROM day WHERE NOT (n % 5 = 2 AND date = DATE '{TARGET}')
  UNION ALL SELECT symbol, '1mo', 'none', CASE WHEN date = DATE '2001-06-01' THEN DATE '{TARGET}' ELSE date END, CASE WHEN CAST(substr(symbol, 6, 3) AS INT) % 7 = 3 AND date = DATE '2000-01-01' THEN 0.01 ELSE high END, close,
-   CAST(substr(symbol, 6, 3) AS INT) FROM mbars WHERE date <= DATE '{TARGET}' AND date >= DATE '1996-09-01'),
+   CAST(substr(symbol, 6, 3) AS INT) FROM mbars WHERE date <= DATE '{TARGET}'),
 agg AS (SELECT symbol, interval, adjustment, count(*) AS returned, min(date) AS first_date, max(date) AS last_date, bool_or(high < close) AS broken FROM ds GROUP BY 1, 2, 3),
-hdr AS (SELECT *, interval || ':' || adjustment AS key, CASE WHEN returned > CASE interval WHEN '1d' THEN 200 WHEN '1w' THEN 104 ELSE 60 END THEN 'INVALID_SERIES_BASIS' WHEN broken THEN 'INVALID_OHLCV_VALUES'
+hdr AS (SELECT *, interval || ':' || adjustment AS key, CASE WHEN broken THEN 'INVALID_OHLCV_VALUES'
   WHEN last_date <> DATE '{TARGET}' THEN 'SOURCE_BEHIND_TARGET_SESSION' END AS error_code FROM agg),
 hd AS (SELECT *, CASE WHEN error_code IS NULL THEN 'ready' WHEN error_code = 'SOURCE_BEHIND_TARGET_SESSION' THEN 'pending_source' ELSE 'failed_without_data' END AS status FROM hdr),
 st AS (SELECT symbol, CASE WHEN count(CASE WHEN status = 'ready' THEN 1 END) = 4 THEN 'ready' WHEN count(CASE WHEN status = 'ready' THEN 1 END) > 0 THEN 'partial'
@@ -291,9 +290,9 @@ def dataset_store(spark, d):
     return series.select("symbol", "key", "status")
 
 
-@query("a17_dataset_documents", f"""WITH {DAILY} SELECT symbol, CAST(row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS INTEGER) AS row_no, date, close FROM bars WHERE date >= DATE '2001-01-01'""")
+@query("a17_dataset_documents", f"""WITH {DAILY} SELECT symbol, CAST(row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS INTEGER) AS row_no, date, close FROM bars""")
 def dataset_documents(spark, d):
-    b = T.daily_bars(spark, d).filter(F.col("date") >= F.lit("2001-01-01").cast("date"))
+    b = T.daily_bars(spark, d)
     bar = F.struct(F.col("date").cast("string").alias("date"), "open", "high", "low", "close", "volume_shares", F.lit(True).alias("complete"))
     docs = b.groupBy("symbol", "source", "interval", "adjustment").agg(F.array_sort(F.collect_list(bar)).alias("bars")).withColumn("dataset_id", F.lit("run-1"))
     path = work_dir(spark, "documents")

@@ -16,12 +16,11 @@ def normalized(spark, d):
     return T.table(spark, d, "supplier").select("s_suppkey", B.normalized_name(B.nfkc(name)).alias("normalized_name"))
 
 
-@query("h03_entity_decode", r"""SELECT page_id, len(html) - 4 * (len(html) - len(replace(html, '&amp;', ''))) // 5 AS decoded_length FROM pages
-WHERE NOT regexp_matches(replace(html, '&amp;', ''), '&(#|[a-zA-Z])') AND NOT regexp_matches(html, '&amp;[a-zA-Z#]')""")
+@query("h03_entity_decode", r"""SELECT page_id, CAST(len(html) - coalesce(list_sum(list_transform(
+  regexp_extract_all(html, '(?i)&(#x[0-9a-f]+|#[0-9]+|amp|lt|gt|quot|apos);'), lambda m: len(m) - 1)), 0) AS BIGINT) AS decoded_length FROM pages""")
 def entities(spark, d):
     p = T.table(spark, d, "pages")
-    only_amp = ~F.replace("html", F.lit("&amp;"), F.lit("")).rlike("&(#|[a-zA-Z])") & ~F.col("html").rlike("&amp;[a-zA-Z#]")
-    return p.filter(only_amp).select("page_id", F.length(B.decode_entities(F.col("html"))).cast("long").alias("decoded_length"))
+    return p.select("page_id", F.length(B.decode_entities(F.col("html"))).cast("long").alias("decoded_length"))
 
 
 @query("h04_strict_number", """SELECT o_orderkey, CASE WHEN o_orderkey % 5 IN (1, 2, 3) THEN NULL ELSE o_totalprice END AS value FROM orders""")
@@ -102,9 +101,9 @@ def lot_scaling(spark, d):
     return b.select(s.alias("symbol"), "date", "volume_shares").select("symbol", "date", (F.col("volume_shares") * B.lot_factor(F.col("symbol"))).alias("shares"))
 
 
-@query("h16_array_levels", """SELECT vec_id, len(list_filter(embedding[1:5], lambda x: x > 0)) AS positive_levels, len(embedding[1:5]) AS levels FROM embeddings""")
+@query("h16_array_levels", """SELECT vec_id, len(list_filter(embedding, lambda x: x > 0)) AS positive_levels, len(embedding) AS levels FROM embeddings""")
 def array_levels(spark, d):
-    first = F.slice("embedding", 1, 5)
+    first = F.col("embedding")
     return T.table(spark, d, "embeddings").select(
         "vec_id", F.size(F.filter(first, lambda x: x > 0)).cast("long").alias("positive_levels"), F.size(first).cast("long").alias("levels"))
 

@@ -46,8 +46,7 @@ def stream_intraday(spark, d):
     q = S.stream_intraday(src).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     out = spark.read.parquet(f"{path}/out")
-    real = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
-    return out.select("symbol", "session_date", shanghai_text(F.col("source_timestamp")).alias("source_timestamp"), real("interval_volume_shares"), real("interval_minutes"))
+    return out.select("symbol", "session_date", shanghai_text(F.col("source_timestamp")).alias("source_timestamp"), "interval_volume_shares", "interval_minutes")
 
 
 def _quotes(df):
