@@ -15,6 +15,7 @@ from ..functions.symbols import excluded_name, is_screen_mainboard
 from ..operators.calendar import VERIFIED
 from ..operators.indicators import Series
 from ..operators.paging import with_budget
+from ..sources.captures import settled
 
 
 def adapter_completion(complete: Column, calendar: Column, basis: Column) -> Column:
@@ -360,6 +361,7 @@ def prepared_frames(bars: DataFrame, series: DataFrame, frames: dict, run: dict,
     )
     agg = agg.join(returned, ["symbol", "timeframe"])
     agg = agg.withColumn("_quality", F.when(F.col("_undated") > 0, "MALFORMED_BARS").otherwise(F.col("_quality"))).drop("_undated")
+    agg = settled(agg)
     out = series.filter(F.col("timeframe").isin(*used)).join(agg, ["symbol", "timeframe"], "left")
     s = F.col
     frame_context = _per_frame({tf: F.lit(_frame_ok(frames.get(tf))) for tf in used}, False)
