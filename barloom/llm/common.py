@@ -98,7 +98,18 @@ class WordCache:
         return self.known
 
 
-@functools.cache
+_latest: dict = {}
+
+
+def latest_cache(key, make: Callable[[], WordCache]) -> WordCache:
+    """This process' cache for `key`; the one of any other key is let go, so a worker holds one."""
+    if key not in _latest:
+        _latest.clear()
+        _latest[key] = make()
+    return _latest[key]
+
+
+@functools.lru_cache(1)
 def tokenizer(path: str):
     """A tokenizer file, loaded once per process; Spark's tasks are the parallelism."""
     os.environ.setdefault("RAYON_NUM_THREADS", "1")

@@ -7,7 +7,6 @@ example. Null and empty texts hold the end token alone. Each row is packed,
 repeated rows and ids too. Other columns of the input are not read.
 """
 
-import functools
 import zlib
 from collections.abc import Iterator
 
@@ -16,12 +15,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WordCache, arrow_map, bodies, runs, tokenizer
+from .common import WordCache, arrow_map, bodies, latest_cache, runs, tokenizer
 
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
-@functools.cache
 def _ids(path: str, limit: int) -> WordCache:
     tok = tokenizer(path)
 
@@ -29,7 +27,7 @@ def _ids(path: str, limit: int) -> WordCache:
         found = tok.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    return WordCache(compute, limit)
+    return latest_cache(("ids", path, limit), lambda: WordCache(compute, limit))
 
 
 def id_bytes(texts: list[bytes], path: str, cached: int) -> list[bytes]:

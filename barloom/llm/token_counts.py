@@ -4,7 +4,6 @@ Nulls and empty texts have 0 tokens. Repeated rows and ids are counted row by
 row. Other columns of the input are not read.
 """
 
-import functools
 import re
 from collections.abc import Iterator
 
@@ -12,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WordCache, arrow_map, runs, tokenizer
+from .common import WordCache, arrow_map, latest_cache, runs, tokenizer
 
 #: White space besides ASCII's; a text that holds any is encoded without cutting it at blanks.
 OTHER_BLANKS = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
@@ -69,10 +68,10 @@ def spliced_count(tok, text: str, chunk: int, overlap: int, margin: int) -> tupl
     return total + len(starts), chunks, widened
 
 
-@functools.cache
 def _counter(path: str, limit: int) -> WordCache:
     tok = tokenizer(path)
-    return WordCache(lambda words: [len(e.ids) for e in tok.encode_batch_fast(words, add_special_tokens=False)], limit)
+    return latest_cache(("counts", path, limit), lambda: WordCache(
+        lambda words: [len(e.ids) for e in tok.encode_batch_fast(words, add_special_tokens=False)], limit))
 
 
 def _count(batches: Iterator[pa.RecordBatch], path: str, chunk: int, overlap: int, cached: int) -> Iterator[pa.RecordBatch]:

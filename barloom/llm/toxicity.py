@@ -1,7 +1,9 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax.
 
 A text is the average of the embeddings of its words' character n-grams and
-whole words (hashed); embeddings and softmax are trained jointly in numpy.
+whole words (hashed), a word that stands n times counting sqrt(n) times, so
+that a word repeated on and on does not make up the average; embeddings and
+softmax are trained jointly in numpy.
 A misspelling that was never seen shares most of its n-grams with words that
 were. Null and empty texts have no subwords; their score comes from the bias
 alone. Every row is scored by itself, repeated ones too. Other columns are not
@@ -9,16 +11,18 @@ inputs of the score. Labels that are null, or repeated with another value, are
 left out; with labels of one kind only, or none, every score is 0.
 """
 
-import functools
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import sqrt
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import WordCache, arrow_map, bodies, crc_mod, free_name, runs, texts
+from .common import WordCache, arrow_map, bodies, crc_mod, free_name, latest_cache, runs, texts
 
 
 @dataclass(frozen=True)
@@ -42,14 +46,28 @@ class Settings:
     seed: int = 11
 
 
-def subwords(word: bytes, s: Settings) -> list[int]:
-    """Buckets of a word's character n-grams with its ends marked, and of itself."""
-    text = f"<{word.decode('utf-8', 'replace')}>"
-    n = len(text)
-    digest, size = xxhash.xxh32_intdigest, s.buckets
-    grams = [digest(text[i:i + k], k) % size for k in range(s.shortest, s.longest + 1) for i in range(n - k + 1)]
-    grams.append(digest(text, 0) % size)
-    return grams
+def subwords(words: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the word, bucket) of every character n-gram of words with their ends marked, and of the words."""
+    texts_ = [f"<{w.decode('utf-8', 'replace')}>" for w in words]
+    size = np.fromiter(map(len, texts_), np.int64, len(texts_))
+    chars = np.frombuffer("".join(texts_).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    owner = np.repeat(np.arange(len(words)), size)
+    room = np.repeat(np.cumsum(size), size) - np.arange(len(chars))  # characters from here to the word's end
+    factor, step = np.uint64(1), np.uint64(0x9E3779B97F4A7C15)
+    grams = np.zeros(len(chars), np.uint64)
+    owners, buckets = [], []
+    with np.errstate(over="ignore"):
+        for k in range(1, s.longest + 1):
+            grams[: len(chars) - k + 1] += chars[k - 1:] * factor
+            factor = factor * step
+            if k >= s.shortest:
+                at = np.flatnonzero(room >= k)
+                mixed = (grams[at] ^ (grams[at] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
+                owners.append(owner[at])
+                buckets.append((mixed >> np.uint64(33)).astype(np.int64) % s.buckets)
+    owners.append(np.arange(len(words)))
+    buckets.append(np.fromiter((xxhash.xxh32_intdigest(w) % s.buckets for w in words), np.int64, len(words)))
+    return np.concatenate(owners), np.concatenate(buckets)
 
 
 def _lowered(text: bytes) -> list[bytes]:
@@ -61,17 +79,14 @@ def _bags(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordB
     for batch in batches:
         out = []
         for body in bodies(batch):
-            words: dict[bytes, int] = {}
-            for w in _lowered(body):
-                words[w] = words.get(w, 0) + 1
-            ids = [(i, n) for w, n in words.items() for i in subwords(w, s)]
-            if ids:
-                at, n = np.array(ids, np.int64).T
-                total = np.bincount(at, n, s.buckets)
+            words = Counter(_lowered(body))
+            if words:
+                owner, at = subwords(list(words), s)
+                total = np.bincount(at, np.sqrt(np.fromiter(words.values(), float, len(words)))[owner], s.buckets)
                 found = np.flatnonzero(total)
-                out.append((found.tolist(), (total[found] / total.sum()).tolist()))
+                out.append((found.astype(np.int32), (total[found] / total.sum()).astype(np.float32)))
             else:
-                out.append(([], []))
+                out.append((np.empty(0, np.int32), np.empty(0, np.float32)))
         yield pa.RecordBatch.from_arrays(
             [batch.column("toxic"), pa.array([x[0] for x in out], pa.list_(pa.int32())), pa.array([x[1] for x in out], pa.list_(pa.float32()))],
             ["toxic", "buckets", "shares"])
@@ -150,20 +165,16 @@ def learned(docs: DataFrame, labels: DataFrame, s: Settings, id_col="doc_id", te
     return train(bags, s)
 
 
-@functools.cache
-def _evidence_cache(token: int, s: Settings, limit: int):
-    """One word cache per trained model and process."""
-    return WordCache(None, limit)
-
-
 def _scores(batches, model, s: Settings, limit: int, names: list[str], body: str) -> Iterator[pa.RecordBatch]:
     evidence, bias, token = model
-    cache = _evidence_cache(token, s, limit)
+    cache = latest_cache(("evidence", token, limit), lambda: WordCache(None, limit))
 
     def compute(words):
-        for w in words:
-            at = subwords(w, s)
-            yield complex(float(evidence[at].sum()), len(at))
+        for a in range(0, len(words), 1 << 15):
+            part = words[a:a + (1 << 15)]
+            owner, at = subwords(part, s)
+            found = np.bincount(owner, evidence[at], len(part)) + 1j * np.bincount(owner, minlength=len(part))
+            yield from found.tolist()
 
     cache.compute = compute
     for batch in batches:
@@ -172,13 +183,14 @@ def _scores(batches, model, s: Settings, limit: int, names: list[str], body: str
             words = [_lowered(t) for t in texts_[a:b]]
             known = cache.of(words).__getitem__
             for w in words:
-                total = sum(map(known, w))  # evidence in the real part, subwords in the imaginary
+                bag = Counter(w)
+                total = sum(map(mul, map(known, bag), map(sqrt, bag.values())))  # evidence in the real part, subwords in the imaginary
                 out.append(total.real / total.imag + bias if w else bias)
         score = pa.array(1 / (1 + np.exp(-np.clip(np.array(out, float), -60, 60))), pa.float64())
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], score], [*names, "score"])
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, float] | None, s: Settings, text_col="text", score_col="score", cached=400_000) -> DataFrame:
+def scored(docs: DataFrame, model: tuple[np.ndarray, float] | None, s: Settings, text_col="text", score_col="score", cached=200_000) -> DataFrame:
     """All columns of `docs` and the score. No shuffle."""
     if model is None:
         return docs.withColumn(score_col, F.lit(0.0))
