@@ -153,9 +153,9 @@ def test_quality_features_and_ratio(spark, docs):
         return h - (1 << 64) if h >> 63 else h
 
     def grams(text):
-        w = [x.encode() for x in WORD.findall(text or "")]
-        one = [xxhash.xxh64_intdigest(x, 42) for x in w]
-        two = [xxhash.xxh64_intdigest(b, h) for h, b in zip(one, w[1:], strict=False)]
+        one = [xxhash.xxh64_intdigest(x.encode(), 42) for x in WORD.findall(text or "")]
+        raw = [struct.pack("<Q", h) for h in one]
+        two = [xxhash.xxh64_intdigest(b, xxhash.xxh64_intdigest(a, 42)) for a, b in zip(raw, raw[1:], strict=False)]
         return [signed(h) % buckets for h in one + two]
 
     raw, good = collections.Counter(), collections.Counter()
