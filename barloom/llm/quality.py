@@ -55,11 +55,11 @@ def features(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
 
 def _covered(grams: Column, width=3) -> Column:
     """Words covered by windows whose hash stands twice or more: equal hashes are neighbours once sorted."""
-    placed = F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+    placed = F.sort_array(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
     # Places of repeated windows: where a neighbour in the sorted order has the same hash.
     shifted = F.concat(F.array(F.struct(F.lit(None).cast("long").alias("g"), F.lit(-1).alias("i"))), placed)
     before = F.zip_with(shifted, placed, lambda a, b: F.when(a["g"] == b["g"], F.array(a["i"], b["i"])))
-    places = F.array_sort(F.array_distinct(F.flatten(F.array_compact(before))))
+    places = F.sort_array(F.array_distinct(F.flatten(F.array_compact(before))))
     nexts = F.slice(places, 2, F.greatest(F.size(places), F.lit(1)))
     steps = F.zip_with(places, nexts, lambda a, b: F.when(b.isNull(), F.lit(width)).otherwise(F.least(b - a, F.lit(width))))
     return F.aggregate(steps, F.lit(0).cast("long"), lambda s, x: s + x.cast("long"))
