@@ -90,11 +90,10 @@ def alignments(w: str, rare: dict[str, float], top: int) -> tuple[Column, Column
     return chosen, hits, F.array_sort(F.array_distinct(each))
 
 
-def scan(docs: DataFrame, id_col="doc_id", text_col="text", top=8, common=0.2) -> DataFrame:
+def scan(docs: DataFrame, id_col="doc_id", text_col="text", top=8) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score per row.
 
-    top: how many of a file's license words are looked up. common: words in
-    more than this share of all texts are never looked up. score: the largest
+    top: how many of a file's license words are looked up. score: the largest
     share of a verified template's words found at its place; at least a half
     where a license is named.
     """
@@ -102,7 +101,7 @@ def scan(docs: DataFrame, id_col="doc_id", text_col="text", top=8, common=0.2) -
     rows = settled(docs.select(F.col(f"`{id_col}`").alias("doc_id"), words(text).alias("_w")))
     vocabulary = sorted({x for _, notice, _ in TEMPLATES for x in split_words(notice)})
     n, found = document_frequencies(rows, vocabulary)
-    rare = {x: math.log(n / k) for x, k in found.items() if k <= common * n} or {"": 0.0}
+    rare = {x: math.log(n / k) for x, k in found.items()} or {"": 0.0}
     none = F.array().cast("array<struct<t:int,off:int>>")
     rows = settled(rows.select("doc_id", "_w", F.array_intersect("_w", _strings(sorted(rare))).alias("_present"), F.array_contains("_w", "license").alias("_named")))
     chosen, hits, aligned = alignments("_w", rare, top)

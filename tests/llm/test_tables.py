@@ -197,6 +197,17 @@ def test_license_names_and_notices(spark):
     assert all(0 <= r.score <= 1 for r in rows.values())
 
 
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+
+
+def test_a_notice_in_a_third_of_the_rows_and_in_the_only_row(spark):
+    texts = [BSD if i % 3 == 0 else f"plain words number {i}" for i in range(30)]
+    rows = {r.doc_id: r for r in licenses.scan(frame(spark, list(enumerate(texts)))).collect()}
+    assert all((r.labels, r.score) == (("bsd", 1.0) if i % 3 == 0 else ("", 0.0)) for i, r in rows.items())
+    only = licenses.scan(frame(spark, [(1, "Licensed under CC BY-NC 4.0")])).collect()
+    assert [(r.labels, r.score) for r in only] == [("cc-by-nc-4.0", 1.0)]
+
+
 def test_licenses_of_awkward_and_no_documents(spark, docs):
     got = licenses.scan(frame(spark, docs)).collect()
     assert len(got) == len(docs)
