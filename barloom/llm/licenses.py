@@ -1,11 +1,11 @@
 """License scan with a positional index of rare license words, all in DataFrame functions.
 
-A file's words that occur in license templates and are rarest in the corpus
-(highest inverse document frequency) are looked up in the templates' postings
-(word, template, position). Words that lie as far apart in the file as in a
-template agree on one offset; two or more such words make a candidate, and the
-template's mandatory phrase must then stand at its place from that offset on.
-Names of licenses are searched in every file besides.
+Of each template's mandatory phrase the two words that are rarest in the corpus
+(highest inverse document frequency) are looked up in the phrase's postings
+(word, template, position). A file that holds the phrase holds both. Words that
+lie as far apart in the file as in a template agree on one offset; two or more
+such words make a candidate, and the mandatory phrase must then stand at its
+place from that offset on. Names of licenses are searched in every file besides.
 
 Null and empty texts have no words, no labels and score 0. Every row is
 scanned by itself, repeated ones too. Other columns are not read.
@@ -78,41 +78,55 @@ def name_places(w: str) -> Column:
     return F.array_compact(F.transform(F.col(w), place))
 
 
-def alignments(w: str, rare: dict[str, float], top: int) -> tuple[Column, Column, Column]:
-    """The rarest of the words present; their places (x, i); and (t, off, i) per posting they meet, sorted, each once."""
-    ranked = F.array(*[F.struct(F.lit(-idf).alias("r"), F.lit(x).alias("x")) for x, idf in sorted(rare.items())])
-    postings = [(x, t, i) for t, (_, notice, _) in enumerate(TEMPLATES) for i, x in enumerate(split_words(notice)) if x in rare] or [("", -1, 0)]
-    table = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(t).alias("t"), F.lit(i).alias("i")) for x, t, i in postings])
-    chosen = F.transform(F.slice(F.array_sort(F.filter(ranked, lambda r: F.array_contains("_present", r["x"]))), 1, top), lambda r: r["x"])
-    hits = F.array_compact(F.transform(F.col(w), lambda x, i: F.when(F.array_contains("_chosen", x), F.struct(x.alias("x"), i.alias("i")))))
+def phrase_start(notice: str, phrase: str) -> int:
+    """Place of the mandatory phrase's first word in the notice."""
+    words_, key = split_words(notice), phrase.split()
+    return next(i for i in range(len(words_)) if words_[i:i + len(key)] == key)
+
+
+def rare_words(idf: dict[str, float]) -> dict[int, list[str]]:
+    """The two rarest words of every template's mandatory phrase; a phrase with a word that no text holds has none."""
+    phrases = {t: set(phrase.split()) for t, (_, _, phrase) in enumerate(TEMPLATES)}
+    return {t: sorted(key, key=lambda x: (-idf[x], x))[:2] for t, key in phrases.items() if key <= idf.keys()}
+
+
+def alignments(w: str, rare: dict[int, list[str]]) -> tuple[Column, Column, Column, Column]:
+    """The templates whose rare words are all present; their postings; these words' places (x, i); and (t, off, i) per posting they meet, sorted, each once."""
+    postings = [(x, t, phrase_start(notice, phrase) + i) for t, (_, notice, phrase) in enumerate(TEMPLATES) for i, x in enumerate(phrase.split()) if x in rare.get(t, [])]
+    table = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(t).alias("t"), F.lit(i).alias("i")) for x, t, i in postings or [("", -1, 0)]])
+    chosen = F.array_compact(F.array(F.lit(None).cast("int"), *[F.when(F.size(F.array_intersect("_present", _strings(key))) == len(key), F.lit(t)) for t, key in rare.items()]))
+    sought = F.filter(table, lambda p: F.array_contains("_chosen", p["t"]))
+    hits = F.array_compact(F.transform(F.col(w), lambda x, i: F.when(F.array_contains("_sought_words", x), F.struct(x.alias("x"), i.alias("i")))))
     each = F.flatten(F.transform("_hits", lambda h: F.transform(
-        F.filter(table, lambda p: p["x"] == h["x"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["i"]).alias("off"), p["i"].alias("i")))))
-    return chosen, hits, F.array_sort(F.array_distinct(each))
+        F.filter("_sought", lambda p: p["x"] == h["x"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["i"]).alias("off"), p["i"].alias("i")))))
+    return chosen, sought, hits, F.array_sort(each)
 
 
-def scan(docs: DataFrame, id_col="doc_id", text_col="text", top=8) -> DataFrame:
+def scan(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score per row.
 
-    top: how many of a file's license words are looked up. score: the largest
-    share of a verified template's words found at its place; at least a half
-    where a license is named.
+    score: the largest share of a verified template's words found at its
+    place; at least a half where a license is named.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = settled(docs.select(F.col(f"`{id_col}`").alias("doc_id"), words(text).alias("_w")))
-    vocabulary = sorted({x for _, notice, _ in TEMPLATES for x in split_words(notice)})
+    vocabulary = sorted({x for _, _, phrase in TEMPLATES for x in phrase.split()})
     n, found = document_frequencies(rows, vocabulary)
-    rare = {x: math.log(n / k) for x, k in found.items()} or {"": 0.0}
+    rare = rare_words({x: math.log(n / k) for x, k in found.items()})
+    lookup = sorted({x for key in rare.values() for x in key}) or [""]
     none = F.array().cast("array<struct<t:int,off:int>>")
-    rows = settled(rows.select("doc_id", "_w", F.array_intersect("_w", _strings(sorted(rare))).alias("_present"), F.array_contains("_w", "license").alias("_named")))
-    chosen, hits, aligned = alignments("_w", rare, top)
-    some = F.size("_present") > 1
-    rows = settled(rows.withColumn("_chosen", F.when(some, chosen)))
+    rows = settled(rows.select("doc_id", "_w", F.array_intersect("_w", _strings(lookup)).alias("_present"), F.array_contains("_w", "license").alias("_named")))
+    chosen, sought, hits, aligned = alignments("_w", rare)
+    rows = settled(rows.withColumn("_chosen", chosen))
+    some = F.size("_chosen") > 0
+    rows = settled(rows.withColumn("_sought", F.when(some, sought)))
+    rows = settled(rows.withColumn("_sought_words", F.array_distinct(F.transform("_sought", lambda p: p["x"]))))
     rows = settled(rows.withColumn("_hits", F.when(some, hits)))
     rows = settled(rows.withColumn("_each", F.when(some, aligned)))
     # Sorted by (template, offset): two neighbours with the same pair are two words that agree.
     later = F.slice("_each", 2, F.greatest(F.size("_each"), F.lit(1)))
     pairs = F.zip_with("_each", later, lambda a, b: F.when((a["t"] == b["t"]) & (a["off"] == b["off"]), F.struct(a["t"].alias("t"), a["off"].alias("off"))))
-    rows = settled(rows.withColumn("_cand", F.when(some, F.array_distinct(F.array_compact(pairs))).otherwise(none)).drop("_present", "_chosen", "_hits", "_each"))
+    rows = settled(rows.withColumn("_cand", F.when(some, F.array_distinct(F.array_compact(pairs))).otherwise(none)).drop("_present", "_chosen", "_sought", "_sought_words", "_hits", "_each"))
     no_place = F.array().cast("array<struct<start:int,label:string>>")
     rows = settled(rows.withColumn("_places", F.when(F.col("_named"), name_places("_w")).otherwise(no_place)))
 
@@ -121,8 +135,7 @@ def scan(docs: DataFrame, id_col="doc_id", text_col="text", top=8) -> DataFrame:
         out = F.lit(None).cast("struct<label:string,share:double>")
         for t, (label, notice, phrase) in enumerate(TEMPLATES):
             words_, key = split_words(notice), phrase.split()
-            start = next(i for i in range(len(words_)) if words_[i:i + len(key)] == key)
-            at = c["off"] + start
+            at = c["off"] + phrase_start(notice, phrase)
             good = (c["t"] == t) & (at >= 0) & F.coalesce(F.slice("_w", F.greatest(at, F.lit(0)) + 1, len(key)) == _strings(key), F.lit(False))
             lost = F.greatest(-c["off"], F.lit(0))  # words of the notice before the file's first
             same = F.zip_with(F.slice("_w", c["off"] + lost + 1, F.lit(len(words_)) - lost), F.slice(_strings(words_), lost + 1, F.lit(len(words_)) - lost),

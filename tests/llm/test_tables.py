@@ -208,6 +208,17 @@ def test_a_notice_in_a_third_of_the_rows_and_in_the_only_row(spark):
     assert [(r.labels, r.score) for r in only] == [("cc-by-nc-4.0", 1.0)]
 
 
+def test_two_notices_in_one_file_and_every_notice_in_a_long_one(spark):
+    both = f"{BSD} plain words. Licensed under CC BY-NC 4.0"
+    every = " then ".join(notice for _, notice, _ in licenses.TEMPLATES)
+    late = "permission " * 3000 + every
+    texts = [both, every, late, "hereby permission " * 500, "redistribution of binary forms"] + [f"under nc cc 4 0 by number {i}" for i in range(20)]
+    rows = {r.doc_id: r.labels for r in licenses.scan(frame(spark, list(enumerate(texts)))).collect()}
+    labels = ",".join(sorted({label for label, _, _ in licenses.TEMPLATES}))
+    assert rows[0] == "bsd,cc-by-nc-4.0" and rows[1] == rows[2] == labels
+    assert not any(rows[i] for i in range(3, len(texts)))
+
+
 def test_licenses_of_awkward_and_no_documents(spark, docs):
     got = licenses.scan(frame(spark, docs)).collect()
     assert len(got) == len(docs)
