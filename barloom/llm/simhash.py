@@ -159,3 +159,19 @@ def one_of_each(docs: DataFrame, groups: DataFrame, id_col="doc_id") -> DataFram
     if groups.groupBy("doc_id").count().filter("count > 1").limit(1).count():
         rows = rows.dropDuplicates([id_col])
     return rows
+
+
+def one_per_group(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+    """One row of `docs` for each group of near duplicates: the one with the least id.
+
+    Rows are grouped, not ids: every row gets a key of its own, so rows that
+    share an id or have none are told apart. Rows without an id come last in a
+    group; of rows that repeat its least id, the one with the least fingerprint
+    stays, and of those the first.
+    """
+    mark = free_name(docs, "_row")
+    keyed = stored(docs.withColumn(mark, F.monotonically_increasing_id()), "keyed")
+    groups = near_duplicates(keyed, mark, text_col).select(F.col("doc_id").alias("row"), "fp", "component_id")
+    ids = keyed.select(F.col(mark).alias("row"), F.col(f"`{id_col}`").alias("id"))
+    heads = groups.join(ids, "row").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "row")).alias("head"))
+    return keyed.join(heads.select(F.col("head.row").alias(mark)), mark, "left_semi").drop(mark)

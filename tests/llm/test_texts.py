@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from barloom.llm import packing, simhash, substrings, token_counts
 
-from .helpers import ASCII_LOWER, WORD, awkward_docs, classes, frame, hamming, rows_of
+from .helpers import ASCII_LOWER, WORD, awkward_docs, classes, frame, hamming, rows_of, sentence
 
 BYTE_BPE, WORD_BPE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 
@@ -149,6 +149,27 @@ def test_one_document_of_each_group_stays(spark, docs):
     assert sorted(i for i in ids if i is not None) == sorted(h for h in heads if h is not None)
 
 
+def test_the_stage_keeps_one_row_of_each_group_whatever_the_ids(spark, docs):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    a, b, *others = (sentence(rng, 60) for _ in range(8))
+    rows = [(3, a), (5, a), (5, b), (None, b), *[(None, t) for t in others], (None, others[0]), (8, None), (8, None), (None, "")]
+    df = frame(spark, rows)
+    out = corpus_pipeline.near_duplicates(spark, df, "")
+    assert out.columns == df.columns
+    assert rows_of(out, "doc_id", "text") == rows_of(frame(spark, [(3, a), (5, b), *[(None, t) for t in others], (8, None)]), "doc_id", "text")
+    df = frame(spark, docs)
+    fps = [plain_fingerprint(t) for _, t in docs]
+    groups = classes(len(docs), [(i, j) for i in range(len(docs)) for j in range(i) if hamming(fps[i], fps[j]) <= 3])
+    least = {}
+    for (d, _), g in zip(docs, groups, strict=True):
+        least[g] = min((x for x in (least.get(g), d) if x is not None), default=None)
+    kept = collections.Counter(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
+    assert kept == collections.Counter(least.values())
+    assert corpus_pipeline.near_duplicates(spark, frame(spark, []), "").collect() == []
+
+
 def test_simhash_of_an_empty_table(spark):
     assert simhash.near_duplicates(frame(spark, [])).collect() == []
 
