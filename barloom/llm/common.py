@@ -56,6 +56,14 @@ def arrow_map(df: DataFrame, task: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(task, schema)
 
 
+def arrow_cogroup(left: DataFrame, right: DataFrame, keys: list[str], task: Callable, schema: str) -> DataFrame:
+    """cogroup(...).applyInArrow by a function of this package; `keys` must bound both groups."""
+    context = left.sparkSession.sparkContext
+    context.addPyFile(_shipped(context.applicationId))
+    left = left.select(*[F.col(f"`{c}`").alias(c) for c in left.columns])  # columns of its own, where both sides come from one table
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(task, schema)
+
+
 def texts(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """(doc_id, body): the id and the text's UTF-8 bytes, null text as null."""
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("body"))

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, packing, quality, simhash, substrings, token_counts, toxicity, vectors, warc
+from . import licenses, mixing, negatives, packing, quality, simhash, spelling, substrings, token_counts, toxicity, vectors, warc
 
 QUERIES, SQL = {}, {}
 
@@ -84,3 +84,16 @@ def op9_toxicity(spark, sf_dir):
 @query
 def op10_vectors(spark, sf_dir):
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_spelling(spark, sf_dir):
+    return spelling.spelling_forms(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_negatives(spark, sf_dir):
+    return negatives.mined(negatives.relabelled(table(spark, sf_dir, "embeddings")))
+
+
+SQL["op13_negatives"] = negatives.MINED_SQL
