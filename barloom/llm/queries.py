@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, negatives, packing, quality, simhash, spelling, substrings, token_counts, toxicity, vectors, warc
+from . import licenses, line_quality, mixing, negatives, packing, quality, simhash, spelling, substrings, token_counts, toxicity, vectors, warc
 
 QUERIES, SQL = {}, {}
 
@@ -86,6 +86,11 @@ def op10_vectors(spark, sf_dir):
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op11_line_quality(spark, sf_dir):
+    return line_quality.line_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op12_spelling(spark, sf_dir):
     return spelling.spelling_forms(table(spark, sf_dir, "documents"))
