@@ -36,10 +36,11 @@ def archive_upsert(arrivals: DataFrame, archive: DataFrame | None = None, keys=A
     A receipt at or after the stored one wins; a changed payload adds a
     revision; the first receipt stays that of the first arrival. Absent
     intervals and adjustments take their defaults; other null key parts equal
-    each other.
+    each other. Arrivals without a payload or a receipt are refused: they
+    change nothing and are no first arrival.
     """
     keys = list(keys)
-    arrivals = with_key_defaults(arrivals, keys)
+    arrivals = with_key_defaults(arrivals, keys).filter("payload IS NOT NULL AND fetched_at IS NOT NULL")
     rows = arrivals.select(*keys, "arrival_no", "fetched_at", "payload").withColumn("_b", integer_bucket("arrival_no", bits))
     if archive is not None:
         archive = with_key_defaults(archive, keys)
@@ -57,17 +58,22 @@ def archive_upsert(arrivals: DataFrame, archive: DataFrame | None = None, keys=A
     shown = F.when(F.col("_ok"), F.col("payload"))
     previous = F.last(shown, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
     judged = judged.withColumn("_changed", F.col("_ok") & (F.col("payload") != previous))
-    accepted_no = F.when(F.col("_ok"), F.col("arrival_no"))
-    per_block = judged.groupBy(*keys, "_b").agg(
-        F.count_if("_changed").alias("_changes"),
-        F.min_by("payload", accepted_no).alias("_first"), F.max_by("payload", accepted_no).alias("_last"),
-        F.max_by("fetched_at", accepted_no).alias("_fetched"), F.min_by("fetched_at", "arrival_no").alias("_arrived"))
+    # Running values, read at the last row of a block and then at the last block of a key: no aggregate has to sort.
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    receipt = F.when(F.col("_ok"), F.col("fetched_at"))
+    per_block = judged.select(
+        *keys, "_b", F.count_if("_changed").over(so_far).alias("_changes"), F.first(shown, ignorenulls=True).over(so_far).alias("_first"),
+        F.last(shown, ignorenulls=True).over(so_far).alias("_last"), F.last(receipt, ignorenulls=True).over(so_far).alias("_fetched"),
+        F.first("fetched_at").over(so_far).alias("_arrived"), F.lead("arrival_no").over(inside).alias("_next"))
+    per_block = per_block.filter("_next IS NULL").drop("_next")
     link = F.last("_last", ignorenulls=True).over(earlier)
     per_block = per_block.withColumn("_jump", F.coalesce(F.col("_first") != link, F.lit(False)).cast("long"))
-    has = F.when(F.col("_last").isNotNull(), F.col("_b"))
-    out = per_block.groupBy(*keys).agg(
-        F.min_by("_arrived", "_b").alias("first_fetched_at"), F.max_by("_fetched", has).alias("last_fetched_at"),
-        F.max_by("_last", has).alias("payload"), F.sum(F.col("_changes") + F.col("_jump")).alias("revision_count"))
+    by_block = Window.partitionBy(*keys).orderBy("_b")
+    so_far = by_block.rowsBetween(Window.unboundedPreceding, 0)
+    out = per_block.select(
+        *keys, F.first("_arrived").over(so_far).alias("first_fetched_at"), F.last("_fetched", ignorenulls=True).over(so_far).alias("last_fetched_at"),
+        F.last("_last", ignorenulls=True).over(so_far).alias("payload"), F.sum(F.col("_changes") + F.col("_jump")).over(so_far).alias("revision_count"),
+        F.lead("_b").over(by_block).alias("_next")).filter("_next IS NULL").drop("_next")
     if archive is None:
         return out
     stored = archive.select(*keys, F.col("first_fetched_at").alias("_f"), F.col("revision_count").alias("_r"))

@@ -2,6 +2,8 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .paging import looked_up, offsets_before, range_bucket
+
 # Fixed value: number of categories in the taxonomy that ranks are valid for.
 RANKED_CATEGORIES = 49
 
@@ -33,13 +35,17 @@ def sector_context(primary: DataFrame, fallback: DataFrame, k: int = 10) -> Data
 def rank_sectors(sectors: DataFrame, expected_size: int | None = RANKED_CATEGORIES, name="rank_descending") -> DataFrame:
     """Competition rank by change, NULL unless the taxonomy has its known size.
 
-    Ranks come from counts per distinct change value, so ties share a rank and
-    only the distinct values are ordered.
+    Ranks come from counts per distinct change value, so ties share a rank.
+    Values are ordered inside sampled ranges, and ranges above are counted.
+    Rows without a change keep a NULL rank.
     """
-    counts = sectors.groupBy("change_percent").agg(F.count("*").alias("_n"))
-    above = Window.orderBy(F.col("change_percent").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select("change_percent", (F.coalesce(F.sum("_n").over(above), F.lit(0)) + 1).alias("_rank"))
-    out = sectors.join(ranks, "change_percent")
+    counts = sectors.filter("change_percent IS NOT NULL").groupBy("change_percent").agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_part", range_bucket(counts, "change_percent"))
+    above = offsets_before(counts, "_part", F.sum("_n"), descending=True)
+    inside = Window.partitionBy("_part").orderBy(F.col("change_percent").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    rank = looked_up(above, "_part") + F.coalesce(F.sum("_n").over(inside), F.lit(0)) + 1
+    ranks = counts.select("change_percent", rank.alias("_rank"))
+    out = sectors.join(ranks, "change_percent", "left")
     if expected_size is not None:
         size = sectors.agg(F.count("*").alias("n")).scalar()
         return out.withColumn("universe_size", size).withColumn(

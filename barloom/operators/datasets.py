@@ -75,7 +75,7 @@ def publish_dataset(bars: DataFrame, dim: DataFrame, run: dict, cutoff: Column,
     )
     series = series.withColumn("status", status).drop("_repeat", "_undated", "_one_source", "_fault", "_last_done")
     good = rows.join(series.filter("status = 'ready'").select(*KEY), list(KEY), "left_semi").drop("_fault", "is_trading")
-    digest = table_digest(good, HASH_COLUMNS, KEY, levels=()).withColumnRenamed("digest", "content_hash")
+    digest = table_digest(good, HASH_COLUMNS, KEY).withColumnRenamed("digest", "content_hash")
     header = series.join(digest, list(KEY), "left")
     for name in ("run_id", "target_session", "calendar_version", "policy_version"):
         header = header.withColumn(name, F.lit(run[name]))

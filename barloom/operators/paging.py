@@ -51,23 +51,76 @@ def integer_bucket(key: str, bits: int = 16) -> Column:
     return F.shiftright(F.col(key).cast("long"), bits)
 
 
-def with_position(df: DataFrame, key: str, coarse: Column | None = None, name="position") -> DataFrame:
-    """Zero-based position in whole-table key order, without one-task sorting."""
-    return with_row_index(df, [], [key], integer_bucket(key) if coarse is None else coarse, name)
+PARTS = 64
 
 
-def with_budget(df: DataFrame, key: str, maximum: int, coarse: Column | None = None) -> DataFrame:
+def _tree(column: Column, tie: Column, cuts: list, low: int, high: int) -> Column:
+    """Number of cuts at or below (column, tie), found by halving."""
+    if low == high:
+        return F.lit(low)
+    mid = (low + high) // 2
+    key, t = cuts[mid]
+    below = (column < F.lit(key)) | ((column == F.lit(key)) & (tie < F.lit(t)))
+    return F.when(below, _tree(column, tie, cuts, low, mid)).otherwise(_tree(column, tie, cuts, mid + 1, high))
+
+
+def range_bucket(df: DataFrame, key: str, parts: int = PARTS, per_part: int = 64) -> Column:
+    """Bucket of about 1 / `parts` of the rows each, rising with `key` of any ordered type; NULL comes first.
+
+    Cuts are taken from a hashed sample of about parts * per_part different
+    rows, which the driver may hold. They compare the key and then the hash of
+    the row, so a key that holds a large share of the rows is cut as well.
+    """
+    tie = F.xxhash64(*df.columns)
+    every = max(1, df.count() // (parts * per_part))
+    sample = df.select(F.col(key).alias("k"), tie.alias("t")).filter(F.col("k").isNotNull() & (F.pmod("t", F.lit(every)) == 0)).distinct()
+    found = sorted((r.k, r.t) for r in sample.collect())
+    cuts = [found[len(found) * i // parts] for i in range(1, parts)] if found else []
+    cuts = sorted(set(cuts))
+    return F.when(F.col(key).isNull(), F.lit(0)).otherwise(_tree(F.col(key), tie, cuts, 0, len(cuts)) + 1)
+
+
+def offsets_before(rows: DataFrame, bucket: str, n: Column, descending=False) -> dict:
+    """{bucket: sum of n in the buckets before it}, for the few buckets of `range_bucket`."""
+    sizes = {r[0]: r[1] for r in rows.groupBy(bucket).agg(n).collect()}
+    total, out = 0, {}
+    for b in sorted(sizes, reverse=descending):
+        out[b] = total
+        total += sizes[b]
+    return out
+
+
+def looked_up(found: dict, bucket: str) -> Column:
+    pairs = [F.lit(x) for b, v in found.items() for x in (b, v)]
+    return F.element_at(F.create_map(*pairs), F.col(bucket)) if pairs else F.lit(0)
+
+
+def with_position(df: DataFrame, key: str, name="position", parts: int = PARTS) -> DataFrame:
+    """Zero-based position in whole-table key order: rows are numbered inside sampled ranges, and ranges counted."""
+    rows = df.withColumn("_part", range_bucket(df, key, parts)).withColumn("_tie", F.xxhash64(*df.columns))
+    before = offsets_before(rows, "_part", F.count("*"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(key, "_tie"))
+    return rows.withColumn(name, (looked_up(before, "_part") + inside - 1).cast("long")).drop("_part", "_tie")
+
+
+def with_budget(df: DataFrame, key: str, maximum: int) -> DataFrame:
     """First `maximum` rows in order are processed; the rest say so."""
-    out = with_position(df, key, coarse)
+    out = with_position(df, key)
     return out.withColumn("state", F.when(F.col("position") >= maximum, "unprocessed").otherwise("processed"))
 
 
-def with_batches(df: DataFrame, key: str, size: int = 20, coarse: Column | None = None) -> DataFrame:
-    out = with_position(df, key, coarse)
+def with_batches(df: DataFrame, key: str, size: int = 20) -> DataFrame:
+    out = with_position(df, key)
     return out.withColumn("batch_id", F.floor(F.col("position") / size))
 
 
 def result_order(df: DataFrame, keys, tie: str, flags="risk_flags") -> DataFrame:
-    """Position within each run: unflagged matches first, then the tie column."""
-    w = Window.partitionBy(*keys).orderBy(F.size(flags) > 0, tie)
-    return df.withColumn("position", F.row_number().over(w))
+    """Position within each run: unflagged matches first, then the tie column.
+
+    A run is cut along sampled ranges of the tie column, so one run may hold
+    all rows.
+    """
+    rows = df.withColumn("_flagged", F.coalesce(F.size(flags) > 0, F.lit(False)).cast("int"))
+    coarse = F.col("_flagged") * (2 * PARTS) + range_bucket(df, tie)
+    out = with_row_index(rows, keys, ["_flagged", tie], coarse, "position")
+    return out.withColumn("position", F.col("position") + 1).drop("_flagged")

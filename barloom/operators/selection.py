@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numbers import age_seconds
+from .blocks import join_on
 
 MAX_AGE = 90
 
@@ -11,30 +12,31 @@ def select_quotes(candidates: DataFrame, as_of: Column, max_age=MAX_AGE, keys=("
     """One row per key: the best candidate, why it won, and all candidates.
 
     Newest source timestamp wins, then lower latency, then source name. The
-    choice is an aggregate, so a key with many candidates combines map-side.
-    Candidates need source, source_timestamp, request_latency_ms and `reason`
-    (NULL when valid).
+    choice is a rank that Spark cuts to two rows per key before the shuffle
+    (the second one tells ties), so a key with many candidates fills no task;
+    the counts are a hash aggregate on the same key. Candidates need source,
+    source_timestamp, request_latency_ms and `reason` (NULL when valid).
     """
     keys = list(keys)
     valid = F.col("reason").isNull()
-    rank = F.struct(
-        (-F.unix_micros("source_timestamp")).alias("newest"), F.col("request_latency_ms").alias("latency"), F.col("source").alias("by"))
     extra = [c for c in candidates.columns if c not in (*keys, "reason")]
+    order = Window.partitionBy(*keys).orderBy(F.desc(F.unix_micros("source_timestamp")), "request_latency_ms", "source")
+    two = candidates.filter(valid & F.col("source_timestamp").isNotNull()).withColumn("_rn", F.row_number().over(order)).filter("_rn <= 2")
+    tied = F.lead("source_timestamp").over(Window.partitionBy(*keys).orderBy("_rn")) == F.col("source_timestamp")
+    best = two.withColumn("_tied", F.coalesce(tied, F.lit(False))).filter("_rn = 1").select(*keys, F.struct(*extra).alias("_best"), "_tied")
     agg = candidates.groupBy(*keys).agg(
-        F.min_by(F.struct(*extra), F.when(valid, rank)).alias("_best"),
         F.count_if(valid).alias("valid_candidates"),
         F.count("*").alias("candidates"),
         F.count_if(valid & (age_seconds(as_of, F.col("source_timestamp")) <= max_age)).alias("recent_candidates"),
         F.max(F.when(valid, F.col("source_timestamp"))).alias("_newest"),
     )
-    ties = candidates.filter(valid).groupBy(*keys, "source_timestamp").agg(F.count("*").alias("_ties"))
-    agg = agg.join(ties.withColumnRenamed("source_timestamp", "_newest"), [*keys, "_newest"], "left")
+    agg = join_on(agg, best, keys, "left")
     age = age_seconds(as_of, F.col("_newest"))
     reason = (
         F.when(F.col("valid_candidates") == 0, "NO_VALID_SOURCE")
         .when(age > max_age, "NEWEST_VALID_BUT_STALE")
         .when(F.col("valid_candidates") == 1, "ONLY_VALID_SOURCE")
-        .when(F.col("_ties") > 1, "EQUAL_SOURCE_TIMESTAMP_LOWER_REQUEST_LATENCY")
+        .when(F.col("_tied"), "EQUAL_SOURCE_TIMESTAMP_LOWER_REQUEST_LATENCY")
         .otherwise("NEWEST_VALID_SOURCE_TIMESTAMP")
     )
     freshness = F.when(age.isNull(), F.lit(None).cast("string")).when(age <= max_age, "recent").otherwise("stale")
@@ -93,11 +95,9 @@ def union_first(frames, keys, order: str) -> DataFrame:
 
 
 def keep_first(df: DataFrame, keys, order: Column) -> DataFrame:
-    """First row per key by input order, as a map-side-combined aggregate."""
-    keys = list(keys)
-    rest = [c for c in df.columns if c not in keys]
-    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_r"))
-    return first.select(*keys, "_r.*")
+    """First row per key by input order: a rank of one, which Spark cuts before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order.asc_nulls_last()))
+    return df.withColumn("_rn", rank).filter("_rn = 1").drop("_rn")
 
 
 def dedupe(df: DataFrame, keys, order: str):

@@ -113,20 +113,27 @@ def row_hash(columns) -> Column:
     return F.sha2(F.to_json(F.array(*[F.col(c).cast("string") for c in columns])), 256)
 
 
-def table_digest(df: DataFrame, columns, keys=(), levels=(4, 2)) -> DataFrame:
+LANES = 4
+_WRAP = 2**64
+
+
+def table_digest(df: DataFrame, columns, keys=()) -> DataFrame:
     """Order-insensitive digest of a table or of each key's rows.
 
-    Equal rows are counted first; then digests are merged along prefixes of
-    the row hash, so no single group holds the whole table.
+    A multiset hash: each row's 256-bit digest is cut into four 64-bit lanes,
+    and the lanes are summed modulo 2^64 over all rows, repeated ones
+    included. Sums commute, so this is one hash aggregate with partial
+    combine; no list of rows exists anywhere. The digest hashes the row count
+    and the four sums.
     """
     keys = list(keys)
-    level = df.select(*keys, row_hash(columns).alias("h")).groupBy(*keys, "h").agg(F.count("*").alias("n"))
-    level = level.select(*keys, "h", F.concat_ws(":", "h", F.col("n").cast("string")).alias("v"))
-    for width in (*levels, 0):
-        prefix = F.substring("h", 1, width) if width else F.lit("")
-        level = level.groupBy(*keys, prefix.alias("h")).agg(F.array_sort(F.collect_list("v")).alias("v"))
-        level = level.select(*keys, "h", F.sha2(F.array_join("v", ","), 256).alias("v"))
-    return level.select(*keys, F.col("v").alias("digest"))
+    hashed = df.select(*keys, row_hash(columns).alias("h"))
+    # 20 digits a lane leave room for 10^18 rows in the sum.
+    lanes = [F.conv(F.substring("h", 16 * i + 1, 16), 16, 10).cast("decimal(20,0)").alias(f"_l{i}") for i in range(LANES)]
+    sums = [F.sum(f"_l{i}").cast("decimal(38,0)").alias(f"_l{i}") for i in range(LANES)]
+    total = hashed.select(*keys, *lanes).groupBy(*keys).agg(F.count("*").alias("_n"), *sums)
+    wrapped = [F.coalesce(F.pmod(F.col(f"_l{i}"), F.lit(str(_WRAP)).cast("decimal(38,0)")), F.lit(0)).cast("decimal(20,0)").cast("string") for i in range(LANES)]
+    return total.select(*keys, F.sha2(F.concat_ws(":", F.col("_n").cast("string"), *wrapped), 256).alias("digest"))
 
 
 def manifest(classified: DataFrame, keys=()) -> DataFrame:

@@ -122,26 +122,43 @@ def apply_steps(keys):
     return run
 
 
-def difference_points(key, frames, state):
-    """Interval differences of one session against the last stored point."""
+def session_differences(keep_ms):
+    """Stateful processor: differences of a session's cumulative points to the last stored one."""
     import numpy as np
     import pandas as pd
-
-    if state.hasTimedOut:
-        state.remove()
-        return
-    pdf = pd.concat(list(frames)).sort_values("ts")
-    t0, v0, a0 = state.get if state.exists else (None, np.nan, np.nan)
-    ts = np.concatenate([[np.nan if t0 is None else t0], pdf.ts.to_numpy(float)])
-    volume = np.concatenate([[v0], pdf.volume.to_numpy(float)])
-    amount = np.concatenate([[a0], pdf.amount.to_numpy(float)])
-    step = lambda x: np.where(x[1:] >= x[:-1], x[1:] - x[:-1], np.nan)
-    minutes = (ts[1:] - ts[:-1]) / 60e6
-    if t0 is None or ts[-1] >= t0:
-        state.update((int(pdf.ts.iloc[-1]), float(volume[-1]), float(amount[-1])))
-    state.setTimeoutDuration(24 * 3600 * 1000)
-    yield pd.DataFrame({
-        "symbol": key[0], "session_date": key[1], "ts": pdf.ts.to_numpy(), "price": pdf.price.to_numpy(),
-        "interval_volume_shares": step(volume), "interval_amount_cny": step(amount),
-        "interval_minutes": np.where(minutes >= 0, minutes, np.nan),
-    })
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class SessionDifferences(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.last = handle.getValueState("last", "ts long, volume double, amount double")
+
+        def handleInputRows(self, key, rows, timerValues):
+            # A session has at most 1440 points.
+            pdf = pd.concat(list(rows)).sort_values("ts")
+            t0, v0, a0 = self.last.get() if self.last.exists() else (None, np.nan, np.nan)
+            ts = np.concatenate([[np.nan if t0 is None else t0], pdf.ts.to_numpy(float)])
+            volume = np.concatenate([[v0], pdf.volume.to_numpy(float)])
+            amount = np.concatenate([[a0], pdf.amount.to_numpy(float)])
+            step = lambda x: np.where(x[1:] >= x[:-1], x[1:] - x[:-1], np.nan)
+            minutes = (ts[1:] - ts[:-1]) / 60e6
+            if t0 is None or ts[-1] >= t0:
+                t0 = int(pdf.ts.iloc[-1])
+                self.last.update((t0, float(volume[-1]), float(amount[-1])))
+            for old in self.handle.listTimers():
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(t0 // 1000 + keep_ms)
+            yield pd.DataFrame({
+                "symbol": key[0], "session_date": key[1], "ts": pdf.ts.to_numpy(), "price": pdf.price.to_numpy(),
+                "interval_volume_shares": step(volume), "interval_amount_cny": step(amount),
+                "interval_minutes": np.where(minutes >= 0, minutes, np.nan),
+            })
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            self.last.clear()
+            return iter(())
+
+        def close(self):
+            pass
+
+    return SessionDifferences()

@@ -1,16 +1,5 @@
 """Structured Streaming forms of the stateful operators."""
 
-from .jobs import (
-    compact_log,
-    event_cutoff,
-    read_log,
-    stream_archive,
-    stream_auction,
-    stream_intraday,
-    stream_latest_quotes,
-)
+from .jobs import event_cutoff, read_log, stream_archive, stream_auction, stream_intraday, stream_latest_quotes
 
-__all__ = [
-    "compact_log", "event_cutoff", "read_log", "stream_archive", "stream_auction", "stream_intraday",
-    "stream_latest_quotes",
-]
+__all__ = ["event_cutoff", "read_log", "stream_archive", "stream_auction", "stream_intraday", "stream_latest_quotes"]

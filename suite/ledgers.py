@@ -89,22 +89,26 @@ def metadata_mismatch(spark, d):
 
 
 _DIGEST = """h0 AS (SELECT {keys} sha256('["' || array_to_string([{cols}], '","') || '"]') AS h FROM {src}),
-h1 AS (SELECT {k} h, h || ':' || count(*) AS v FROM h0 GROUP BY {k} h),
-h2 AS (SELECT {k} substr(h, 1, 4) AS h, sha256(string_agg(v, ',' ORDER BY v)) AS v FROM h1 GROUP BY {k} substr(h, 1, 4)),
-h3 AS (SELECT {k} substr(h, 1, 2) AS h, sha256(string_agg(v, ',' ORDER BY v)) AS v FROM h2 GROUP BY {k} substr(h, 1, 2))"""
+hs AS (SELECT {k} count(*) AS n, """ + ", ".join(f"sum(CAST('0x' || substr(h, {16 * i + 1}, 16) AS UBIGINT)) % 18446744073709551616 AS l{i}" for i in range(4)) + """
+  FROM h0 GROUP BY ALL),
+digests AS (SELECT {k} sha256(n || ':' || l0 || ':' || l1 || ':' || l2 || ':' || l3) AS digest FROM hs)"""
 
 
 @query("d06_table_digest", "WITH " + _DIGEST.format(keys="o_orderstatus,", k="o_orderstatus,", cols="CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderpriority", src="orders")
-       + " SELECT o_orderstatus, sha256(string_agg(v, ',' ORDER BY v)) AS digest FROM h3 GROUP BY 1")
+       + " SELECT o_orderstatus, digest FROM digests")
 def table_digest(spark, d):
     return U.table_digest(T.table(spark, d, "orders"), ["o_orderkey", "o_custkey", "o_orderpriority"], ["o_orderstatus"])
 
 
-@query("j11_manifest", f"""WITH {_DIR}, {_DIGEST.format(keys="directory_id,", k="directory_id,", cols="symbol, name, classification, coalesce(board, '~'), '2000-01-01'", src="cla").replace("array_to_string([", "array_to_string([").replace("coalesce(board, '~')", "coalesce(board, chr(1))")}
-SELECT directory_id, count(*) AS provider_rows, count(CASE WHEN classification = 'eligible_mainboard_non_st' THEN 1 END) AS eligible FROM cla GROUP BY 1""")
+_ROW = """'[' || array_to_string(['"' || symbol || '"', '"' || name || '"', '"' || classification || '"', coalesce('"' || board || '"', 'null'), '"2000-01-01"'], ',') || ']'"""
+
+
+@query("j11_manifest", f"""WITH {_DIR}, {_DIGEST.format(keys="directory_id,", k="directory_id,", cols="", src="cla").replace("""'["' || array_to_string([], '","') || '"]'""", _ROW)}
+SELECT directory_id, count(*) AS provider_rows, count(CASE WHEN classification = 'eligible_mainboard_non_st' THEN 1 END) AS eligible, max(digest) AS digest
+FROM cla JOIN digests USING (directory_id) GROUP BY 1""")
 def universe_manifest(spark, d):
     m = U.manifest(U.classify_universe(directory(spark, d)), ["directory_id"])
-    return m.filter(F.length("digest") == 64).select("directory_id", "provider_rows", F.element_at("partition", F.lit(U.ELIGIBLE)).alias("eligible"))
+    return m.select("directory_id", "provider_rows", F.element_at("partition", F.lit(U.ELIGIBLE)).alias("eligible"), "digest")
 
 
 @query("j24_curated_pool", f"""WITH {_DIR} SELECT symbol FROM cla WHERE classification = 'eligible_mainboard_non_st' AND symbol NOT LIKE 'sz001%' AND p_partkey % 7 <> 3

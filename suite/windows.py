@@ -94,24 +94,24 @@ rec(symbol, i, fast, slow, dea) AS (
 
 
 @query("e08_macd", f"""WITH RECURSIVE {DAILY}, {_MACD_SQL}
-SELECT r.symbol, idx.date, round(fast - slow, 3) AS dif, round(dea, 3) AS dea,
-  round(2 * ((fast - slow) - dea), 3) AS macd_histogram
+SELECT r.symbol, idx.date, round(fast - slow, 6) AS dif, round(dea, 6) AS dea,
+  round(2 * ((fast - slow) - dea), 6) AS macd_histogram
 FROM rec r JOIN idx ON idx.symbol = r.symbol AND idx.i = r.i""")
 def macd_all(spark, d):
     b = macd.macd(T.daily_bars(spark, d))
-    return b.select("symbol", "date", *[F.round(c, 3).alias(c) for c in ("dif", "dea", "macd_histogram")])
+    return b.select("symbol", "date", *[F.round(c, 6).alias(c) for c in ("dif", "dea", "macd_histogram")])
 
 
 @query("e08_macd_long_series", f"""WITH RECURSIVE {MINUTES},
 bars AS (SELECT symbol, minute AS date, last_cents / 100 AS close FROM points), {_MACD_SQL}
-SELECT r.symbol, idx.date AS minute, round(fast - slow, 5) AS dif, round(dea, 5) AS dea,
-  round(2 * ((fast - slow) - dea), 5) AS macd_histogram
+SELECT r.symbol, idx.date AS minute, round(fast - slow, 6) AS dif, round(dea, 6) AS dea,
+  round(2 * ((fast - slow) - dea), 6) AS macd_histogram
 FROM rec r JOIN idx ON idx.symbol = r.symbol AND idx.i = r.i""")
 def macd_long(spark, d):
     p = T.minute_points(spark, d).select("symbol", "minute", (F.col("last_cents") / 100).alias("close"))
     p = blocks.with_row_index(p, ["symbol"], ["minute"], F.to_date("minute"))
     out = macd.macd_long(p, keys=["symbol"])
-    return out.select("symbol", "minute", *[F.round(c, 5).alias(c) for c in ("dif", "dea", "macd_histogram")])
+    return out.select("symbol", "minute", *[F.round(c, 6).alias(c) for c in ("dif", "dea", "macd_histogram")])
 
 
 @query("e01_moving_average_long_series", f"""WITH {MINUTES}
@@ -170,14 +170,15 @@ def gap_classification(spark, d):
     return g.withColumn("gap_from", shanghai_text(F.col("gap_from"))).withColumn("gap_to", shanghai_text(F.col("gap_to")))
 
 
-@query("e11_competition_rank", """WITH s AS (SELECT p_brand AS code, round(avg(p_retailprice), 2) AS change_percent
-  FROM part GROUP BY p_brand)
-SELECT code, change_percent, rank() OVER (ORDER BY change_percent DESC) AS rank_descending FROM s""")
+@query("e11_competition_rank", """WITH s AS (SELECT p_brand || '/' || p_type AS code, CASE WHEN min(p_size) > 5 THEN round(avg(p_retailprice), 2) END AS change_percent
+  FROM part GROUP BY ALL)
+SELECT code, change_percent, CASE WHEN change_percent IS NOT NULL THEN rank() OVER (ORDER BY change_percent DESC NULLS LAST) END AS rank_descending FROM s""")
 def competition_rank(spark, d):
+    """Every brand and type; a group with a part of size 5 or less has no change."""
     from barloom.operators import context
 
-    s = T.table(spark, d, "part").groupBy(F.col("p_brand").alias("code")).agg(
-        F.round(F.avg("p_retailprice"), 2).alias("change_percent"))
+    s = T.table(spark, d, "part").groupBy(F.concat_ws("/", "p_brand", "p_type").alias("code")).agg(
+        F.when(F.min("p_size") > 5, F.round(F.avg("p_retailprice"), 2)).alias("change_percent"))
     ranked = context.rank_sectors(s, expected_size=None)
     return ranked.select("code", "change_percent", F.col("rank_descending").cast("long").alias("rank_descending"))
 

@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from barloom.functions import strict_number
@@ -85,8 +84,9 @@ def test_a_run_written_again_replaces_itself(spark, tmp_path):
 
 def test_a_broken_log_is_no_empty_log(spark, tmp_path):
     assert read_log(spark, str(tmp_path / "none"), ["k"]) is None
-    (tmp_path / "log").mkdir()
-    with pytest.raises(AnalysisException):
+    (tmp_path / "log" / "manifest-0").mkdir(parents=True)
+    (tmp_path / "log" / "manifest-0" / "part-0.parquet").write_text("no table")
+    with pytest.raises(Exception, match="part-0"):
         read_log(spark, str(tmp_path / "log"), ["k"])
 
 
