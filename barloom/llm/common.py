@@ -90,17 +90,18 @@ def runs(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
 class WordCache:
     """Values by word, computed in one call for the unseen words of a run.
 
-    At `limit` entries the cache is emptied, so memory is bounded and frequent
-    words come back at once.
+    Beyond `limit` entries the cache keeps those that the latest run used, so
+    memory is bounded and frequent words stay.
     """
 
     def __init__(self, compute: Callable[[list], Iterable], limit: int):
         self.compute, self.limit, self.known = compute, limit, {}
 
     def of(self, word_lists: list[list]) -> dict:
+        wanted = set().union(*word_lists)
         if len(self.known) > self.limit:
-            self.known = {}
-        fresh = list(set().union(*word_lists).difference(self.known))
+            self.known = {w: v for w in wanted if (v := self.known.get(w)) is not None}
+        fresh = list(wanted.difference(self.known))
         if fresh:
             self.known.update(zip(fresh, self.compute(fresh), strict=True))
         return self.known

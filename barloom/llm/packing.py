@@ -7,8 +7,10 @@ example. Null and empty texts hold the end token alone. Each row is packed,
 repeated rows and ids too. Other columns of the input are not read.
 """
 
+import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import WordCache, arrow_map, bodies, latest_cache, runs, tokenizer
 
-PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
+PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long, segment long"
+
+
+#: Runs of ASCII marks, and of whatever else stands between them and blanks.
+PARTS = re.compile(rb"[!-&(-/:-@\[-`{-~]+|[^ \t-\r!-&(-/:-@\[-`{-~]+")
+#: What is left of a text without these tells whether marks can be cut off: blanks and ASCII's printable characters but the apostrophe.
+PLAIN = bytes(c for c in [*range(9, 14), *range(32, 127)] if c != 39)
+#: Any wide character that is neither letter nor number.
+WIDE_MARK = re.compile(r"[^\w\x00-\x7F]")
 
 
 def _ids(path: str, limit: int) -> WordCache:
@@ -25,21 +35,41 @@ def _ids(path: str, limit: int) -> WordCache:
 
     def compute(words):
         found = tok.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
 
     return latest_cache(("ids", path, limit), lambda: WordCache(compute, limit))
 
 
-def id_bytes(texts: list[bytes], path: str, cached: int) -> list[bytes]:
-    """Each text's ids as little-endian 32-bit numbers.
+def pieces_of(text: bytes) -> Callable[[bytes], list[bytes]]:
+    """How a text is cut into parts whose ids stand one after another.
+
+    The vocabulary drops white space before its merges, lower-cases, and ends
+    a piece wherever marks and letters or digits meet, so blank-separated
+    words can be cut there too. That leaves fewer different parts to encode.
+    Texts with apostrophes (contractions), wide marks, control characters or
+    special tokens' strings are cut at blanks only.
+    """
+    rest = text.translate(None, PLAIN)
+    if b"<|" in text or rest and (not rest.isascii() and WIDE_MARK.search(text.decode("utf-8", "replace")) or rest.translate(None, WIDE)):
+        return bytes.split
+    return PARTS.findall
+
+
+WIDE = bytes(range(128, 256))
+
+
+def id_bytes(texts: list[bytes], path: str, cached: int) -> list[tuple[bytes, int]]:
+    """Each text's ids as little-endian 32-bit numbers, and how many of them belong to its first line.
 
-    The vocabulary drops white space before its merges and lower-cases, so a
-    text's ids are those of its blank-separated words in turn. ASCII capitals
-    are lowered first, unless the text could hold a special token's string.
+    ASCII capitals are lowered first, unless the text could hold a special
+    token's string. A text of one line has no first line before others: 0.
     """
-    words = [(t if b"<|" in t else t.lower()).split() for t in texts]
+    texts = [t if b"<|" in t else t.lower() for t in texts]
+    cuts = list(map(pieces_of, texts))
+    words = [cut(t) for cut, t in zip(cuts, texts, strict=True)]
     known = _ids(path, cached).of(words).__getitem__
-    return [b"".join(map(known, w)) for w in words]
+    heads = [len(cut(t[:t.index(b"\n")])) if b"\n" in t else 0 for cut, t in zip(cuts, texts, strict=True)]
+    return [(b"".join(map(known, w)), sum(map(len, map(known, w[:h]))) // 4) for w, h in zip(words, heads, strict=True)]
 
 
 class Packer:
@@ -47,7 +77,7 @@ class Packer:
 
     def __init__(self, tokens: int, segments: int, loss: int, pool: int, first_id: int):
         self.cap, self.pool, self.next_id = np.array([tokens, segments, loss], float), pool, first_id
-        self.left, self.sizes = [], np.empty((0, 2), np.int64)  # waiting examples; their tokens and loss-bearing tokens
+        self.left, self.sizes, self.segment = [], np.empty((0, 2), np.int64), 0  # waiting examples; their tokens and loss-bearing tokens
         self.out = []
 
     def add(self, doc, ids: bytes, loss_start: int) -> None:
@@ -89,11 +119,13 @@ class Packer:
 
     def _place(self, item, n: int, offset: int) -> None:
         doc, ids, start, total, _ = item
-        self.out.append((doc, start, n, zlib.crc32(ids[4 * start:4 * (start + n)]), total, self.next_id, offset, self._loss(item, n)))
+        self.out.append((doc, start, n, zlib.crc32(ids[4 * start:4 * (start + n)]), total, self.next_id, offset, self._loss(item, n), self.segment))
+        self.segment += 1
         item[2] += n
 
     def _close(self) -> None:
         self.next_id += 1
+        self.segment = 0
 
     def _take(self, k: int, n: int, offset: int) -> None:
         item = self.left[k]
@@ -132,7 +164,7 @@ class Packer:
         self._close()
 
 
-def _pack(batches: Iterator[pa.RecordBatch], path, end_id, limits, pool, cached, kind) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], path, end_id, limits, pool, cached, kind, prompts) -> Iterator[pa.RecordBatch]:
     packer = Packer(*limits, pool, TaskContext.get().partitionId() << 32)
     tail = np.array([end_id], "<u4").tobytes()
     names = ["doc_id", *[x.split()[0] for x in PIECE.split(", ")]]
@@ -146,19 +178,20 @@ def _pack(batches: Iterator[pa.RecordBatch], path, end_id, limits, pool, cached,
         kind = batch.column("doc_id").type
         docs, texts, starts = batch.column("doc_id").to_pylist(), list(bodies(batch)), batch.column("loss_start").to_pylist()
         for a, b in runs(map(len, texts), 1 << 20):
-            for doc, ids, start in zip(docs[a:b], id_bytes(texts[a:b], path, cached), starts[a:b], strict=True):
-                packer.add(doc, ids + tail, max(0, start or 0))
+            for doc, (ids, head), start in zip(docs[a:b], id_bytes(texts[a:b], path, cached), starts[a:b], strict=True):
+                packer.add(doc, ids + tail, max(0, start or 0, head if prompts else 0))
             yield flush()
     packer.finish()
     yield flush()
 
 
 def pack(docs: DataFrame, path: str, id_col="doc_id", text_col="text", loss_start_col=None, end_id=2,
-         max_tokens=4096, max_segments=256, max_loss=4096, pool=256, cached=500_000) -> DataFrame:
-    """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens.
+         max_tokens=4096, max_segments=256, max_loss=4096, pool=256, cached=1_000_000, prompts=False) -> DataFrame:
+    """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens, segment.
 
     loss_start_col: token number at which an example's loss-bearing part
-    begins (null: 0), as for prompts of instruction data. A task packs the
+    begins (null: 0), as for prompts of instruction data. With `prompts`, the
+    first line of a text of several lines bears no loss. A task packs the
     rows it reads, so there is no shuffle, and its last tokens, fewer than
     `max_tokens`, go to sequences of a power of two each. Padding is left
     only where the limit on segments or loss closes a sequence early.
@@ -171,4 +204,4 @@ def pack(docs: DataFrame, path: str, id_col="doc_id", text_col="text", loss_star
 
     arrow = to_arrow_type(kind)
     limits = (max_tokens, max_segments, max_loss)
-    return arrow_map(rows, lambda it: _pack(it, path, end_id, limits, pool, cached, arrow), f"doc_id {kind.simpleString()}, {PIECE}")
+    return arrow_map(rows, lambda it: _pack(it, path, end_id, limits, pool, cached, arrow, prompts), f"doc_id {kind.simpleString()}, {PIECE}")

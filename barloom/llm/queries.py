@@ -25,6 +25,10 @@ WEIGHTS = {("d0",): 3, ("d1",): 2, ("d2",): 2, ("d0", "en"): 4, ("d1", "en"): 3,
 MIX = {"share": 0.8, "epochs": 2, "seed": 17}
 
 
+#: A text's first line is its prompt. A sequence takes 64 segments and leaves at least 64 tokens to prompts.
+PACK = {"max_tokens": 4096, "max_segments": 64, "max_loss": 4032, "prompts": True}
+
+
 @query
 def op1_mixing(spark, sf_dir):
     return mixing.mixed(table(spark, sf_dir, "documents"), {n: F.expr(e) for n, e in LEVELS.items()}, WEIGHTS, **MIX)
@@ -56,7 +60,7 @@ def op4_substrings(spark, sf_dir):
 
 @query
 def op5_packing(spark, sf_dir):
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), **PACK)
 
 
 @query

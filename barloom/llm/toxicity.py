@@ -92,7 +92,22 @@ def _bags(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordB
             ["toxic", "buckets", "shares"])
 
 
-def train(bags: list[tuple[int, np.ndarray, np.ndarray]], s: Settings) -> tuple[np.ndarray, float]:
+@dataclass
+class Bags:
+    """Labels and subword bags, one after another: bag i is at[start[i]:start[i + 1]] with its shares."""
+
+    kind: np.ndarray
+    start: np.ndarray
+    at: np.ndarray
+    share: np.ndarray
+
+    def ordered(self) -> np.ndarray:
+        """Bag numbers in an order that does not depend on partitions."""
+        mark = [xxhash.xxh64_intdigest(self.at[a:b]) for a, b in zip(self.start[:-1], self.start[1:], strict=True)]
+        return np.lexsort((np.array(mark, np.uint64), np.diff(self.start), self.kind))
+
+
+def train(bags: Bags, s: Settings) -> tuple[np.ndarray, float]:
     """(evidence per bucket, bias): the trained embeddings applied to the softmax's difference.
 
     Adam steps over small batches drawn from a seed. Buckets found in few of
@@ -102,29 +117,23 @@ def train(bags: list[tuple[int, np.ndarray, np.ndarray]], s: Settings) -> tuple[
     weights.
     """
     rng = np.random.default_rng(s.seed)
-    y = np.array([b[0] for b in bags])
-    held_by = np.zeros(s.buckets, np.int64)
-    for b in bags:
-        held_by[b[1]] += 1
-    used = np.flatnonzero(held_by >= max(2, s.least_share * len(bags)))
-    at = np.full(s.buckets, -1, np.int32)
-    at[used] = np.arange(len(used))
-    for i, (kind, b, w) in enumerate(bags):
-        bags[i] = kind, at[b][at[b] >= 0], w[at[b] >= 0]
+    order, y = bags.ordered(), bags.kind
+    used = np.flatnonzero(np.bincount(bags.at, minlength=s.buckets) >= max(2, s.least_share * len(y)))
+    place = np.full(s.buckets, len(used), np.int32)  # one more subword for what is not used, never counted
+    place[used] = np.arange(len(used))
     share = min(0.9, max(0.1, float(np.mean(y))))
     importance = np.array([1 / (1 - share), s.toxic_weight / share]) / 2  # a clean text taken for toxic costs more than the reverse
     params = [rng.normal(0, 0.01, (len(used) + 1, s.dim)).astype(np.float32), rng.normal(0, 1, (s.dim, 2)).astype(np.float32), np.zeros(2, np.float32)]
     moments = [(np.zeros_like(v), np.zeros_like(v)) for v in params]
-    steps = max(s.steps, s.epochs * len(bags) // s.batch)
-    spare = np.array([len(used)])  # an empty bag's only subword, never updated
-    for step in range(1, steps + 1):
+    for step in range(1, max(s.steps, s.epochs * len(y) // s.batch) + 1):
         emb, soft, bias = params
-        picked = [bags[i] for i in rng.integers(0, len(bags), s.batch)] if len(bags) > s.batch else bags
-        goal = np.array([b[0] for b in picked])
-        cols = np.concatenate([b[1] if len(b[1]) else spare for b in picked])
-        value = np.concatenate([b[2] if len(b[1]) else [0] for b in picked]).astype(np.float32)[:, None] * s.gain
-        length = np.array([max(1, len(b[1])) for b in picked])
-        mean = np.add.reduceat(emb[cols] * value, np.concatenate(([0], np.cumsum(length)[:-1])), axis=0)
+        picked = order[rng.integers(0, len(y), s.batch)] if len(y) > s.batch else order
+        goal, length = y[picked], bags.start[picked + 1] - bags.start[picked]
+        first = np.concatenate(([0], np.cumsum(length)[:-1]))
+        flat = np.repeat(bags.start[picked] - first, length) + np.arange(length.sum())
+        cols = place[bags.at[flat]]
+        value = np.where(cols < len(used), bags.share[flat], np.float32(0))[:, None] * np.float32(s.gain)
+        mean = np.add.reduceat(emb[cols] * value, first, axis=0)
         logits = mean @ soft + bias
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
@@ -152,17 +161,17 @@ def learned(docs: DataFrame, labels: DataFrame, s: Settings, id_col="doc_id", te
     for kind in (0, 1):
         part = known.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample)
         picked = part if picked is None else picked.unionByName(part)
-    # At most 2 * sample ids: a proven bound for the broadcast.
-    sample = texts(docs, id_col, text_col).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).select("toxic", "body")
-    found = arrow_map(sample, lambda it: _bags(it, s), "toxic int, buckets array<int>, shares array<float>").toArrow()
-    at, share = (found.column(c).combine_chunks() for c in ("buckets", "shares"))
-    cut = at.offsets.to_numpy()[1:-1]
-    bags = zip(found.column("toxic").to_pylist(), np.split(at.values.to_numpy(), cut), np.split(share.values.to_numpy(), cut), strict=True)
-    bags = [b for b in bags if len(b[1])] if found.num_rows else []
-    if len({b[0] for b in bags}) < 2:
+    # At most 2 * sample ids: a proven bound for the broadcast. Of several texts under one id, the one with the least hash counts.
+    sample = texts(docs, id_col, text_col).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(
+        F.min_by("body", F.struct(F.xxhash64("body"), F.col("body"))).alias("body")).select("toxic", "body")
+    found = arrow_map(sample, lambda it: _bags(it, s), "toxic int, buckets array<int>, shares array<float>").toArrow().combine_chunks()
+    if not found.num_rows:
         return None
-    bags.sort(key=lambda b: (b[0], len(b[1]), b[1].tobytes()))  # row order does not depend on partitions
-    return train(bags, s)
+    lists = [found.column(c).chunk(0) for c in ("buckets", "shares")]
+    kind, sizes = found.column("toxic").to_numpy(), np.diff(lists[0].offsets.to_numpy())
+    start = np.concatenate(([0], np.cumsum(sizes[sizes > 0])))
+    bags = Bags(kind[sizes > 0], start, *[x.flatten().to_numpy() for x in lists])  # views of the Arrow values
+    return train(bags, s) if len(set(bags.kind.tolist())) == 2 else None
 
 
 def _scores(batches, model, s: Settings, limit: int, names: list[str], body: str) -> Iterator[pa.RecordBatch]:

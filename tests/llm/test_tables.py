@@ -342,7 +342,7 @@ def test_pipeline_stages_keep_their_columns_and_clean_documents(spark, tmp_path)
     assert all(passage not in r.text for r in seen["substrings"])
     assert {r.doc_id for r in seen["mixing"]} <= {r.doc_id for r in seen["substrings"]}
     assert {r.doc_id for r in seen["packing"]} == {r.doc_id for r in seen["mixing"]}
-    assert len(corpus_pipeline.run(spark, str(tmp_path)).columns) == 8
+    assert len(corpus_pipeline.run(spark, str(tmp_path)).columns) == 9
 
 
 def test_nothing_else_imports_the_subpackage():

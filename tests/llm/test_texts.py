@@ -64,6 +64,11 @@ def check_pieces(pieces, docs, limits):
     by_crc = collections.Counter()
     for data, n in ids.items():
         by_crc[(len(data) // 4, zlib.crc32(data))] += n
+    by_doc = collections.defaultdict(list)
+    for d, t in docs:
+        by_doc[d].append(np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4"))
+    for p in pieces:
+        assert any(len(x) == p.doc_tokens and zlib.crc32(x[p.start:p.start + p.length].tobytes()) == p.ids_crc32 for x in by_doc[p.doc_id])
     sequences, whole = collections.defaultdict(list), collections.Counter()
     for p in pieces:
         sequences[p.sequence_id].append(p)
@@ -74,7 +79,7 @@ def check_pieces(pieces, docs, limits):
     for parts in sequences.values():
         at = 0
         for p in sorted(parts, key=lambda p: p.offset):
-            assert p.offset == at
+            assert p.offset == at and p.segment < len(parts)
             at += p.length
         assert at <= limits[0] and len(parts) <= limits[1] and sum(p.loss_tokens for p in parts) <= limits[2]
     return sequences
@@ -108,6 +113,33 @@ def test_instruction_data_counts_only_answers_as_loss(spark):
     assert max(used.values()) <= 9
 
 
+def test_ids_of_any_text_are_the_librarys():
+    tok, rng = Tokenizer.from_file(WORD_BPE), random.Random(3)
+    alphabet = ["a", "Be", "don", "'t", "'S", "'", "..", ",", "_", "9", "½", "é", "e\u0301", "…", "—", "😀", "ß", "Σ", "\x01", "\x1f", "\u3000", "\n", " ", "\t", "<|endoftext|>", "<|", "#", "中文", "{x}"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    for text, (ids, head) in zip(texts, packing.id_bytes([t.encode() for t in texts], WORD_BPE, 50), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
+        if "\n" in text and "<" not in text:
+            assert head == len(tok.encode(text[:text.index("\n")], add_special_tokens=False).ids)
+        elif "\n" not in text:
+            assert head == 0
+
+
+def test_every_limit_changes_what_is_packed(spark):
+    rng = random.Random(8)
+    docs = [(i, sentence(rng, rng.randint(1, 30)) + "\n" + sentence(rng, rng.randint(1, 60))) for i in range(120)]
+    limits = {"tokens": (512, 900, 512), "segments": (512, 3, 512), "loss": (512, 900, 300), "both": (512, 4, 300)}
+    found = {}
+    for name, (tokens, segments, loss) in limits.items():
+        out = packing.pack(frame(spark, docs).coalesce(1), WORD_BPE, max_tokens=tokens, max_segments=segments, max_loss=loss, pool=40, prompts=True).collect()
+        sequences = check_pieces(out, docs, limits[name])
+        found[name] = {(p.doc_id, p.start, p.sequence_id) for p in out}
+        most = max(sum(p.loss_tokens for p in s) for s in sequences.values())
+        assert (max(map(len, sequences.values())) == segments) == (name in ("segments", "both"))
+        assert most > 0.9 * loss or name in ("tokens", "segments")
+    assert len(set(map(frozenset, found.values()))) == 4
+
+
 def test_packing_an_empty_table(spark):
     assert packing.pack(frame(spark, []), WORD_BPE).collect() == []
 
