@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barloom.llm import mixing, packing, simhash, substrings, toxicity as toxic
 from barloom.llm.common import stored
-from barloom.llm.queries import LEVELS, MIX, WEIGHTS
+from barloom.llm.queries import LEVELS, MIX, PACK, WEIGHTS
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 4096 tokens."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), **PACK)
 
 
 STAGES = [("toxicity", toxicity), ("simhash", near_duplicates), ("substrings", repeated_passages), ("mixing", mixture), ("packing", sequences)]
