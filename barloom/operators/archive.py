@@ -11,6 +11,7 @@ from .. import pytasks
 from ..functions.numbers import age_seconds
 from ..functions.clock import shanghai_date
 from .blocks import join_on
+from .coverage import auction_quality
 from .paging import integer_bucket, page_before
 
 SNAPSHOT_DAYS = 7
@@ -97,6 +98,49 @@ def archive_page(archive: DataFrame, series: dict, limit=120, before: Column | N
     return page_before(rows, "source_timestamp", before, limit, cursor="next_before")
 
 
+def archive_window(archive: DataFrame, series: dict, limit=120, before: Column | None = None, dim: DataFrame | None = None) -> DataFrame:
+    """Latest window of one series with provenance, series summary and the window's coverage.
+
+    Every row carries `provenance` (receipts and revision count), `archive`
+    (what the whole series holds, before any cut) and `coverage` (the
+    window's range and, with a calendar `dim` and dates as timestamps, the
+    scheduled sessions inside it that were not observed). Both are one row
+    each and are read as scalars.
+    """
+    rows = archive
+    for column, value in series.items():
+        rows = rows.filter(F.col(column) == value)
+    whole = archive_summary(rows, ()).select(F.struct("*")).scalar()
+    page = archive_page(rows, {}, limit, before)
+    ts = F.col("source_timestamp")
+    span = [F.count("*").alias("returned"), F.min(ts).alias("first"), F.max(ts).alias("last"), F.count_distinct(ts).alias("labels")]
+    seen = page.agg(*span)
+    if dim is not None:
+        range_ = page.agg(F.struct(F.min(ts).alias("first"), F.max(ts).alias("last"))).scalar()
+        sessions = dim.filter("is_trading").filter(F.col("date").between(range_["first"], range_["last"])).select("date")
+        absent = sessions.join(page.select(ts.alias("date")), "date", "left_anti")
+        seen = seen.withColumn("missing_sessions", absent.agg(F.count("*")).scalar())
+    provenance = F.struct("first_fetched_at", "last_fetched_at", "revision_count").alias("provenance")
+    return page.select(ts, "payload", provenance, "has_more", "next_before", whole.alias("archive"), seen.select(F.struct("*")).scalar().alias("coverage"))
+
+
+def read_auctions(points: DataFrame, now: Column, keys=("symbol",), position="position") -> DataFrame:
+    """Stored auction snapshots of today, judged anew: one row per key with its quality report.
+
+    points: one row per point of a stored snapshot, with session_date,
+    source_timestamp, fetched_at, reported_volume_shares and
+    reported_amount_cny. Snapshots of another Shanghai day are not read, and
+    those whose points are not valid are refused.
+    """
+    per = [*keys, "session_date"]
+    today = points.filter(F.col("session_date") == shanghai_date(now))
+    valid = valid_auction(today, per, position=position).filter("valid")
+    fetched = today.groupBy(*per).agg(F.max("fetched_at").alias("fetched_at"))
+    quality = auction_quality(today, now, per)
+    out = valid.select(*per, "points", "source_timestamp").join(fetched, per).join(quality.drop("same_day"), per)
+    return out.withColumn("age_seconds", F.round(age_seconds(now, F.col("fetched_at"))).cast("long"))
+
+
 def latest_snapshots(snapshots: DataFrame, as_of: Column, keys=("key",)) -> DataFrame:
     """Newest receipt per key, expired after seven days.
 

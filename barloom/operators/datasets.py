@@ -5,7 +5,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.clock import period_start, shanghai_date
 from ..functions.numbers import finite
 from ..plans.rules import adapter_completion
-from .calendar import with_bar_completion
+from .calendar import latest_completed, with_bar_completion
+from .coverage import missing_sessions
 from .universe import table_digest
 
 # The four series of a bundle.
@@ -27,21 +28,30 @@ def value_fault() -> Column:
     return ~F.coalesce(ok, F.lit(False))
 
 
-def publish_dataset(bars: DataFrame, dim: DataFrame, run: dict, cutoff: Column, limits: dict | None = None):
+def publish_dataset(bars: DataFrame, dim: DataFrame, run: dict, cutoff: Column, limits: dict | None = None, receipts: DataFrame | None = None):
     """Validate every series of every symbol: (series header, accepted bars).
 
     A row without a date, or rows of more than one source, fail the whole
     series; else the first fault by date decides its code. `limits` maps a
     series (`1d:none`) to the most bars it may have; by default there is no
     limit. Histories are judged with aggregates; nothing is gathered per symbol.
+
+    Where bars carry source_timestamp, it must lie on the bar's Shanghai day.
+    `receipts` (series key, request_started_at, fetched_at) are judged where
+    given: a series without one, received before it was asked for, or asked
+    for when another session than the target was the latest completed one,
+    has an INVALID_OBSERVATION_CUTOFF. The header counts the scheduled
+    sessions that a daily series lacks between its first and last bar.
     """
     target = F.lit(run["target_session"]).cast("date")
     side = dim.select(F.col("date").alias("_d"), "is_trading")
     rows = with_bar_completion(bars, dim, cutoff)
     rows = rows.join(F.broadcast(side), F.col("date") == F.col("_d"), "left").drop("_d")
     closed = (F.col("interval") == "1d") & ~F.coalesce("is_trading", F.lit(True))
+    stamped = F.coalesce(shanghai_date(F.col("source_timestamp")) == F.col("date"), F.lit(False)) if "source_timestamp" in bars.columns else F.lit(True)
+    off_day = ~stamped
     fault = (
-        F.when(F.col("date") > target, "INVALID_SERIES_DATES")
+        F.when((F.col("date") > target) | off_day, "INVALID_SERIES_DATES")
         .when(closed, "BAR_ON_NONTRADING_DATE")
         .when(value_fault(), "INVALID_OHLCV_VALUES")
     )
@@ -61,8 +71,17 @@ def publish_dataset(bars: DataFrame, dim: DataFrame, run: dict, cutoff: Column,
         F.count_if(F.col("_done").isNull()).alias("calendar_unverified_rows"),
         F.max("_source").alias("source"),
     )
+    early = F.lit(False)
+    if receipts is not None:
+        today = dim.select(F.col("date").alias("_today"), F.col("is_trading").alias("_now_is_trading"), F.col("end_1d").alias("_now_end_1d"),
+                           F.col("prev_end_1d").alias("_now_prev_end_1d"))
+        asked = receipts.withColumn("_today", shanghai_date(F.col("request_started_at"))).join(today, "_today", "left")
+        in_time = (F.col("fetched_at") >= F.col("request_started_at")) & (latest_completed("_now", "1d", F.col("request_started_at")) == target)
+        series = series.join(asked.select(*KEY, F.coalesce(in_time, F.lit(False)).alias("_in_time")), list(KEY), "left")
+        early = ~F.coalesce("_in_time", F.lit(False))
     error = (
         F.when(~series_key().isin(*POLICY) | over | ~F.col("_one_source"), "INVALID_SERIES_BASIS")
+        .when(early, "INVALID_OBSERVATION_CUTOFF")
         .when(F.col("_undated") | F.col("_repeat"), "INVALID_SERIES_DATES")
         .when(F.col("_fault").isNotNull(), F.col("_fault"))
         .when(F.col("last_date") != target, "SOURCE_BEHIND_TARGET_SESSION")
@@ -73,7 +92,9 @@ def publish_dataset(bars: DataFrame, dim: DataFrame, run: dict, cutoff: Column,
         F.when(F.col("error_code").isNull(), "ready")
         .when(F.col("error_code") == "SOURCE_BEHIND_TARGET_SESSION", "pending_source").otherwise("failed_without_data")
     )
-    series = series.withColumn("status", status).drop("_repeat", "_undated", "_one_source", "_fault", "_last_done")
+    series = series.withColumn("status", status).drop("_repeat", "_undated", "_one_source", "_fault", "_last_done", "_in_time")
+    absent = missing_sessions(bars.filter(F.col("interval") == "1d"), dim, KEY).groupBy(*KEY).agg(F.count("*").alias("missing_sessions"))
+    series = series.join(absent, list(KEY), "left").withColumn("missing_sessions", F.when(F.col("interval") == "1d", F.coalesce("missing_sessions", F.lit(0))))
     good = rows.join(series.filter("status = 'ready'").select(*KEY), list(KEY), "left_semi").drop("_fault", "is_trading")
     digest = table_digest(good, HASH_COLUMNS, KEY).withColumnRenamed("digest", "content_hash")
     header = series.join(digest, list(KEY), "left")

@@ -86,10 +86,10 @@ def build_universe(directory: DataFrame, keys=()):
     return classify_universe(sound), rejected
 
 
-def union_lists(first: DataFrame, second: DataFrame):
-    """Union of two exchange lists and the identities that occur twice."""
+def union_lists(first: DataFrame, second: DataFrame, keys=()):
+    """Union of two exchange lists and the identities that occur twice, within each of `keys`."""
     both = first.unionByName(second)
-    repeated = both.groupBy("symbol").agg(F.count("*").alias("occurrences")).filter("occurrences > 1")
+    repeated = both.groupBy(*keys, "symbol").agg(F.count("*").alias("occurrences")).filter("occurrences > 1")
     return both, repeated
 
 
@@ -108,6 +108,37 @@ def reconcile_counts(classified: DataFrame, reported: DataFrame, source="source_
     return j.withColumn("reconciled", F.coalesce(F.col("provider_rows") == F.col("total_reported"), F.lit(False)))
 
 
+def build_two_lists(sse: DataFrame, szse: DataFrame, first_page: DataFrame, reported: DataFrame, today: Column, keys=("directory_id",)):
+    """(classified rows, verdicts) of pairs of exchange lists that stand or fall together.
+
+    first_page: rows of the second list's first page (symbol, name, list_date)
+    and reported: its recordcount and source_effective_date, each with `keys`.
+    A pair is refused whole, for its first reason in a fixed order: an empty
+    list, a count other than the reported one or a date to come; a first-page
+    row that the list does not confirm; an identity that occurs twice, or any
+    unsound row. A verdict has the rows of both lists, their classes and, for
+    sound pairs, the digest.
+    """
+    keys = list(keys)
+    sizes = sse.groupBy(*keys).agg(F.count("*").alias("sse_rows")).join(szse.groupBy(*keys).agg(F.count("*").alias("szse_rows")), keys, "full")
+    pairs = reported.select(*keys, "recordcount", "source_effective_date").join(sizes, keys, "full").fillna(0, ["sse_rows", "szse_rows"])
+    counts = (F.col("sse_rows") == 0) | (F.col("szse_rows") == 0) | F.col("source_effective_date").isNull() | (F.col("source_effective_date") > today)
+    wrong_count = ~F.coalesce(F.col("recordcount") == F.col("szse_rows"), F.lit(False))
+    # A symbol may stand twice in the list; one row of it that agrees does not hide the other.
+    unconfirmed = metadata_mismatches(szse, first_page, [*keys, "symbol"]).select(*keys).distinct().withColumn("_page", F.lit(True))
+    both, repeated = union_lists(sse, szse, keys)
+    rows, rejected = build_universe(both, keys)
+    verdict = pairs.join(unconfirmed, keys, "left").join(rejected.withColumnRenamed("reason", "_row"), keys, "left")
+    twice = repeated.select(*keys).distinct().withColumn("_twice", F.lit(True))
+    verdict = verdict.join(twice, keys, "left").withColumn("reason", F.when(
+        F.coalesce(counts, F.lit(True)), "PUBLIC_DIRECTORY_INVALID_COUNTS_OR_DATE").when(wrong_count, "SZSE_WORKBOOK_METADATA_COUNT_MISMATCH")
+        .when(F.col("_page"), "SZSE_WORKBOOK_METADATA_IDENTITY_MISMATCH").when(F.col("_twice"), "PUBLIC_DIRECTORY_DUPLICATE_IDENTITY").otherwise(F.col("_row")))
+    sound = verdict.filter("reason IS NULL").select(*keys)
+    classified = rows.join(sound, keys, "left_semi")
+    verdict = verdict.select(*keys, "sse_rows", "szse_rows", "reason").join(manifest(classified, keys), keys, "left")
+    return classified, verdict
+
+
 def row_hash(columns) -> Column:
     """Digest of one row; NULL and text are told apart by JSON."""
     return F.sha2(F.to_json(F.array(*[F.col(c).cast("string") for c in columns])), 256)

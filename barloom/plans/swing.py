@@ -161,12 +161,16 @@ def _row_stage(df: DataFrame, dim: DataFrame, as_of: Column) -> DataFrame:
 SKIPS = ("future", "current", "unknown_calendar", "incomplete")
 
 
-def swing_screen(bars: DataFrame, dim: DataFrame, as_of: Column, overrides=None, universe: DataFrame | None = None) -> DataFrame:
+def swing_screen(bars: DataFrame, dim: DataFrame, as_of: Column, overrides=None, universe: DataFrame | None = None, requested: int | None = None) -> DataFrame:
     """Judge every symbol's history at a frozen cutoff; one row per symbol.
 
     `bars` needs symbol, source, adjustment, date, source_timestamp, OHLC,
     volume_shares, complete and row_no (input order). With a `universe`
-    (column symbol), members without bars get an INVALID_HISTORY row.
+    (column symbol), members without bars get an INVALID_HISTORY row. A
+    history without any row of the provider, adjustment and (where bars carry
+    one) interval that are screened, or of more than `requested` rows, has an
+    INVALID_HISTORY_BASIS; `reordered` tells that its rows did not come in
+    date order.
     """
     t = thresholds(overrides)
     if universe is not None:
@@ -175,9 +179,16 @@ def swing_screen(bars: DataFrame, dim: DataFrame, as_of: Column, overrides=None,
     # All rows are counted, and those skipped before the duplicate test are
     # only counted: they need no window and may be any number.
     early_fail = F.when(~F.col("_early").isin(*SKIPS), F.col("row_no"))
+    basis = (F.col("source") == "tencent") & (F.col("adjustment") == "qfq")
+    if "interval" in rows.columns:
+        basis = basis & (F.col("interval") == "1d")
+    off_basis = F.count_if(basis) == 0
+    if requested is not None:
+        off_basis = off_basis | (F.count("*") > requested)
     totals = rows.groupBy("symbol").agg(
         F.count("*").alias("input_count"), F.count_if(F.col("_early") == "current").alias("excluded_current_date"),
-        F.count_if(F.col("_early") == "future").alias("excluded_future"), F.min(early_fail).alias("_early_row"))
+        F.count_if(F.col("_early") == "future").alias("excluded_future"), F.min(early_fail).alias("_early_row"),
+        off_basis.alias("_off_basis"))
     # A repeated date fails at its second row. Ranks above 2 cannot come first,
     # and the <= 2 limit is applied before the shuffle.
     rows = rows.filter(F.col("_early").isNull())
@@ -186,6 +197,8 @@ def swing_screen(bars: DataFrame, dim: DataFrame, as_of: Column, overrides=None,
     stage = F.coalesce(F.when(F.col("_seen") == 2, "DUPLICATE_HISTORY_DATE"), F.col("_late"), F.lit("eligible"))
     rows = rows.withColumn("_stage", stage)
     eligible = F.col("_stage") == "eligible"
+    backward = F.lag("date").over(Window.partitionBy("symbol").orderBy("row_no")) > F.col("date")
+    rows = rows.withColumn("_backward", F.coalesce(backward, F.lit(False)))
     newest = Window.partitionBy("symbol").orderBy(eligible.desc(), F.col("date").desc())
     rows = rows.withColumn("_back", F.row_number().over(newest))
     bar = F.struct("date", "open", "high", "low", "close", "volume_shares")
@@ -200,12 +213,14 @@ def swing_screen(bars: DataFrame, dim: DataFrame, as_of: Column, overrides=None,
         F.min(F.when(failing, F.struct("row_no", "_stage"))).alias("_late_fail"),
         # At most 65 bars per symbol reach the list.
         F.array_sort(F.collect_list(F.when(eligible & (F.col("_back") <= MINIMUM_BARS), bar))).alias("_used"),
-        *[c.alias(n) for n, c in judged.items()],
+        F.bool_or("_backward").alias("reordered"), *[c.alias(n) for n, c in judged.items()],
     )
     series = totals.join(series, "symbol", "left").fillna(0, list(judged))
     late = F.col("_late_fail")
     first = F.col("_early_row").isNotNull() & (late.isNull() | (F.col("_early_row") < late["row_no"]))
     series = series.withColumn("_row_fail", F.when(first, "INVALID_HISTORY_DATE").otherwise(late["_stage"]))
+    series = series.withColumn("_row_fail", F.when(F.col("_off_basis"), "INVALID_HISTORY_BASIS").otherwise(F.col("_row_fail")))
+    series = series.withColumn("reordered", F.coalesce("reordered", F.lit(False)) & F.col("_row_fail").isNull())
     series = settled(series.withColumn("_used", F.coalesce("_used", F.array().cast(series.schema["_used"].dataType))))
     if universe is not None:
         series = universe.select("symbol").distinct().join(series, "symbol", "left")
@@ -245,6 +260,7 @@ def swing_screen(bars: DataFrame, dim: DataFrame, as_of: Column, overrides=None,
         "symbol", status.alias("status"), F.when(usable, F.col("phase")).alias("phase"), code.alias("reason_code"),
         F.when(usable, F.col("risk_flags")).otherwise(F.array().cast("array<string>")).alias("risk_flags"),
         "expected_session_date", "first_date", "last_date", "used_count", *counts, "missing_scheduled_sessions",
+        F.coalesce("reordered", F.lit(False)).alias("reordered"),
         *[F.when(usable, F.col(c)).alias(c) for c in keep],
     )
 

@@ -2,6 +2,10 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.archive import ARCHIVE_KEY, archive_upsert, with_key_defaults
+from ..operators.blocks import join_on
+from .versioned import VersionedTables
+
 DATASET_BAR = (
     "struct<date:string,source_timestamp:string,open:double,high:double,low:double,close:double,volume_shares:double,"
     "amount_cny:double,complete:boolean,calendar_completion:boolean,completion_basis:string,period_end_session:string,"
@@ -28,16 +32,49 @@ def write_snapshots(snapshots: DataFrame, path: str) -> None:
     snapshots.write.mode("overwrite").parquet(path)
 
 
-def write_dataset(header: DataFrame, bars: DataFrame, path: str) -> None:
-    """Frozen series as two tables, one folder per run; a run written again replaces itself."""
-    for rows, name in ((header, "series"), (bars, "bars")):
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{path}/{name}")
+def upsert_archive(arrivals: DataFrame, path: str, keys=ARCHIVE_KEY, buckets: int = 64) -> None:
+    """Fold arrivals into a stored archive: only the buckets of their keys are read and written."""
+    keys = list(keys)
+    store = VersionedTables(arrivals.sparkSession, path, keys, buckets)
+    stored = store.read_for("archive", with_key_defaults(arrivals, keys), keys)
+    store.commit(store.version().number + 1, {"archive": (archive_upsert(arrivals, stored, keys), keys)})
+
+
+def read_archive(spark: SparkSession, path: str, keys=ARCHIVE_KEY) -> DataFrame | None:
+    return VersionedTables(spark, path, keys).read("archive")
+
+
+#: A frozen series; its header row and its bars carry these.
+SERIES_ID = ["run_id", "symbol", "interval", "adjustment"]
+
+
+def dataset_store(spark: SparkSession, path: str, buckets: int = 64) -> VersionedTables:
+    return VersionedTables(spark, path, ["symbol"], buckets)
+
+
+def write_dataset(header: DataFrame, bars: DataFrame, path: str, buckets: int = 64) -> None:
+    """Publish series headers and their bars together, in the buckets of their symbols.
+
+    A series written again replaces its header and all its bars; other
+    series stay. A failed write leaves the version before it.
+    """
+    store = dataset_store(header.sparkSession, path, buckets)
+    store.commit(store.version().number + 1, {"series": (header, SERIES_ID), "bars": (bars, SERIES_ID)})
+
+
+def commit_attempts(header: DataFrame, bars: DataFrame, path: str, buckets: int = 64) -> None:
+    """Publish a retry: series that are stored as ready keep header and bars, the others take the attempt's."""
+    stored = dataset_store(header.sparkSession, path, buckets).read_for("series", header, SERIES_ID)
+    if stored is not None:
+        ready = stored.filter("status = 'ready'").select(*SERIES_ID)
+        header, bars = (join_on(x, ready, SERIES_ID, "left_anti") for x in (header, bars))
+    write_dataset(header, bars, path, buckets)
 
 
 def read_dataset_tables(spark: SparkSession, path: str, run_id: str):
-    series = spark.read.parquet(f"{path}/series").filter(F.col("run_id") == run_id)
-    bars = spark.read.parquet(f"{path}/bars").filter(F.col("run_id") == run_id)
-    return series, bars
+    """(series headers, bars) of one run, both of the newest version."""
+    store = dataset_store(spark, path)
+    return tuple(store.read(t).filter(F.col("run_id") == run_id) for t in ("series", "bars"))
 
 
 def export_json(window: DataFrame, path: str) -> None:

@@ -77,7 +77,8 @@ class VersionedTables:
         return self.spark.read.option("basePath", base).parquet(*[f"{base}/{RUN}={run}/{BUCKET}={b}" for run, b in parts])
 
     def _newest(self, rows: DataFrame, keys) -> DataFrame:
-        last = F.row_number().over(Window.partitionBy(BUCKET, *keys).orderBy(F.desc(RUN)))
+        """Rows of each key's newest run; a key may have several rows, which are replaced together."""
+        last = F.rank().over(Window.partitionBy(BUCKET, *keys).orderBy(F.desc(RUN)))
         return rows.withColumn("_rn", last).filter("_rn = 1").drop("_rn")
 
     def touched(self, rows: DataFrame) -> list[int]:

@@ -3,12 +3,12 @@
 from pyspark.sql import functions as F
 
 from barloom import testbed as T
-from barloom.functions import composite_key
+from barloom.functions import composite_key, instant_at
 from barloom.operators import archive as A
 from barloom.session import work_dir
 from barloom.sources import store as ST
 
-from .base import registry
+from .base import SESSION, calendar_sql, registry
 
 REGISTRY, query = registry()
 KEY = ["o_custkey", "o_orderstatus"]
@@ -47,14 +47,13 @@ def archive_upsert_existing(spark, d):
 
 @query("a18_archive_sink", f"WITH {_FOLD} SELECT * FROM arch")
 def archive_sink(spark, d):
+    """Two deliveries folded into a stored archive, bucket by bucket."""
     path = work_dir(spark, "archive")
-    out = A.archive_upsert(arrivals(spark, d), keys=KEY).select(
-        F.col("o_custkey").cast("string").alias("symbol"), F.lit("1d").alias("interval"), F.col("o_orderstatus").alias("adjustment"),
-        F.col("first_fetched_at").alias("source_timestamp"), "first_fetched_at", "last_fetched_at", "payload", "revision_count")
-    ST.write_archive(out, path)
-    back = spark.read.parquet(path)
-    return back.select(F.col("symbol").cast("long").alias("o_custkey"), F.col("adjustment").alias("o_orderstatus"),
-                       "first_fetched_at", "last_fetched_at", "payload", "revision_count")
+    a = arrivals(spark, d)
+    middle = a.select(F.floor(F.max("arrival_no") / 2)).scalar()
+    for part in (F.col("arrival_no") <= middle, F.col("arrival_no") > middle):
+        ST.upsert_archive(a.filter(part), path, KEY, buckets=16)
+    return ST.read_archive(spark, path, KEY)
 
 
 @query("d03_archive_summary", f"""WITH {_FOLD} SELECT o_orderstatus, count(*) AS count, min(o_custkey) AS first_timestamp, max(o_custkey) AS last_timestamp,
@@ -73,6 +72,30 @@ def archive_window(spark, d):
     return out.select("source_timestamp", "payload", "revision_count", "has_more", "next_before")
 
 
+_WINDOW = f"""{SESSION}, {calendar_sql(T.WEEKLY_CALENDAR)}, s AS (SELECT date, CAST(CAST(round(close * 100) AS BIGINT) AS VARCHAR) AS payload FROM bars WHERE symbol = (SELECT max(symbol) FROM bars)),
+w AS (SELECT *, row_number() OVER (ORDER BY date DESC) AS rn FROM s WHERE date < DATE '2001-01-01'), page AS (SELECT * FROM w WHERE rn <= 40)"""
+
+
+@query("k02_archive_window_coverage", f"""WITH {_WINDOW}
+SELECT date AS source_timestamp, payload, CAST(date AS TIMESTAMP) + INTERVAL 1 DAY AS first_fetched_at, CAST(date AS TIMESTAMP) + INTERVAL 2 DAY AS last_fetched_at, CAST(0 AS BIGINT) AS revision_count,
+  (SELECT count(*) FROM w) > 40 AS has_more, (SELECT count(*) FROM s) AS total_observed_records, (SELECT max(date) FROM s) AS observed_last, (SELECT count(*) FROM page) AS returned,
+  (SELECT count(*) FROM cal WHERE is_trading AND date BETWEEN (SELECT min(date) FROM page) AND (SELECT max(date) FROM page) AND date NOT IN (SELECT date FROM page)) AS missing_sessions FROM page""")
+def archive_window_coverage(spark, d):
+    """Every session bar received twice; the last series' window with provenance, summary and coverage."""
+    bars = T.session_bars(spark, d)
+    at = lambda days: F.timestamp_seconds((F.unix_date("date") + days) * 86400)
+    each = bars.select("symbol", F.col("date").alias("source_timestamp"), F.round(F.col("close") * 100).cast("long").cast("string").alias("payload"),
+                       F.explode(F.array(F.struct(F.unix_date("date").cast("long").alias("arrival_no"), at(1).alias("fetched_at")),
+                                         F.struct((F.unix_date("date") + 100_000).cast("long").alias("arrival_no"), at(2).alias("fetched_at")))).alias("_r"))
+    arch = A.archive_upsert(each.select("symbol", "source_timestamp", "payload", "_r.*"), keys=["symbol", "source_timestamp"])
+    last = bars.select(F.max("symbol")).scalar()
+    out = A.archive_window(arch, {"symbol": last}, 40, F.lit("2001-01-01").cast("date"), T.dimension(spark, T.WEEKLY_CALENDAR))
+    ntz = lambda c: F.col(c).cast("timestamp_ntz")
+    return out.select("source_timestamp", "payload", ntz("provenance.first_fetched_at").alias("first_fetched_at"), ntz("provenance.last_fetched_at").alias("last_fetched_at"),
+                      F.col("provenance.revision_count").alias("revision_count"), "has_more", F.col("archive.count").alias("total_observed_records"),
+                      F.col("archive.last_timestamp").alias("observed_last"), F.col("coverage.returned").alias("returned"), F.col("coverage.missing_sessions").alias("missing_sessions"))
+
+
 _SNAP = f"""{_ARR}, latest AS (SELECT o_custkey, o_orderstatus, max(fetched_at) AS fetched_at, arg_max(payload, arrival_no) AS payload FROM
   (SELECT * FROM arr QUALIFY fetched_at = max(fetched_at) OVER (PARTITION BY o_custkey, o_orderstatus)) GROUP BY 1, 2)"""
 _SNAP_NOW = "2001-08-01T00:00:00"
@@ -130,12 +153,27 @@ def auction_fold(spark, d):
     return A.fold_auction(auction_arrivals(spark, d), bits=8).select("symbol", "arrival_no")
 
 
-@query("k06_auction_read", f"""WITH {_AUC} SELECT symbol, s.n AS arrival_no, s.c + 1 AS points FROM folded WHERE s.c >= 8""")
+_DAYS = """days AS (SELECT event_type AS symbol, CAST(ts AS DATE) AS session_date, minute(ts) AS m, min(event_id) AS position, count(*) AS n FROM events WHERE minute(ts) BETWEEN 15 AND 30 GROUP BY 1, 2, 3),
+today AS (SELECT * FROM days WHERE session_date = (SELECT max(session_date) FROM days)),
+judged AS (SELECT *, lag(m) OVER (PARTITION BY symbol ORDER BY position) AS before FROM today)"""
+
+
+@query("k06_auction_read", f"""WITH {_DAYS} SELECT symbol, count(*) AS points, count(CASE WHEN m BETWEEN 15 AND 19 THEN 1 END) AS early_observations, count(CASE WHEN m BETWEEN 25 AND 30 THEN 1 END) AS post_auction_reports,
+  count(CASE WHEN n % 2 = 0 THEN 1 END) AS missing_reported_volume_points, CAST(1800 AS BIGINT) AS age_seconds FROM judged GROUP BY 1 HAVING bool_and(before IS NULL OR m > before)
+UNION ALL SELECT symbol || '/sorted', count(*), count(CASE WHEN m BETWEEN 15 AND 19 THEN 1 END), count(CASE WHEN m BETWEEN 25 AND 30 THEN 1 END),
+  count(CASE WHEN n % 2 = 0 THEN 1 END), CAST(1800 AS BIGINT) FROM today GROUP BY 1""")
 def auction_read(spark, d):
-    a = auction_arrivals(spark, d)
-    kept = A.fold_auction(a).join(a.select("symbol", "arrival_no", "points", "session_date"), ["symbol", "session_date", "arrival_no"])
-    same_day = F.col("session_date") == F.lit("2000-01-01").cast("date")
-    return kept.filter(same_day & (F.col("points") >= 9)).select("symbol", "arrival_no", "points")
+    """Points of every day as stored snapshots: in arrival order, where most are refused, and in minute order; the last day is read."""
+    ev = T.table(spark, d, "events").filter(F.minute("ts").between(15, 30))
+    day = F.to_date("ts")
+    points = ev.groupBy(F.col("event_type").alias("symbol"), day.alias("session_date"), F.minute("ts").alias("m")).agg(F.min("event_id").alias("position"), F.count("*").alias("n"))
+    at = lambda s: instant_at(F.col("session_date"), 9 * 3600 + s)
+    points = points.select("symbol", "session_date", "m", "position", at(F.col("m") * 60).alias("source_timestamp"), at(3600).alias("fetched_at"),
+                           F.when(F.col("n") % 2 == 1, F.col("n")).alias("reported_volume_shares"), F.col("n").alias("reported_amount_cny"))
+    points = points.unionByName(points.withColumn("symbol", F.concat("symbol", F.lit("/sorted"))).withColumn("position", F.col("m").cast("long")))
+    last = points.agg(F.max("session_date")).first()[0]
+    out = A.read_auctions(points, instant_at(F.lit(last), 10 * 3600 + 1800))
+    return out.select("symbol", "points", "early_observations", "post_auction_reports", "missing_reported_volume_points", "age_seconds")
 
 
 @query("b19_archive_eligible", """SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'O' AND o_orderpriority <> '5-LOW'""")

@@ -63,6 +63,35 @@ def partition_counts(spark, d):
     return U.partition_counts(U.classify_universe(directory(spark, d)), ["source_id"])
 
 
+_PAIRS = f"""{_DIR}, lists AS (SELECT CAST(floor(p_partkey / 16) AS BIGINT) % 8 AS pair, symbol, name, classification, m = 'sh' AS first FROM cla WHERE m IN ('sh', 'sz') AND NOT (CAST(floor(p_partkey / 16) AS BIGINT) % 8 = 7 AND m = 'sh')),
+sizes AS (SELECT pair, count(CASE WHEN first THEN 1 END) AS sse_rows, count(CASE WHEN NOT first THEN 1 END) + CASE WHEN pair = 4 THEN 1 ELSE 0 END AS szse_rows,
+  count(CASE WHEN classification = 'eligible_mainboard_non_st' THEN 1 END) AS eligible FROM lists GROUP BY 1)"""
+
+
+@query("j12_two_lists", f"""WITH {_PAIRS} SELECT pair AS directory_id, sse_rows, szse_rows, CASE pair WHEN 2 THEN 'SZSE_WORKBOOK_METADATA_IDENTITY_MISMATCH' WHEN 3 THEN 'SZSE_WORKBOOK_METADATA_COUNT_MISMATCH'
+  WHEN 4 THEN 'PUBLIC_DIRECTORY_DUPLICATE_IDENTITY' WHEN 5 THEN 'PUBLIC_DIRECTORY_INVALID_COUNTS_OR_DATE' WHEN 6 THEN 'MAINBOARD_DIRECTORY_INVALID_NAME' WHEN 7 THEN 'PUBLIC_DIRECTORY_INVALID_COUNTS_OR_DATE' END AS reason,
+  CASE WHEN pair IN (0, 1) THEN eligible END AS eligible, pair IN (0, 1) AS has_digest FROM sizes""")
+def two_lists(spark, d):
+    """Eight pairs of lists: two sound ones and one for each way to be refused."""
+    k = F.col("p_partkey")
+    u = directory(spark, d).filter("market IN ('SH', 'SZ')").withColumn("directory_id", F.floor(k / 16) % 8)
+    pair = F.col("directory_id")
+    least = u.filter("market = 'SZ'").groupBy("directory_id").agg(F.min("p_partkey").alias("_k"))
+    u = u.join(F.broadcast(least), "directory_id", "left")  # eight rows
+    marked = (F.col("_k") == k) & (F.col("market") == "SZ")
+    u = u.withColumn("name", F.when(marked & (pair == 6), " ").otherwise(F.col("name")))
+    sse, szse = u.filter("market = 'SH' AND directory_id <> 7"), u.filter("market = 'SZ'")
+    first_page = szse.filter(marked & (pair != 6)).withColumn("name", F.when(pair == 2, "renamed").otherwise(F.col("name")))
+    szse = szse.unionByName(szse.filter(marked & (pair == 4)))
+    reported = szse.groupBy("directory_id").agg(F.count("*").alias("recordcount")).withColumn("recordcount", F.col("recordcount") + F.when(pair == 3, 1).otherwise(0))
+    reported = reported.withColumn("source_effective_date", F.when(pair == 5, "2030-01-01").otherwise("2024-01-12").cast("date"))
+    columns = [c for c in szse.columns if c not in ("_k", "p_partkey")]
+    _, verdict = U.build_two_lists(sse.select(*columns), szse.select(*columns), first_page.select("directory_id", "symbol", "name", "list_date"), reported,
+                                   F.lit("2024-01-15").cast("date"))
+    return verdict.select("directory_id", "sse_rows", "szse_rows", "reason", F.element_at("partition", F.lit(U.ELIGIBLE)).alias("eligible"),
+                          F.coalesce(F.length("digest") == 64, F.lit(False)).alias("has_digest"))
+
+
 @query("j12_reconciled_lists", f"""WITH {_DIR}, c AS (SELECT CASE WHEN m = 'sh' THEN 'sse' ELSE 'other' END AS source_id, count(*) AS provider_rows, {_CLASS_COUNTS} FROM cla GROUP BY 1)
 SELECT *, provider_rows AS total_reported, true AS reconciled FROM c""")
 def reconciled_lists(spark, d):
@@ -184,11 +213,11 @@ def admit_batches(spark, d):
 
 
 # -- frozen datasets --------------------------------------------------------------
-def dataset_bars(spark, d):
-    return T.kept_table(spark, f"dataset bars {d}", lambda: _dataset_bars(spark, d))
+def dataset_bars(spark, d, late=True):
+    return T.kept_table(spark, f"dataset bars {d} {late}", lambda: _dataset_bars(spark, d, late))
 
 
-def _dataset_bars(spark, d):
+def _dataset_bars(spark, d, late):
     """Four series per symbol on weekly sessions, cut at the target session.
 
     Every fifth symbol's adjusted series stops a session early; every seventh
@@ -205,7 +234,7 @@ def _dataset_bars(spark, d):
     month = month.withColumn("high", F.when((n % 7 == 3) & (F.col("date") == F.lit("2000-01-01").cast("date")), F.lit(0.01)).otherwise(F.col("high")))
     raw = day.withColumn("adjustment", F.lit("none"))
     week = raw.withColumn("interval", F.lit("1w"))
-    adjusted = day.filter(~((n % 5 == 2) & (F.col("date") == target)))
+    adjusted = day.filter(~((n % 5 == 2) & (F.col("date") == target))) if late else day
     out = raw.unionByName(week).unionByName(month.withColumn("adjustment", F.lit("none"))).unionByName(adjusted)
     return out.withColumn("amount_cny", F.lit(None).cast("double"))
 
@@ -229,11 +258,25 @@ st AS (SELECT symbol, CASE WHEN count(CASE WHEN status = 'ready' THEN 1 END) = 4
   WHEN count(CASE WHEN status = 'pending_source' THEN 1 END) > 0 THEN 'pending_source' ELSE 'failed_without_data' END AS state, count(CASE WHEN status = 'ready' THEN 1 END) AS ready_series, 4 - count(*) AS missing_series FROM hd GROUP BY 1)"""
 
 
-@query("j21_publish_dataset", _DS + " SELECT symbol, key, status, error_code, returned, first_date, last_date FROM hd")
+@query("j21_publish_dataset", _DS + """ SELECT symbol, key, status, error_code, returned, first_date, last_date FROM hd""")
 def publish_dataset(spark, d):
     return published(spark, d)[0].select("symbol", "key", "status", "error_code", "returned", "first_date", "last_date")
 
 
+@query("j21_observation_cutoffs", _DS + f""", k AS (SELECT *, CAST(substr(symbol, 6, 3) AS INT) % 4 AS c FROM hd)
+SELECT symbol, key, CASE WHEN c < 3 THEN 'INVALID_OBSERVATION_CUTOFF' ELSE error_code END AS error_code,
+  CASE WHEN interval = '1d' THEN (SELECT count(*) FROM cal WHERE is_trading AND date > first_date AND date < last_date AND date NOT IN (SELECT date FROM ds x WHERE x.symbol = k.symbol AND x.interval = '1d' AND x.adjustment = k.adjustment)) END AS missing_sessions FROM k""")
+def observation_cutoffs(spark, d):
+    """Receipts before the request, requests before the target session was over, and series without a receipt."""
+    bars = dataset_bars(spark, d)
+    c = F.substring("symbol", 6, 3).cast("int") % 4
+    asked = F.when(c == 1, F.lit(f"{TARGET}T12:00:00+08:00").cast("timestamp")).otherwise(F.lit(AS_OF).cast("timestamp"))
+    receipts = bars.select(*DS.KEY).distinct().filter(c != 2).withColumn("request_started_at", asked)
+    receipts = receipts.withColumn("fetched_at", F.timestamp_seconds(F.unix_seconds("request_started_at") + F.when(c == 0, -1).otherwise(2)))
+    header, _ = DS.publish_dataset(bars, T.dimension(spark, T.WEEKLY_CALENDAR), RUN, F.lit(AS_OF).cast("timestamp"), receipts=receipts)
+    return header.select("symbol", "key", "error_code", "missing_sessions")
+
+
 @query("d08_symbol_states", _DS + " SELECT * FROM st")
 def symbol_states(spark, d):
     return DS.symbol_states(published(spark, d)[0])
@@ -245,11 +288,28 @@ def gated_read(spark, d):
     return DS.read_ready(bars, header).select("symbol", "interval", "adjustment", "date", "close")
 
 
-@query("k07_commit_dataset", _DS + """ SELECT symbol, key, CASE WHEN status = 'ready' OR key = '1d:qfq' THEN 'ready' ELSE status END AS status FROM hd""")
+_STORED = """, stored AS (SELECT symbol, interval, adjustment, count(*) AS bars, CAST(sum(CAST(round(close * 100) AS BIGINT)) AS BIGINT) AS close_cents FROM {src} GROUP BY 1, 2, 3)
+SELECT symbol, key, {status} AS status, coalesce(bars, 0) AS bars, coalesce(close_cents, 0) AS close_cents FROM hd LEFT JOIN (SELECT * FROM stored JOIN hd USING (symbol, interval, adjustment) WHERE {kept}) USING (symbol, key)"""
+
+
+def _stored(spark, path):
+    """Series of the store with the bars that lie behind them."""
+    series, bars = ST.read_dataset_tables(spark, path, RUN["run_id"])
+    sums = bars.groupBy(*DS.KEY).agg(F.count("*").alias("bars"), F.sum(F.round(F.col("close") * 100).cast("long")).alias("close_cents"))
+    out = series.join(sums, list(DS.KEY), "left")
+    return out.select("symbol", "key", "status", F.coalesce("bars", F.lit(0)).alias("bars"), F.coalesce("close_cents", F.lit(0)).alias("close_cents"))
+
+
+@query("k07_commit_dataset", _DS + f"""{_STORED.replace("FROM {src}", "FROM (SELECT symbol, interval, adjustment, close FROM ds WHERE adjustment = 'none' UNION ALL SELECT symbol, '1d', 'qfq', close FROM day) x")
+  .replace("{status}", "CASE WHEN key = '1d:qfq' THEN 'ready' ELSE status END").replace("{kept}", "status = 'ready' OR key = '1d:qfq'").replace("SELECT * FROM stored JOIN hd", "SELECT stored.*, hd.key FROM stored JOIN hd")}""")
 def commit_dataset(spark, d):
-    header, _ = published(spark, d)
-    retry = header.filter("key = '1d:qfq'").withColumn("status", F.lit("ready"))
-    return DS.commit_dataset(header, retry).select("symbol", "key", "status")
+    """A run, then a retry of all its series: whole adjusted series make the pending ones ready, halved weekly ones change nothing."""
+    path = work_dir(spark, "dataset")
+    header, bars = published(spark, d)
+    ST.write_dataset(header, bars, path, 16)
+    again = dataset_bars(spark, d, late=False).withColumn("close", F.when(F.col("interval") == "1w", F.col("low")).otherwise(F.col("close")))
+    ST.commit_attempts(*DS.publish_dataset(again, T.dimension(spark, T.WEEKLY_CALENDAR), RUN, F.lit(AS_OF).cast("timestamp")), path, 16)
+    return _stored(spark, path)
 
 
 @query("d10_diagnostic_codes", _DS + " SELECT DISTINCT error_code FROM hd WHERE error_code IS NOT NULL")
@@ -285,13 +345,12 @@ def receipt_clocks(spark, d):
     return o.select("o_orderkey", DS.receipt_fault().alias("fault"))
 
 
-@query("a20_dataset_store", _DS + " SELECT symbol, key, status FROM hd")
+@query("a20_dataset_store", _DS + f"""{_STORED.replace("{src}", "ds").replace("{status}", "status").replace("{kept}", "status = 'ready'").replace("SELECT * FROM stored JOIN hd", "SELECT stored.*, hd.key FROM stored JOIN hd")}""")
 def dataset_store(spark, d):
     path = work_dir(spark, "dataset")
     header, bars = published(spark, d)
-    ST.write_dataset(header, bars, path)
-    series, _ = ST.read_dataset_tables(spark, path, RUN["run_id"])
-    return series.select("symbol", "key", "status")
+    ST.write_dataset(header, bars, path, 16)
+    return _stored(spark, path)
 
 
 @query("a17_dataset_documents", f"""WITH {DAILY} SELECT symbol, CAST(row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS INTEGER) AS row_no, date, close FROM bars""")

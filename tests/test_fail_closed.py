@@ -75,11 +75,18 @@ def test_auction_points_must_rise(spark):
 
 
 def test_a_run_written_again_replaces_itself(spark, tmp_path):
-    header = spark.createDataFrame([("r1", "x"), ("r2", "y")], "run_id string, symbol string")
+    key, path = "run_id string, symbol string, interval string, adjustment string", str(tmp_path / "store")
+    ids = [("r1", "x", "1d", "none"), ("r2", "y", "1d", "none")]
+    header = spark.createDataFrame([(*i, "ready") for i in ids], f"{key}, status string")
+    bars = spark.createDataFrame([(*i, n) for i in ids for n in range(5)], f"{key}, n long")
     for _ in range(2):
-        ST.write_dataset(header, header, str(tmp_path / "store"))
-        ST.write_dataset(header.filter("run_id = 'r1'"), header.filter("run_id = 'r1'"), str(tmp_path / "store"))
-    assert sorted(r.run_id for r in spark.read.parquet(str(tmp_path / "store" / "bars")).collect()) == ["r1", "r2"]
+        ST.write_dataset(header, bars, path, 4)
+        ST.write_dataset(header.filter("run_id = 'r1'"), bars.filter("run_id = 'r1' AND n < 3"), path, 4)
+    series, kept = ST.read_dataset_tables(spark, path, "r1")
+    assert series.count() == 1 and sorted(r.n for r in kept.collect()) == [0, 1, 2]
+    assert ST.read_dataset_tables(spark, path, "r2")[1].count() == 5
+    ST.commit_attempts(header.withColumn("status", F.lit("failed_without_data")), bars.filter("n = 9"), path, 4)
+    assert {r.status for r in ST.read_dataset_tables(spark, path, "r2")[0].collect()} == {"ready"}
 
 
 def test_a_broken_log_is_no_empty_log(spark, tmp_path):
