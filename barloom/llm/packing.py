@@ -186,7 +186,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path, end_id, limits, pool, cached,
 
 
 def pack(docs: DataFrame, path: str, id_col="doc_id", text_col="text", loss_start_col=None, end_id=2,
-         max_tokens=4096, max_segments=256, max_loss=4096, pool=256, cached=1_000_000, prompts=False) -> DataFrame:
+         max_tokens=4096, max_segments=256, max_loss=4096, pool=256, cached=700_000, prompts=False) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens, segment.
 
     loss_start_col: token number at which an example's loss-bearing part
