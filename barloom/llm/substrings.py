@@ -264,6 +264,9 @@ def _answers(table: pa.Table) -> list[dict[int, bytes]]:
 def without_repeats(docs: DataFrame, text_col="text", window=35, slice_bytes=2 << 20, part_bytes=8 << 20, bucket_bytes=16 << 20) -> DataFrame:
     """All columns with the text reduced to its kept words, one space apart, and `_n_words`, `_n_removed`.
 
+    Where `docs` has columns of these names, the counts get underscores before
+    theirs; they are the last two columns.
+
     A word goes if a window of `window` words that covers it starts anywhere
     else too, in the same document or another; windows are judged on the
     input. Slices and parts grow in number with the text, up to 100,000 parts
@@ -292,7 +295,8 @@ def without_repeats(docs: DataFrame, text_col="text", window=35, slice_bytes=2 <
             return sent(left, [])
         return sent(left, _candidate_rows(Slice(_texts(left, text_col), parts, block, window), key[0].as_py(), _answers(right)[0]))
 
-    kept_schema = T.StructType([*rows.schema.fields, T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType())])
+    counts = [free_name(docs, c) for c in ("_n_words", "_n_removed")]
+    kept_schema = T.StructType([*rows.schema.fields, *[T.StructField(c, T.LongType()) for c in counts]])
     at = names.index(text_col)
 
     def finish(key, left, right):
@@ -307,7 +311,7 @@ def without_repeats(docs: DataFrame, text_col="text", window=35, slice_bytes=2 <
             kept.append(b" ".join(compress(words, (~gone[a:b]).tolist()) if lost[-1] else words))
         columns = [left.column(c) for c in names]
         columns[at] = pa.array(kept, pa.binary()).cast(pa.string())
-        return pa.Table.from_arrays([*columns, pa.array(s.counts, pa.int64()), pa.array(lost, pa.int64())], [*names, "_n_words", "_n_removed"])
+        return pa.Table.from_arrays([*columns, pa.array(s.counts, pa.int64()), pa.array(lost, pa.int64())], [*names, *counts])
 
     answer = "slice long, part int, bits binary"
     probes = slices.select(number, text_col).groupBy(number).applyInArrow(probe, _SENT)

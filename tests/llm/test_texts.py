@@ -140,6 +140,13 @@ def test_every_limit_changes_what_is_packed(spark):
     assert len(set(map(frozenset, found.values()))) == 4
 
 
+def test_repeats_of_documents_with_the_counts_names(spark):
+    df = frame(spark, [(1, "a b c"), (2, None)]).selectExpr("*", "'x' AS _n_words", "'y' AS _N_REMOVED")
+    out = substrings.without_repeats(df)
+    assert out.columns == [*df.columns, "__n_words", "__n_removed"]
+    assert sorted((r["__n_words"], r["_n_words"]) for r in out.collect()) == [(0, "x"), (3, "x")]
+
+
 def test_packing_an_empty_table(spark):
     assert packing.pack(frame(spark, []), WORD_BPE).collect() == []
 
