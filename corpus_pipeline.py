@@ -1,7 +1,10 @@
 """From raw documents to packed sequences in five stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows the one before it
-kept. All but the last return the columns of `documents`.
+kept. All but the last return the columns of `documents`, whatever further
+columns it has. Null and empty texts are scored, compared, mixed and packed
+like others (as documents without words); rows with null or repeated ids are
+rows of their own. An empty table gives empty stages.
 """
 
 import public_tokenizers
@@ -25,8 +28,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words of passages that stand elsewhere too."""
-    kept = substrings.without_repeats(docs).drop("_n_words", "_n_removed")
+    """Documents without the words of passages that stand elsewhere too.
+
+    A null text becomes an empty one; other columns stay, n_chars follows the text.
+    """
+    kept = substrings.without_repeats(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
     return kept.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 

@@ -116,3 +116,20 @@ def test_summary_adds_up_and_contract_holds(spark, dim):
     assert s.total == s.match + s.not_match + s.insufficient_data == 3
     assert S.check_swing_result(result).count() == 0
     assert S.check_swing_result(result.withColumn("phase", F.lit("emerging"))).count() >= 2
+
+
+def test_histories_of_another_basis_and_out_of_order(spark, dim):
+    days = sessions(dim)
+    shuffled = history(days, [100.0 + i for i in range(80)], "sh600000")
+    shuffled[10][-1], shuffled[20][-1] = 20, 10
+    other = [[*r[:1], "sina", *r[2:]] for r in history(days, [100.0] * 80, "sh600001")]
+    mixed = history(days, [100.0] * 80, "sh600002")
+    mixed[5][1] = "sina"
+    got = run(spark, dim, shuffled + other + mixed)
+    assert got["sh600000"].reordered is True and got["sh600000"].status == "match"
+    assert (got["sh600001"].reason_code, got["sh600001"].reordered) == ("INVALID_HISTORY_BASIS", False)
+    assert got["sh600002"].reason_code == "MIXED_HISTORY_BASIS"
+    many = run(spark, dim, shuffled, requested=79)
+    assert many["sh600000"].reason_code == "INVALID_HISTORY_BASIS"
+    wrong = spark.createDataFrame([tuple(r) for r in shuffled], SCHEMA).withColumn("interval", F.lit("1w"))
+    assert S.swing_screen(wrong, dim, F.lit(AS_OF).cast("timestamp")).first().reason_code == "INVALID_HISTORY_BASIS"
