@@ -154,37 +154,38 @@ def period_history(spark, d):
 
 
 def _history_raw(spark, d):
-    # Every second symbol keeps its later months, which makes it a future date.
+    # Every second symbol's later months lie in a capture of their own; elsewhere they are future dates of the one capture.
     b = T.monthly_bars(spark, d)
     number = F.substring("symbol", 8, 1).cast("int")
-    b = b.filter((number % 2 == 0) | (F.col("date") <= F.lit("2001-06-01").cast("date")))
+    b = b.withColumn("late", (number % 2 == 1) & (F.col("date") > F.lit("2001-06-01").cast("date")))
     row = F.array(F.col("date").cast("string"), money(F.col("open")), money(F.col("close")), money(F.col("high")), money(F.col("low")), whole("volume_shares"))
-    g = b.groupBy("symbol").agg(F.collect_list(row).alias("rows"))
+    g = b.groupBy("symbol", "late").agg(F.collect_list(row).alias("rows"))
     body = F.to_json(F.struct(F.lit(0).alias("code"), F.create_map("symbol", F.create_map(F.lit("qfqmonth"), "rows")).alias("data")))
-    return g.select(F.col("symbol").alias("capture_id"), "symbol", body.alias("body"))
+    return g.select(F.concat_ws("/", "symbol", F.when(F.col("late"), "late")).alias("capture_id"), "symbol", body.alias("body"))
 
 
-@query("a04_history_quarantine", f"WITH {MONTHLY} SELECT symbol, 'FUTURE_BAR_DATE' AS reason FROM bars WHERE CAST(substr(symbol, 8, 1) AS INT) % 2 = 0 GROUP BY symbol HAVING max(date) > DATE '2001-06-13'")
+@query("a04_history_quarantine", f"WITH {MONTHLY} SELECT symbol, 'FUTURE_BAR_DATE' AS reason FROM bars GROUP BY symbol HAVING max(date) > DATE '2001-06-13'")
 def history_quarantine(spark, d):
     _, bad = B.decode_history(_history_raw(spark, d), "tencent", T.dimension(spark, T.DAILY_CALENDAR), F.lit("2001-06-13T12:00:00+08:00").cast("timestamp"), "1mo", "qfq")
     return bad.select("symbol", "reason")
 
 
 _A05 = f"""WITH {DAILY}, {CAL}, y AS (SELECT bars.*, year(bars.date) AS yr, is_trading FROM bars LEFT JOIN cal ON bars.date = cal.date),
-kept AS (SELECT * FROM y WHERE is_trading OR yr % 5 = 1), bad AS (SELECT DISTINCT symbol, yr FROM kept WHERE NOT is_trading)"""
+caps AS (SELECT *, NOT is_trading AND yr % 5 <> 1 AS apart FROM y), bad AS (SELECT DISTINCT symbol, yr, apart FROM caps WHERE NOT is_trading)"""
 
 
 def _daily_raw(spark, d):
     cal = T.calendar(spark, T.DAILY_CALENDAR).select("date", "is_trading")
     b = T.daily_bars(spark, d).join(F.broadcast(cal), "date", "left").withColumn("yr", F.year("date"))
-    b = b.filter(F.col("is_trading") | (F.col("yr") % 5 == 1))
+    # In four years of five the bars of closed days come in a capture of their own, in the fifth among the others.
+    b = b.withColumn("apart", ~F.col("is_trading") & (F.col("yr") % 5 != 1))
     row = F.struct(F.col("date").cast("string").alias("day"), money(F.col("open")).alias("open"), money(F.col("high")).alias("high"),
                    money(F.col("low")).alias("low"), money(F.col("close")).alias("close"), whole("volume_shares").alias("volume"))
-    g = b.groupBy("symbol", "yr").agg(F.collect_list(row).alias("rows"))
-    return g.select(F.concat_ws("/", "symbol", "yr").alias("capture_id"), "symbol", "yr", F.concat(F.lit("=("), F.to_json("rows"), F.lit(")")).alias("body"))
+    g = b.groupBy("symbol", "yr", "apart").agg(F.collect_list(row).alias("rows"))
+    return g.select(F.concat_ws("/", "symbol", "yr", F.when(F.col("apart"), "closed")).alias("capture_id"), "symbol", "yr", F.concat(F.lit("=("), F.to_json("rows"), F.lit(")")).alias("body"))
 
 
-@query("a05_daily_history", _A05 + " SELECT symbol, yr, date, open, high, low, close, volume_shares FROM kept ANTI JOIN bad USING (symbol, yr)")
+@query("a05_daily_history", _A05 + " SELECT symbol, yr, date, open, high, low, close, volume_shares FROM caps ANTI JOIN bad USING (symbol, yr, apart)")
 def daily_history(spark, d):
     good, _ = B.decode_history(_daily_raw(spark, d), "sina", T.dimension(spark, T.DAILY_CALENDAR), F.lit("2002-01-01T12:00:00+08:00").cast("timestamp"))
     return good.select("symbol", F.col("yr").cast("long").alias("yr"), "date", *B.BAR_FIELDS)

@@ -49,10 +49,10 @@ def history(spark, d):
 
 
 def swing_result(spark, d):
-    # Bars on closed Mondays are not part of a history.
+    # Bars on closed Mondays are histories of their own.
     dim = _dim(spark)
-    closed = dim.filter(~F.col("is_trading")).select("date")
-    h = history(spark, d).join(F.broadcast(closed), "date", "left_anti")
+    closed = dim.filter(~F.col("is_trading")).select("date", F.lit("/closed").alias("_closed"))
+    h = history(spark, d).join(F.broadcast(closed), "date", "left").withColumn("symbol", F.concat("symbol", F.coalesce("_closed", F.lit("")))).drop("_closed")
     return S.swing_screen(h, dim, _as_of())
 
 
@@ -103,7 +103,10 @@ result AS (SELECT j.*, CASE WHEN reason IS NOT NULL THEN 'insufficient_data' WHE
   CASE WHEN reason IS NULL THEN p.flags ELSE '' END AS flags, CASE WHEN reason IS NULL THEN round(p.ma20, 4) END AS ma20,
   CASE WHEN reason IS NULL THEN round(p.ma60, 4) END AS ma60, CASE WHEN reason IS NULL THEN round(p.vr, 6) END AS volume_ratio20,
   CASE WHEN reason IS NULL THEN round(p.ret5, 4) END AS return_5d_pct, CASE WHEN reason IS NULL THEN p.breakout_kind END AS breakout_kind
-  FROM judged j LEFT JOIN m4 p ON p.symbol = j.symbol AND p.date = j.last_date)"""
+  FROM judged j LEFT JOIN m4 p ON p.symbol = j.symbol AND p.date = j.last_date
+  UNION ALL SELECT symbol || '/closed', (SELECT e FROM expected), NULL, NULL, 0, count(*), count(CASE WHEN date > DATE '{TARGET}' THEN 1 END), NULL, 'insufficient_data', NULL,
+    CASE WHEN min(date) <= DATE '{TARGET}' THEN 'BAR_ON_NONTRADING_DATE' ELSE 'INSUFFICIENT_COMPLETED_BARS' END, '', NULL, NULL, NULL, NULL, NULL
+  FROM bars JOIN cal USING (date) WHERE NOT is_trading GROUP BY symbol)"""
 
 
 @query("j14_swing_screen", _SWING_ROWS + """
