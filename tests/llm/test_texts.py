@@ -179,13 +179,50 @@ def test_block_keys_and_tiles_lose_no_link(spark):
     assert classes(len(fps), [(at[r.a], at[r.b]) for r in links]) == want
 
 
-def test_one_document_of_each_group_stays(spark, docs):
-    df = frame(spark, docs)
-    out = simhash.one_of_each(df, simhash.near_duplicates(df))
-    assert out.columns == df.columns
-    ids = [r.doc_id for r in out.collect()]
-    heads = {r.component_id for r in simhash.near_duplicates(df).collect()}
-    assert sorted(i for i in ids if i is not None) == sorted(h for h in heads if h is not None)
+def shingle_set(text, n=5):
+    words = WORD.findall((text or "").translate(ASCII_LOWER))
+    return {tuple(words[i:i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def similar(x, y):
+    return len(x & y) >= 0.8 * len(x | y)
+
+
+def edited(rng, text, share):
+    return " ".join(sentence(rng, 1) if rng.random() < share else w for w in text.split())
+
+
+def test_one_row_of_each_group_of_similar_texts_stays(spark):
+    rng = random.Random(3)
+    rows = []
+    for base in (sentence(rng, n) for n in (6, 12, 40, 150, 400, 400, 9000)):
+        rows += [(len(rows) + k, edited(rng, base, share)) for k, share in enumerate((0, 0.004, 0.01, 0.02, 0.02, 0.03, 0.05, 0.2))]
+    rows += [(1000, rows[0][1].upper()), (1001, rows[9][1] + " one more"), (1002, None), (1003, ""), (None, rows[17][1])]
+    rng.shuffle(rows)
+    sets = [shingle_set(t) for _, t in rows]
+    root = classes(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if similar(sets[i], sets[j])])
+    want = {}
+    for (d, _), r in zip(rows, root, strict=True):
+        want[r] = min((x for x in (want.get(r), d) if x is not None), default=None)
+    assert 15 < len(want) < len(rows) - 10
+    for near in (simhash.Near(), simhash.Near(tile=3, tile_bytes=2000)):
+        out = simhash.one_per_group(frame(spark, rows), near=near)
+        assert out.columns == frame(spark, rows).columns
+        assert collections.Counter(r.doc_id for r in out.collect()) == collections.Counter(want.values())
+
+
+def test_set_similarity_and_its_band_keys():
+    near = simhash.Near()
+    rng = np.random.default_rng(2)
+    met = 0
+    for k in range(300):
+        pool = rng.integers(0, 1 << 63, 180, dtype=np.uint64)
+        x, y = np.unique(pool[:162]), np.unique(pool[18:])  # 144 of 180 shared: exactly 0.8
+        assert simhash.jaccard(x, y) == 0.8
+        met += bool(set(simhash.band_keys(x, near)) & set(simhash.band_keys(y, near)))
+    assert met >= 297
+    none = np.zeros(0, np.uint64)
+    assert simhash.jaccard(none, none) == 1.0 and simhash.jaccard(none, x) == 0.0 and simhash.band_keys(none, near) == []
 
 
 def test_the_stage_keeps_one_row_of_each_group_whatever_the_ids(spark, docs):
@@ -199,8 +236,8 @@ def test_the_stage_keeps_one_row_of_each_group_whatever_the_ids(spark, docs):
     assert out.columns == df.columns
     assert rows_of(out, "doc_id", "text") == rows_of(frame(spark, [(3, a), (5, b), *[(None, t) for t in others], (8, None)]), "doc_id", "text")
     df = frame(spark, docs)
-    fps = [plain_fingerprint(t) for _, t in docs]
-    groups = classes(len(docs), [(i, j) for i in range(len(docs)) for j in range(i) if hamming(fps[i], fps[j]) <= 3])
+    sets = [shingle_set(t) for _, t in docs]
+    groups = classes(len(docs), [(i, j) for i in range(len(docs)) for j in range(i) if similar(sets[i], sets[j])])
     least = {}
     for (d, _), g in zip(docs, groups, strict=True):
         least[g] = min((x for x in (least.get(g), d) if x is not None), default=None)
