@@ -19,6 +19,8 @@ discard among them and whole shingle sets decide.
 """
 
 import dataclasses
+import functools
+import itertools
 import math
 from collections.abc import Callable, Iterator
 
@@ -166,9 +168,13 @@ def shingle_hashes(text: bytes, shingle=5) -> np.ndarray:
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
     last = max(1, len(words) - shingle + 1)
+    ends = list(itertools.accumulate(map(len, words), lambda at, n: at + n + 1, initial=-1))[1:]
+    starts = [0, *[e + 1 for e in ends[:last - 1]]]
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(b" ".join(words[i:i + shingle]), 42) for i in range(last)), np.uint64, last))
+    whole = ends[shingle - 1:] or ends[-1:]
+    return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, whole, strict=True)), np.uint64, last))
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -204,16 +210,22 @@ class Near:
         return math.ceil(math.log(1 - self.recall) / math.log(1 - self.similarity ** self.rows))
 
 
+@functools.cache
+def _functions(near: Near) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers that make `bands * rows` hash functions of one."""
+    draw = np.random.default_rng(near.seed)
+    flips, odd = draw.integers(0, 1 << 64, (2, near.bands * near.rows, 1), dtype=np.uint64)
+    return flips, odd | np.uint64(1)
+
+
 def band_keys(hashes: np.ndarray, near: Near) -> list[int]:
     """Keys that texts share where the least values of `rows` hash functions agree."""
     if not len(hashes):
         return []
-    draw = np.random.default_rng(near.seed)
-    flips, odd = draw.integers(0, 1 << 64, (2, near.bands * near.rows, 1), dtype=np.uint64)
-    odd |= np.uint64(1)
+    flips, odd = _functions(near)
     least = np.full(len(odd), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 8192):
-        least = np.minimum(least, ((hashes[None, at:at + 8192] ^ flips) * odd).min(axis=1))
+    for at in range(0, len(hashes), 1024):
+        least = np.minimum(least, ((hashes[None, at:at + 1024] ^ flips) * odd).min(axis=1))
     cut = least.reshape(near.bands, near.rows)
     return [xxhash.xxh64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(cut)]
 
