@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from barloom import testbed as T
-from barloom.operators import calendar as C, datasets as DS, universe as U
+from barloom.operators import calendar as C, contracts as CT, datasets as DS, universe as U
 from barloom.plans import rules as R
 from barloom.session import work_dir
 from barloom.sources import store as ST
@@ -324,6 +324,41 @@ def dataset_quality(spark, d):
     return DS.dataset_quality(header, dataset_bars(spark, d))
 
 
+@query("b09_document_contract", """WITH l AS (SELECT l_orderkey, CAST(l_shipdate AS DATE) AS day, l_tax, row_number() OVER w AS pos, lag(CAST(l_shipdate AS DATE)) OVER w AS before
+  FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY CAST(l_shipdate AS DATE), l_linenumber, l_extendedprice, l_tax DESC)),
+c AS (SELECT *, CASE WHEN day <= before THEN 'MALFORMED_BARS' WHEN l_tax > 0.075 THEN 'INVALID_OHLC' END AS code FROM l)
+SELECT l_orderkey, CASE WHEN l_orderkey % 13 = 0 THEN 'QUALITY_UNKNOWN_FIELD' WHEN l_orderkey % 17 = 0 THEN 'QUALITY_MISSING_FIELD'
+  WHEN l_orderkey % 19 = 0 THEN 'QUALITY_INVALID_FIELD' ELSE coalesce(arg_min(code, pos) FILTER (WHERE code IS NOT NULL),
+  CASE WHEN l_orderkey % 11 = 0 THEN 'QUALITY_COVERAGE_CONTRADICTION' END) END AS quality_error FROM c GROUP BY l_orderkey""")
+def document_contract(spark, d):
+    """One stored document per order, a bar per line; unknown, absent and wrong fields by the order's number."""
+    lines = T.table(spark, d, "lineitem")
+    day, price, text = F.date_format(F.col("l_shipdate").cast("date"), "yyyy-MM-dd"), F.col("l_extendedprice").cast("double"), lambda x: F.lit(x)
+    bar = F.struct(
+        day.alias("date"), F.col("l_linenumber").cast("long").alias("_line"), day.alias("source_timestamp"), price.alias("open"),
+        (price - F.when(F.col("l_tax") > 0.075, 1.0).otherwise(0.0)).alias("high"), (price - 2).alias("low"), price.alias("close"),
+        F.col("l_quantity").cast("double").alias("volume_shares"), F.lit(None).cast("double").alias("amount_cny"), F.lit(True).alias("complete"),
+        F.lit(True).alias("calendar_completion"), text("schedule").alias("completion_basis"), day.alias("period_end_session"),
+        F.lit(False).alias("observed_latest"), text("unknown").alias("source_finality"))
+    docs = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(bar)).alias("bars"))  # an order has few lines
+    docs = docs.withColumn("bars", F.transform("bars", lambda b: b.dropFields("_line")))
+    n, size, clock = F.col("l_orderkey"), F.size("bars").cast("long"), text("2024-01-03T16:00:00+08:00")
+    coverage = F.struct(
+        F.lit(100).alias("requested"), (size + F.when(n % 11 == 0, 1).otherwise(0)).alias("returned"), F.col("bars")[0]["date"].alias("first_date"),
+        F.element_at("bars", -1)["date"].alias("last_date"), F.lit(False).alias("full_history"), F.lit(0).alias("calendar_unverified_rows"),
+        F.array().cast("array<string>").alias("missing_scheduled_session_dates"), F.lit(False).alias("calendar_gaps_unverified"), text("none").alias("missing_session_note"))
+    fields = {
+        "dataset_id": text("run-1"), "symbol": text("SH600000"), "source": text("a"), "interval": text("1d"), "adjustment": text("none"), "target_session": text("2024-01-03"),
+        "calendar_version": text("c"), "policy_version": text("p"), "content_hash": F.sha2(n.cast("string"), 256), "request_started_at": clock,
+        "completion_cutoff": clock, "fetched_at": clock, "source_timestamp": text("2024-01-03"), "bars": F.col("bars"), "coverage": coverage,
+        "units": F.struct(text("CNY").alias("price"), text("shares; provider unadjusted reported volume").alias("volume"), text("unavailable=null").alias("amount")),
+        "source_finality": text("unknown"), "point_in_time": n % 19 == 0, "cache": F.struct(F.lit(True).alias("used"), text("explicit_local_dataset").alias("scope")),
+    }
+    body = F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]), {"ignoreNullFields": "false"})
+    body = F.when(n % 13 == 0, F.regexp_replace(body, r"^\{", '{"extra":1,')).when(n % 17 == 0, F.regexp_replace(body, '"source":"a",', "")).otherwise(body)
+    return CT.document_faults(docs.select("l_orderkey", body.alias("doc")), "doc").select("l_orderkey", "quality_error")
+
+
 @query("b10_freeze_tuple", """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 3 OR o_orderstatus = 'P' THEN 'DATASET_FREEZE_TUPLE_MISMATCH' END AS fault FROM orders""")
 def freeze_tuple(spark, d):
     o = T.table(spark, d, "orders").select(
