@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from barloom import testbed as T
-from barloom.operators import calendar as C, contracts as CT, datasets as DS, universe as U
+from barloom.operators import adapter as AD, calendar as C, contracts as CT, datasets as DS, universe as U
 from barloom.plans import rules as R
 from barloom.session import work_dir
 from barloom.sources import store as ST
@@ -332,6 +332,19 @@ SELECT l_orderkey, CASE WHEN l_orderkey % 13 = 0 THEN 'QUALITY_UNKNOWN_FIELD' WH
   CASE WHEN l_orderkey % 11 = 0 THEN 'QUALITY_COVERAGE_CONTRADICTION' END) END AS quality_error FROM c GROUP BY l_orderkey""")
 def document_contract(spark, d):
     """One stored document per order, a bar per line; unknown, absent and wrong fields by the order's number."""
+    docs, fields = order_documents(spark, d)
+    return CT.document_faults(docs.select("l_orderkey", _body(fields).alias("doc")), "doc").select("l_orderkey", "quality_error")
+
+
+def _body(fields):
+    """JSON of a document, with a field too many or too few by the order's number."""
+    n = F.col("l_orderkey")
+    body = F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]), {"ignoreNullFields": "false"})
+    return F.when(n % 13 == 0, F.regexp_replace(body, r"^\{", '{"extra":1,')).when(n % 17 == 0, F.regexp_replace(body, '"source":"[a-z]*",', "")).otherwise(body)
+
+
+def order_documents(spark, d, close=None):
+    """l_orderkey and bars per order, and the fields of its document; `close` is a last day for even orders."""
     lines = T.table(spark, d, "lineitem")
     day, price, text = F.date_format(F.col("l_shipdate").cast("date"), "yyyy-MM-dd"), F.col("l_extendedprice").cast("double"), lambda x: F.lit(x)
     bar = F.struct(
@@ -342,6 +355,9 @@ def document_contract(spark, d):
         F.lit(False).alias("observed_latest"), text("unknown").alias("source_finality"))
     docs = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(bar)).alias("bars"))  # an order has few lines
     docs = docs.withColumn("bars", F.transform("bars", lambda b: b.dropFields("_line")))
+    if close is not None:
+        last = F.element_at("bars", -1).withField("date", F.lit(close)).withField("completion_basis", F.lit("verified_calendar_schedule_with_conservative_buffer"))
+        docs = docs.withColumn("bars", F.when(F.col("l_orderkey") % 2 == 0, F.array_append("bars", last)).otherwise(F.col("bars")))
     n, size, clock = F.col("l_orderkey"), F.size("bars").cast("long"), text("2024-01-03T16:00:00+08:00")
     coverage = F.struct(
         F.lit(100).alias("requested"), (size + F.when(n % 11 == 0, 1).otherwise(0)).alias("returned"), F.col("bars")[0]["date"].alias("first_date"),
@@ -354,9 +370,59 @@ def document_contract(spark, d):
         "units": F.struct(text("CNY").alias("price"), text("shares; provider unadjusted reported volume").alias("volume"), text("unavailable=null").alias("amount")),
         "source_finality": text("unknown"), "point_in_time": n % 19 == 0, "cache": F.struct(F.lit(True).alias("used"), text("explicit_local_dataset").alias("scope")),
     }
-    body = F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]), {"ignoreNullFields": "false"})
-    body = F.when(n % 13 == 0, F.regexp_replace(body, r"^\{", '{"extra":1,')).when(n % 17 == 0, F.regexp_replace(body, '"source":"a",', "")).otherwise(body)
-    return CT.document_faults(docs.select("l_orderkey", body.alias("doc")), "doc").select("l_orderkey", "quality_error")
+    return docs, fields
+
+
+_RECORDS = """WITH l AS (SELECT l_orderkey, CAST(l_shipdate AS DATE) AS day, l_tax, row_number() OVER w AS pos, lag(CAST(l_shipdate AS DATE)) OVER w AS before
+  FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY CAST(l_shipdate AS DATE), l_linenumber, l_extendedprice, l_tax DESC)),
+c AS (SELECT *, CASE WHEN day <= before THEN 'MALFORMED_BARS' WHEN l_tax > 0.075 THEN 'INVALID_OHLC' END AS code FROM l),
+o AS (SELECT l_orderkey AS n, count(*) + (l_orderkey % 2 = 0)::INT AS bars, CASE WHEN l_orderkey % 13 = 0 THEN 'QUALITY_UNKNOWN_FIELD' WHEN l_orderkey % 17 = 0 THEN 'QUALITY_MISSING_FIELD'
+  WHEN l_orderkey % 19 = 0 THEN 'QUALITY_INVALID_FIELD' ELSE coalesce(arg_min(code, pos) FILTER (WHERE code IS NOT NULL),
+  CASE WHEN l_orderkey % 11 = 0 THEN 'QUALITY_COVERAGE_CONTRADICTION' END) END AS quality FROM c GROUP BY l_orderkey),
+r AS (SELECT *, CAST(floor(n / 100) AS BIGINT) AS batch, 'SH' || lpad(CAST(n % 100 - (n % 700 = 301)::INT AS VARCHAR), 6, '0') AS symbol,
+  CASE WHEN n % 7 = 5 THEN 'W' ELSE 'D' END AS timeframe, CASE WHEN n % 900 = 400 THEN 'ADAPTER_RECORD_INVALID' WHEN n % 1100 = 500 THEN 'ADAPTER_RESULT_INVALID' END AS fault FROM o),
+q AS (SELECT batch, coalesce(min(fault), CASE WHEN max(n) > 1 THEN 'DUPLICATE_SERIES' END) AS code
+  FROM (SELECT batch, symbol, timeframe, min(fault) AS fault, count(*) AS n FROM r GROUP BY 1, 2, 3) x GROUP BY 1),
+v AS (SELECT r.*, CASE WHEN n % 20 = 3 THEN 'UPSTREAM_FAILED_WITHOUT_DATA' WHEN n % 20 = 7 THEN 'SERIES_NOT_AVAILABLE' WHEN n % 20 = 16 THEN 'AVAILABLE_STATE_CONTRADICTION'
+  WHEN quality IS NOT NULL THEN quality WHEN n % 23 = 0 THEN 'DATASET_IDENTITY_OR_UNITS' WHEN n % 29 = 0 THEN 'DATASET_FREEZE_TUPLE_MISMATCH'
+  WHEN n % 31 = 0 THEN 'RECEIPT_CLOCK_INVALID' WHEN n % 2 = 1 THEN 'OBSERVATION_TARGET_MISMATCH' END AS error_code
+  FROM r JOIN q USING (batch) WHERE q.code IS NULL)"""
+
+
+def _adapted(spark, d):
+    """Records of a hundred order numbers a batch; some batches hold an unknown key, a wrong answer or a series twice."""
+    docs, fields = order_documents(spark, d, "2024-01-03")
+    n = F.col("l_orderkey")
+    week = n % 7 == 5
+    symbol = F.concat(F.lit("SH"), F.lpad((n % 100 - F.when(n % 700 == 301, 1).otherwise(0)).cast("string"), 6, "0"))
+    fields |= {
+        "dataset_id": F.when(n % 23 == 0, "run-2").otherwise("run-1"), "symbol": symbol, "source": F.lit("tencent"), "interval": F.when(week, "1w").otherwise("1d"),
+        "calendar_version": F.when(n % 29 == 0, "d").otherwise("exchange-announced-2026-v1"), "policy_version": F.lit("local-ohlcv-v1"),
+        "fetched_at": F.when(n % 31 == 0, "2024-01-03T07:59:59Z").otherwise("2024-01-03T08:00:00Z")}
+    state = F.when(n % 1100 == 500, "lost").when(n % 20 == 3, "failed").when(n % 20 == 7, "pending").when(n % 20 == 16, "partial").otherwise("ready")
+    records = docs.select(
+        F.floor(n / 100).alias("batch"), F.lower(symbol).alias("symbol"),
+        F.when(n % 900 == 400, "1y:none").when(week, "1w:none").otherwise("1d:none").alias("key"),
+        (~(n % 20).isin(3, 7)).alias("available"), state.alias("state"), F.lit("unknown").alias("source_finality"), _body(fields).alias("document"))
+    run = {"run_id": "run-1", "target_session": "2024-01-03", "calendar_version": "exchange-announced-2026-v1", "policy_version": "local-ohlcv-v1"}
+    return AD.adapt_documents(records, {"D": {"cutoff_date": "2024-01-03"}, "W": {"cutoff_date": "2024-01-03"}}, run, ["batch"])
+
+
+@query("j23_adapted_series", _RECORDS + """ SELECT batch, symbol, timeframe, CASE WHEN error_code IS NULL THEN 'ready' ELSE 'error' END AS status, error_code,
+  CASE WHEN error_code IS NULL THEN bars END AS bars, CASE WHEN error_code IS NULL THEN 1 END AS complete FROM v WHERE error_code IS DISTINCT FROM 'SERIES_NOT_AVAILABLE'""")
+def adapted_series(spark, d):
+    series, bars, _ = _adapted(spark, d)
+    key = ["batch", "symbol", "timeframe"]
+    n = bars.groupBy(*key).agg(F.count("*").alias("bars"), F.count_if(F.col("completion") == "complete").cast("int").alias("complete"))
+    return series.select(*key, "status", "error_code").join(n, key, "left")
+
+
+@query("j23_adapter_diagnostics", _RECORDS + """ SELECT batch, NULL::VARCHAR AS symbol, NULL::VARCHAR AS timeframe, code FROM q WHERE code IS NOT NULL
+UNION ALL SELECT batch, symbol, timeframe, error_code FROM v WHERE error_code <> 'UPSTREAM_FAILED_WITHOUT_DATA'
+UNION ALL SELECT batch, symbol, f, 'SERIES_NOT_AVAILABLE' FROM (SELECT DISTINCT batch, symbol FROM v) s CROSS JOIN (VALUES ('D'), ('W')) t(f)
+  WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.batch = s.batch AND v.symbol = s.symbol AND v.timeframe = f)""")
+def adapter_diagnostics(spark, d):
+    return _adapted(spark, d)[2]
 
 
 @query("b10_freeze_tuple", """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 3 OR o_orderstatus = 'P' THEN 'DATASET_FREEZE_TUPLE_MISMATCH' END AS fault FROM orders""")
