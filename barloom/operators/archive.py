@@ -185,10 +185,12 @@ def fold_auction(arrivals: DataFrame, keys=("symbol", "session_date"), bits=12)
     A snapshot replaces the stored one only with a receipt, a point count and
     a source time all at or above it. A rejected snapshot leaves no trace, so
     running maxima do not apply. Each block of arrivals is reduced to the few
-    rows that can matter, and blocks are then applied in order.
+    rows that can matter, and the blocks' steps then stream by in order, with
+    one state held per key. Arrivals without a receipt, a count or a time are
+    refused before.
     """
     keys = list(keys)
-    rows = arrivals.select(
+    rows = arrivals.dropna(subset=["arrival_no", "fetched_at", "points", "source_timestamp"]).select(
         *keys, "arrival_no", F.unix_micros("fetched_at").alias("r"), F.col("points").cast("long").alias("c"),
         F.unix_micros("source_timestamp").alias("t"), integer_bucket("arrival_no", bits).alias("block"))
     types = {f.name: f.dataType.simpleString() for f in rows.schema}

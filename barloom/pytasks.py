@@ -35,30 +35,33 @@ def gb18030_text(value):
     return None if value is None else bytes(value).decode("gb18030", errors="replace")
 
 
-def _first_hit(steps, r, c, t):
-    """Index of the first step that a state (r, c, t) would accept."""
-    for i, (sr, sc, st, _) in enumerate(steps):
-        if sr >= r and sc >= c and st >= t:
-            return i
-    return None
-
-
 def reduce_block(rows):
-    """Reduce arrivals (r, c, t, arrival) to steps, newest processed first.
+    """Reduce arrivals (r, c, t, arrival) to steps, earliest first.
 
     A step says: a state at or below (r, c, t) ends this block as `outcome`.
     Rows hidden by an earlier row, or leading straight into the next step,
-    are dropped.
+    are dropped. Arrivals are taken from the last to the first; each is held
+    against all steps at once, so a block costs a few array operations a row.
     """
-    steps = []
-    for r, c, t, arrival in reversed(rows):
-        hit = _first_hit(steps, r, c, t)
-        outcome = steps[hit][3] if hit is not None else (r, c, t, arrival)
-        if hit == 0:
+    import numpy as np
+
+    values = np.array([row[:3] for row in rows], np.int64)
+    held, ends = np.empty((3, len(rows)), np.int64), np.empty(len(rows), np.int64)
+    n, first = 0, None  # steps stand in reverse, the earliest last
+    for i in range(len(rows) - 1, -1, -1):
+        r, c, t = rows[i][:3]
+        if first is not None and first[0] >= r and first[1] >= c and first[2] >= t:
             continue
-        steps = [s for s in steps if not (s[0] <= r and s[1] <= c and s[2] <= t)]
-        steps.insert(0, (r, c, t, outcome))
-    return steps
+        at = values[i][:, None]
+        above = np.flatnonzero((held[:, :n] >= at).all(axis=0))
+        end = ends[above[-1]] if len(above) else i
+        kept = ~(held[:, :n] <= at).all(axis=0)
+        m = int(kept.sum())
+        if m < n:
+            held[:, :m], ends[:m] = held[:, :n][:, kept], ends[:n][kept]
+        held[:, m], ends[m] = values[i], end
+        n, first = m + 1, (r, c, t)
+    return [(*map(int, held[:, j]), rows[ends[j]]) for j in range(n - 1, -1, -1)]
 
 
 def _groups(batches, columns, width):
@@ -104,22 +107,29 @@ def block_steps(keys):
 
 
 def apply_steps(keys):
-    """Task function: steps sorted by (keys, block, step) to the final arrival."""
-    columns = [*keys, "block", "r", "c", "t", "out_r", "out_c", "out_t", "arrival_no"]
-    lowest = -(2**63)
-
-    def final(rows):
-        state, done = (lowest, lowest, lowest, None), None
-        for block, r, c, t, *outcome in rows:
-            # The first accepted step ends its block.
-            if block != done and r >= state[0] and c >= state[1] and t >= state[2]:
-                state, done = tuple(outcome), block
-        return state[3]
+    """Task function: steps sorted by (keys, block, step) to the final arrival.
 
-    def run(batches):
-        return _framed(((*group, final(rows)) for group, rows in _groups(batches, columns, len(keys))), [*keys, "arrival_no"])
-
-    return run
+    Steps stream by; only the state of the current key is held.
+    """
+    columns = [*keys, "block", "r", "c", "t", "out_r", "out_c", "out_t", "arrival_no"]
+    lowest = (-(2**63), -(2**63), -(2**63), None)
+
+    def final(batches):
+        current, state, done = None, lowest, None
+        for pdf in batches:
+            for row in zip(*(pdf[c].tolist() for c in columns)):
+                key, (block, r, c, t, *outcome) = row[:len(keys)], row[len(keys):]
+                if key != current:
+                    if current is not None:
+                        yield (*current, state[3])
+                    current, state, done = key, lowest, None
+                # The first accepted step ends its block.
+                if block != done and r >= state[0] and c >= state[1] and t >= state[2]:
+                    state, done = tuple(outcome), block
+        if current is not None:
+            yield (*current, state[3])
+
+    return lambda batches: _framed(final(batches), [*keys, "arrival_no"])
 
 
 def session_differences(keep_ms):

@@ -72,8 +72,39 @@ def test_block_steps_answer_every_entry_state():
             for row in rows:
                 if all(row[i] >= state[i] for i in range(3)):
                     state = row
-            hit = pytasks._first_hit(steps, *s)
-            assert (steps[hit][3] if hit is not None else (*s, None)) == state
+            hits = [out for *step, out in steps if all(x >= y for x, y in zip(step, s))]
+            assert (hits[0] if hits else (*s, None)) == state
+
+
+def test_a_long_series_of_steps_streams_through_one_state():
+    import itertools
+
+    import pandas as pd
+
+    n = 4096
+    climbing = [(i, i, i, i) for i in range(n)]
+    assert pytasks.reduce_block(climbing) == [(n - 1, n - 1, n - 1, climbing[-1])]
+    # Receipts fall while times rise: no row hides another, each is a step of its own.
+    apart = [(n - i, 5, i, i) for i in range(n)]
+    assert [s[:3] for s in pytasks.reduce_block(apart)] == [row[:3] for row in apart]
+    seen = itertools.count()
+
+    def batches():
+        for b in range(300):
+            next(seen)
+            rows = [("hot", b, r, c, t, *out) for r, c, t, out in pytasks.reduce_block([(b, 1, b, 2 * b), (b + 1, 1, b, 2 * b + 1)])]
+            yield pd.DataFrame(rows, columns=["k", "block", "r", "c", "t", "out_r", "out_c", "out_t", "arrival_no"])
+
+    out = pd.concat(pytasks.apply_steps(["k"])(batches()))
+    assert out.values.tolist() == [["hot", 599]] and next(seen) == 300
+
+
+def test_auction_fold_refuses_arrivals_without_clocks(spark):
+    at = lambda m: BASE + dt.timedelta(minutes=m)
+    day = dt.date(2026, 9, 30)
+    rows = [("a", day, 0, at(1), 3, at(1)), ("a", day, 1, None, 9, at(2)), ("a", day, 2, at(2), None, at(2)), ("a", day, 3, at(2), 3, None), ("b", day, 4, None, 1, at(1))]
+    df = spark.createDataFrame(rows, "symbol string, session_date date, arrival_no long, fetched_at timestamp, points int, source_timestamp timestamp")
+    assert [(r.symbol, r.arrival_no) for r in A.fold_auction(df).collect()] == [("a", 0)]
 
 
 def test_auction_fold_matches_one_by_one(spark):
