@@ -48,15 +48,23 @@ def covered_dates(spark: SparkSession, start: str, end: str) -> DataFrame:
     return spark.range(0, days, 1, 1).select(F.date_add(first, F.col("id").cast("int")).alias("date"))
 
 
-def mark_closed_rows(rows: DataFrame, closed: DataFrame, date="date") -> DataFrame:
+def mark_closed_rows(rows: DataFrame, closed: DataFrame, date="date", version: str | None = None) -> DataFrame:
     """Flag table rows whose date falls in a closed range.
 
-    The few ranges are expanded to dates first, which turns the range join
-    into a broadcast hash join on the date.
+    The ranges are expanded to dates first, which turns the range join into
+    an equi-join on the date; Spark broadcasts them where its size statistics
+    allow. `version` names the rows' calendar version, for ranges that carry
+    a calendar_version.
     """
-    days = closed.select(F.explode(F.sequence("first_date", "last_date")).alias("_closed_day")).distinct()
-    out = rows.join(F.broadcast(days), F.col(date) == F.col("_closed_day"), "left")
-    return out.withColumn("in_closed_range", F.col("_closed_day").isNotNull()).drop("_closed_day")
+    day = F.explode(F.sequence("first_date", "last_date")).alias("_closed_day")
+    same = F.col(date) == F.col("_closed_day")
+    if version is None:
+        days = closed.select(day).distinct()
+    else:
+        days = closed.select(day, F.col("calendar_version").alias("_closed_version")).distinct()
+        same = same & (F.col(version) == F.col("_closed_version"))
+    out = rows.join(days, same, "left")
+    return out.withColumn("in_closed_range", F.col("_closed_day").isNotNull()).drop("_closed_day", "_closed_version")
 
 
 def build_calendar(spark, version, start, end, closed_ranges=(), open_weekdays=(0, 1, 2, 3, 4)) -> DataFrame:
@@ -128,13 +136,19 @@ def completed_by(end_session: Column, cutoff: Column) -> Column:
     return instant_at(end_session, COMPLETION_SECOND) < cutoff
 
 
-def with_asof_dim(df: DataFrame, dim: DataFrame, day: Column, prefix: str, columns) -> DataFrame:
-    """Left equi-join of selected calendar columns on a computed day."""
+def with_asof_dim(df: DataFrame, dim: DataFrame, day: Column, prefix: str, columns, version: str | None = None) -> DataFrame:
+    """Left equi-join of selected calendar columns on a computed day.
+
+    `dim` holds one calendar, whose length is checked, or with `version` (the
+    rows' column of that name) any number: then version and day are the key,
+    and the side is broadcast only where Spark's size statistics allow it.
+    """
+    key = [f"_{prefix}_day", *([f"_{prefix}_version"] if version else [])]
     side = dim.select(
-        F.col("date").alias(f"_{prefix}_day"), *[F.col(c).alias(f"{prefix}_{c}") for c in columns]
+        F.col("date").alias(key[0]), *[F.col("calendar_version").alias(k) for k in key[1:]], *[F.col(c).alias(f"{prefix}_{c}") for c in columns]
     )
-    keyed = df.withColumn(f"_{prefix}_day", day)
-    return keyed.join(F.broadcast(side), f"_{prefix}_day", "left").drop(f"_{prefix}_day")
+    keyed = df.withColumns({key[0]: day, **{k: F.col(version) for k in key[1:]}})
+    return keyed.join(side if version else F.broadcast(side), key, "left").drop(*key)
 
 
 def latest_completed(prefix: str, interval: str, cutoff: Column) -> Column:
@@ -156,11 +170,15 @@ def _constant(df: DataFrame, value: Column) -> bool:
     return True
 
 
-def with_bar_completion(bars: DataFrame, dim: DataFrame, cutoff: Column, interval: str | None = None, date="date") -> DataFrame:
+def with_bar_completion(bars: DataFrame, dim: DataFrame, cutoff: Column, interval: str | None = None, date="date",
+                        version: str | None = None) -> DataFrame:
     """Add the six completion-evidence columns.
 
     `interval` names the interval of all bars; None reads it from the
-    `interval` column, so that mixed bars are stamped in one pass.
+    `interval` column, so that mixed bars are stamped in one pass. `version`
+    names the column with each bar's calendar version where `dim` holds
+    several calendars; a bar whose version has none is judged like a bar
+    outside the covered dates.
     """
     label = F.col(date)
     used = INTERVALS if interval is None else (interval,)
@@ -175,15 +193,15 @@ def with_bar_completion(bars: DataFrame, dim: DataFrame, cutoff: Column, interva
         return out
 
     df = bars.withColumn("_cutoff", cutoff)
-    df = with_asof_dim(df, dim, label, "bar", ["is_trading", *[f"end_{i}" for i in used]])
+    df = with_asof_dim(df, dim, label, "bar", ["is_trading", *[f"end_{i}" for i in used]], version)
     now = [f"{p}_{i}" for i in used for p in ("end", "prev_end")]
-    if _constant(bars, cutoff):
+    if version is None and _constant(bars, cutoff):
         # One cutoff for all rows: its day is looked up once, not joined.
         today = dim.filter(F.col("date") == shanghai_date(cutoff)).agg(F.max(F.struct("is_trading", *now)).alias("_t"))
         df = df.withColumn("_now", today.scalar())
         df = df.withColumns({f"now_{c}": F.col(f"_now.{c}") for c in ("is_trading", *now)})
     else:
-        df = with_asof_dim(df, dim, shanghai_date(F.col("_cutoff")), "now", ["is_trading", *now])
+        df = with_asof_dim(df, dim, shanghai_date(F.col("_cutoff")), "now", ["is_trading", *now], version)
     trading = F.col("bar_is_trading")
     daily = per_interval(lambda i: F.lit(i == "1d"))
     df = df.withColumns({

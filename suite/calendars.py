@@ -130,6 +130,22 @@ def bar_completion_weekly(spark, d):
                       "period_end_session", "observed_latest", "source_finality")
 
 
+_EVEN = "substr(symbol, 8, 1) IN ('0', '2', '4', '6', '8')"
+_ONE_CALENDAR = "SELECT * FROM (WITH {bars}, {cal}, {dim}, " + _completion_sql("1d", "bars", lambda c: c) + ") x WHERE {half}"
+
+
+@query("i06_several_calendars", _ONE_CALENDAR.format(bars=DAILY, cal=CAL, dim=DIM, half=_EVEN) + " UNION ALL "
+       + _ONE_CALENDAR.format(bars=DAILY, cal=calendar_sql(T.WEEKLY_CALENDAR), dim=DIM, half=f"NOT {_EVEN}"))
+def several_calendars(spark, d):
+    """Bars of two calendar versions, by the last digit of the symbol, stamped in one pass."""
+    dims = _dim(spark).unionByName(T.dimension(spark, T.WEEKLY_CALENDAR))
+    even = F.substring("symbol", 8, 1).cast("int") % 2 == 0
+    versions = F.when(even, T.DAILY_CALENDAR["version"]).otherwise(T.WEEKLY_CALENDAR["version"])
+    out = C.with_bar_completion(T.daily_bars(spark, d).withColumn("v", versions), dims, _cutoff(), "1d", version="v")
+    return out.select("symbol", "date", "complete", "calendar_completion", "completion_basis",
+                      "period_end_session", "observed_latest", "source_finality")
+
+
 def _event_clock(spark, d):
     wall = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.floor(F.second("ts"))
     return T.table(spark, d, "events").withColumn("as_of", instant_at(F.to_date("ts"), wall))

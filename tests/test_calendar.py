@@ -78,3 +78,27 @@ def test_other_versions_and_closed_rows(spark):
     cal = C.build_calendar(spark, "v", "2024-01-01", "2024-01-31", [("2024-01-08", "2024-01-09")], open_weekdays=(0,))
     open_days = [r.date.day for r in cal.filter("is_trading").orderBy("date").collect()]
     assert open_days == [1, 15, 22, 29]
+
+
+def test_versions_side_by_side(spark):
+    spans = {"mondays": (0,), "weekdays": (0, 1, 2, 3, 4)}
+    both = [C.calendar_dimension(C.build_calendar(spark, v, "2024-01-01", "2024-01-31", open_weekdays=w)) for v, w in spans.items()]
+    bars = days(spark, "2024-01-08", "2024-01-09").crossJoin(spark.createDataFrame([("mondays",), ("weekdays",), ("unknown",), (None,)], "v string"))
+    out = C.with_bar_completion(bars, both[0].unionByName(both[1]), ts("2024-01-12T12:00:00+08:00"), "1d", version="v")
+    assert out.columns[:2] == ["date", "v"]
+    got = {(r.v, r.date.day): (r.complete, r.calendar_completion, r.completion_basis, r.observed_latest) for r in out.collect()}
+    assert len(got) == 8
+    for v, dim in zip(spans, both):
+        alone = C.with_bar_completion(days(spark, "2024-01-08", "2024-01-09"), dim, ts("2024-01-12T12:00:00+08:00"), "1d").collect()
+        assert {k[1]: x for k, x in got.items() if k[0] == v} == {r.date.day: (r.complete, r.calendar_completion, r.completion_basis, r.observed_latest) for r in alone}
+    assert got["mondays", 9][2] == C.INVALID_DAY and got["mondays", 8][3] is True
+    assert got["unknown", 8] == got[None, 9] == (True, None, C.ELAPSED, None)
+
+
+def test_closed_ranges_of_their_version(spark):
+    d = dt.date
+    ranges = spark.createDataFrame([("a", d(2024, 1, 1), d(2024, 1, 3)), ("a", d(2024, 1, 2), d(2024, 1, 4)), ("b", d(2024, 1, 9), d(2024, 1, 9))],
+                                   "calendar_version string, first_date date, last_date date")
+    rows = days(spark, "2024-01-02", "2024-01-09").crossJoin(spark.createDataFrame([("a",), ("b",), (None,)], "v string"))
+    out = C.mark_closed_rows(rows, ranges, version="v")
+    assert sorted((r.v, r.date.day) for r in out.collect() if r.in_closed_range) == [("a", 2), ("b", 9)] and out.count() == 6
