@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from barloom import testbed as T
 from barloom.functions import dataset_symbol, excluded_name, instant_at, is_screen_mainboard, normalize_symbol, strict_date
-from barloom.operators import coverage as V, market_clock as M
+from barloom.operators import coverage as V, market_clock as M, watchlist as W
 from barloom.sources import bars as B
 
 from . import calendars
@@ -77,6 +77,26 @@ def preference_join(spark, d):
     return prefs.join(watch, ["owner", "pick"]).select("owner", "symbol", "name")
 
 
+@query("c06_watchlist_pages", """WITH w AS (SELECT o_custkey AS owner, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS symbol, o_orderpriority AS name FROM orders),
+own AS (SELECT DISTINCT c_custkey AS owner FROM customer UNION SELECT owner FROM w),
+p AS (SELECT owner, max(symbol) FILTER (WHERE CAST(symbol AS BIGINT) % 5 < 2) AS pick FROM w GROUP BY 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY symbol) AS n FROM w WHERE symbol > '000000001000')
+SELECT own.owner, coalesce((SELECT string_agg(symbol || ' ' || name, ',' ORDER BY n) FROM r WHERE r.owner = own.owner AND n <= 10), '') AS items,
+  (SELECT w.name FROM w JOIN p USING (owner) WHERE w.owner = own.owner AND w.symbol = p.pick) AS selected_name,
+  (SELECT count(*) FROM w WHERE w.owner = own.owner) AS total, coalesce((SELECT max(n) FROM r WHERE r.owner = own.owner), 0) > 10 AS has_more,
+  (SELECT symbol FROM r WHERE r.owner = own.owner AND n = 10 AND EXISTS (SELECT 1 FROM r x WHERE x.owner = own.owner AND x.n = 11)) AS next_after FROM own""")
+def watchlist_pages(spark, d):
+    """Orders as entries of their customer's list, the newest with a number of a kind as the preference; second pages."""
+    o = T.table(spark, d, "orders")
+    entries = o.select(F.col("o_custkey").alias("owner"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("symbol"), F.col("o_orderpriority").alias("name"),
+                       F.col("o_orderdate").alias("verified_at"), "o_orderkey")
+    picks = entries.groupBy("owner").agg(F.max(F.when(F.col("o_orderkey") % 5 < 2, F.col("symbol"))).alias("selected_symbol"))
+    picks = T.table(spark, d, "customer").select(F.col("c_custkey").alias("owner")).join(picks, "owner", "left")
+    out = W.watchlist_pages(entries, picks, F.lit("000000001000"), 10)
+    items = F.array_join(F.transform("items", lambda x: F.concat_ws(" ", x["symbol"], x["name"])), ",").alias("items")
+    return out.select("owner", items, F.col("selected.name").alias("selected_name"), "total", "has_more", "next_after")
+
+
 @query("d05_auction_phases", f"""WITH {calendars._AUCTION} SELECT symbol, count(CASE WHEN m BETWEEN 15 AND 19 THEN 1 END) AS early_observations, count(CASE WHEN m BETWEEN 20 AND 24 THEN 1 END) AS late_observations,
   count(CASE WHEN m BETWEEN 25 AND 30 THEN 1 END) AS post_auction_reports, count(CASE WHEN vol IS NULL THEN 1 END) AS missing_reported_volume_points FROM obs GROUP BY 1""")
 def auction_phases(spark, d):
