@@ -33,3 +33,12 @@ def parts(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", ["j24_curated_pool", "c09_pool_semi_join"])
 def test_pool_members_belong_to_their_directory(spark, parts, name):
     check(spark, parts, name, "part")
+
+
+@pytest.mark.parametrize("name", ["j19_run_ledger", "c07_ledger_counts", "c08_ledger_violations"])
+def test_results_belong_to_the_member_of_their_directory(spark, parts, name):
+    check(spark, parts, name, "part")
+
+
+def test_pairs_of_lists_in_several_volumes(spark, parts):
+    check(spark, parts, "j12_two_lists", "part")
