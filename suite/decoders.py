@@ -52,7 +52,7 @@ def _tilde_raw(spark, d):
     detail = F.when(n % 19 == 4, _joined([money(close), lots], "/")).otherwise(_joined([money(close), lots, whole(F.col("volume_shares") * 7)], "/"))
     f = [""] * 49
     f[0], f[1] = "1", F.concat(F.lit("Name "), F.col("symbol"))
-    f[2] = F.when(n % 13 == 6, "000000").otherwise(F.substring("symbol", 3, 6))
+    f[2] = F.when(n % 13 == 6, "999999").otherwise(F.substring("symbol", 3, 6))
     f[3] = F.when(n % 7 == 3, "").otherwise(money(close))
     f[4], f[5], f[6] = money(F.col("open")), money(F.col("open")), lots
     for i in range(5):

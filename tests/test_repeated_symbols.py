@@ -42,3 +42,18 @@ def test_results_belong_to_the_member_of_their_directory(spark, parts, name):
 
 def test_pairs_of_lists_in_several_volumes(spark, parts):
     check(spark, parts, "j12_two_lists", "part")
+
+
+def test_marker_of_a_wrong_code_is_no_code(spark, tmp_path):
+    """Supplier 4000 has the code 000000."""
+    days = spark.range(0, 40).selectExpr("timestamp(date_add(DATE '1998-01-01', CAST(id AS INT))) AS l_shipdate", "id AS l_orderkey")
+    lines = days.selectExpr("l_orderkey", "l_orderkey + 1 AS l_partkey", "explode(array(3L, 4000L)) AS l_suppkey", "1 AS l_linenumber",
+                            "10.0D AS l_quantity", "100.0D + l_orderkey AS l_extendedprice", "l_shipdate")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    check(spark, tmp_path, "a01_tilde_quotes", "lineitem")
+
+
+def test_every_completed_minute_of_a_session_counts(spark, tmp_path):
+    minutes = spark.range(0, 300).selectExpr("id AS event_id", "timestamp_seconds(1705708800 + id * 60) AS ts", "'click' AS event_type", "CAST(id AS DOUBLE) AS value")
+    minutes.write.parquet(f"{tmp_path}/events.parquet")
+    check(spark, tmp_path, "b14_completion_filter", "events")
