@@ -40,11 +40,12 @@ def _bar(r: Column, volume: Column) -> list:
     return [n("open"), n("high"), n("low"), n("close"), volume.alias("volume_shares")]
 
 
-def decode_minute_bars(raw: DataFrame, cutoff: Column, limit: int, include_incomplete=False):
+def decode_minute_bars(raw: DataFrame, cutoff: Column, limit: int | None, include_incomplete=False):
     """1m / 5m bars: (valid bars, quarantined captures).
 
     Completeness is an end label 3 s before the cutoff. The whole capture is
-    judged inside its row; only kept bars are exploded.
+    judged inside its row; only kept bars are exploded, the newest `limit` of
+    a capture or, without a limit, all.
     """
     df = raw.withColumn("_cut", F.unix_micros(cutoff)).withColumn("_rows", _wrapped_rows(F.col("body")))
     late = F.col("_cut")
@@ -60,8 +61,8 @@ def decode_minute_bars(raw: DataFrame, cutoff: Column, limit: int, include_incom
                         .when(value_code(b).isNotNull(), value_code(b)).when(b["amount_cny"] < 0, "INVALID_BAR_VALUES"))
     kept = F.col("_bars") if include_incomplete else F.filter("_bars", lambda b: b["complete"])
     kept = F.array_sort(kept)
-    start = F.greatest(F.size(kept) - limit + 1, F.lit(1))
-    df = df.withColumn("_kept", F.slice(kept, start, F.lit(limit)))
+    newest = kept if limit is None else F.slice(kept, F.greatest(F.size(kept) - limit + 1, F.lit(1)), F.lit(limit))
+    df = df.withColumn("_kept", newest)
     df = df.withColumn("excluded", F.size("_bars") - F.size(kept))
     df = df.withColumn("reason", F.when(F.col("_rows").isNull(), "INVALID_SINA_BAR_WRAPPER")
                        .when(first_code(codes).isNotNull(), first_code(codes))

@@ -131,7 +131,7 @@ def minute_bars(spark, d):
 @query("b14_completion_filter", _A03 + """ SELECT symbol, session_date, count(CASE WHEN NOT complete THEN 1 END) AS excluded, count(CASE WHEN complete THEN 1 END) AS completed
 FROM good GROUP BY 1, 2 HAVING count(CASE WHEN complete THEN 1 END) > 0""")
 def completion_filter(spark, d):
-    good, _ = B.decode_minute_bars(_minute_raw(spark, d), F.lit("2024-01-20T12:00:30+08:00").cast("timestamp"), 240)
+    good, _ = B.decode_minute_bars(_minute_raw(spark, d), F.lit("2024-01-20T12:00:30+08:00").cast("timestamp"), None)
     return good.groupBy("symbol", "session_date").agg(F.max("excluded").cast("long").alias("excluded"), F.count("*").alias("completed"))
 
 
