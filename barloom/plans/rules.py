@@ -428,13 +428,15 @@ def evaluate_conditions(prepared: DataFrame, conditions) -> DataFrame:
     return df.select("symbol", "timeframe", "frame_error", "actual_last_date", F.inline(picked))
 
 
-def screen(universe, stocks, series, bars, frames: dict, run: dict, rule: dict, limits=None):
+def screen(universe, stocks, series, bars, frames: dict, run: dict, rule: dict, limits=None, member=("symbol",)):
     """Judge a universe with a rule. Returns (rows, conditions).
 
     universe: symbol, exchange, name, board, st_status, catalog_no.
     stocks: symbol, status, suspension_state, verified_through.
     series: one row per (symbol, timeframe) of frozen-series metadata.
     bars: symbol, timeframe and bar columns with completion evidence.
+    member: columns of universe and stocks that tell members apart, where a
+    catalog holds a symbol more than once.
 
     Rows keep every universe member exactly once, excluded ones included.
     """
@@ -459,7 +461,7 @@ def screen(universe, stocks, series, bars, frames: dict, run: dict, rule: dict,
     )
     bases = series.filter(F.col("timeframe").isin(*used) & (F.col("status") == "ready")).groupBy("symbol").agg(
         (F.count_distinct("source", "adjustment") > 1).alias("_mixed_basis"))
-    df = scope.join(stocks, "symbol", "left").join(bases, "symbol", "left").join(by_symbol, "symbol", "left")
+    df = scope.join(stocks, list(member), "left").join(bases, "symbol", "left").join(by_symbol, "symbol", "left")
     need = max(frames[tf]["cutoff_date"] for tf in used)
     of = lambda c: F.coalesce(F.element_at("_states", F.lit(c["id"])), F.lit(INSUFFICIENT))
     tree = F.when(F.col("_states").isNull(), F.lit(INSUFFICIENT)).otherwise(tree_severity(root, of))

@@ -154,6 +154,10 @@ def preset_panel(spark, d):
 
 
 # -- frozen snapshot of the derived bars --------------------------------------
+# A symbol has a second catalog number 8000 numbers later.
+MEMBER = ["symbol", "catalog_no"]
+
+
 def _group_no(spark, d):
     return T.table(spark, d, "supplier").groupBy(F.floor(F.col("s_suppkey") / 4).alias("g")).agg(F.min("s_name").alias("s_name"))
 
@@ -193,14 +197,14 @@ def _frame_bars(spark, d):
 def _snapshot_tables(spark, d):
     dim = _dim(spark)
     g = F.col("g")
-    base = _group_no(spark, d).withColumn("symbol", T.code_of(g))
+    base = _group_no(spark, d).withColumn("symbol", T.code_of(g)).withColumn("catalog_no", g)
     universe = base.select(
         "symbol", F.upper(F.substring("symbol", 1, 2)).alias("exchange"),
         F.when(g % 19 == 4, F.concat(F.lit("*ST "), "s_name")).otherwise(F.col("s_name")).alias("name"),
         F.when(g % 23 == 6, "star").otherwise("mainboard").alias("board"),
-        F.when(g % 17 == 3, "unknown").otherwise("non_st").alias("st_status"), g.alias("catalog_no"))
+        F.when(g % 17 == 3, "unknown").otherwise("non_st").alias("st_status"), "catalog_no")
     stocks = base.filter(g % 29 != 8).select(
-        "symbol", F.when(g % 11 == 5, "error").otherwise("ready").alias("status"),
+        *MEMBER, F.when(g % 11 == 5, "error").otherwise("ready").alias("status"),
         F.when(g % 13 == 7, "suspended").otherwise("active").alias("suspension_state"),
         F.when(g % 31 == 9, F.lit("2001-06-11")).otherwise(F.lit("2001-12-31")).cast("date").alias("verified_through"))
     bars = T.kept_table(spark, f"frames {d}", lambda: _frame_bars(spark, d))
@@ -254,7 +258,7 @@ final AS (SELECT *, CASE WHEN scope <> 'candidate' THEN NULL WHEN state = 'match
 
 @query("j17_rule_screen", _SNAP + " SELECT symbol, scope, state, gate, decision, passed FROM final")
 def rule_screen(spark, d):
-    return R.screen(*snapshot(spark, d), RULE)[0]
+    return R.screen(*snapshot(spark, d), RULE, member=MEMBER)[0]
 
 
 @query("j15_rule_conditions", _SNAP + """ SELECT symbol, id, severity FROM (
@@ -280,7 +284,7 @@ def group_states(spark, d):
   count(CASE WHEN state = 'insufficient' THEN 1 END) AS insufficient, count(CASE WHEN state = 'failure' THEN 1 END) AS failure,
   CAST(0 AS BIGINT) AS unprocessed, count(state) AS processed, count(passed) AS successful FROM final""")
 def screen_counts(spark, d):
-    return R.screen_counts(R.screen(*snapshot(spark, d), RULE)[0])
+    return R.screen_counts(R.screen(*snapshot(spark, d), RULE, member=MEMBER)[0])
 
 
 @query("b13_user_restriction", _SNAP + """ SELECT symbol, CASE WHEN scope = 'candidate' AND substr(symbol, 1, 2) = 'sz' THEN 'restriction_excluded'
@@ -325,7 +329,7 @@ def cross_frame_basis(spark, d):
 SELECT {code_sql('g')} AS symbol, CASE WHEN g % 29 = 8 THEN 'SUSPENSION_UNKNOWN' WHEN g % 13 = 7 THEN 'SUSPENDED' WHEN g % 31 = 9 THEN 'SUSPENSION_UNKNOWN' ELSE 'active' END AS evidence FROM u""")
 def suspension_join(spark, d):
     universe, stocks, *_ = snapshot(spark, d)
-    j = universe.join(stocks, "symbol", "left")
+    j = universe.join(stocks, MEMBER, "left")
     ok = (F.col("suspension_state") == "active") & (F.col("verified_through") >= F.lit(TARGET).cast("date"))
     return j.select("symbol", F.when(F.col("suspension_state") == "suspended", "SUSPENDED").when(
         ~F.coalesce(ok, F.lit(False)), "SUSPENSION_UNKNOWN").otherwise("active").alias("evidence"))

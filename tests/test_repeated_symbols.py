@@ -57,3 +57,21 @@ def test_every_completed_minute_of_a_session_counts(spark, tmp_path):
     minutes = spark.range(0, 300).selectExpr("id AS event_id", "timestamp_seconds(1705708800 + id * 60) AS ts", "'click' AS event_type", "CAST(id AS DOUBLE) AS value")
     minutes.write.parquet(f"{tmp_path}/events.parquet")
     check(spark, tmp_path, "b14_completion_filter", "events")
+
+
+@pytest.fixture(scope="module")
+def suppliers(spark, tmp_path_factory):
+    """Groups of four suppliers whose symbols stand again 8000 groups later, with weekly lines of the first ones."""
+    folder = tmp_path_factory.mktemp("suppliers")
+    keys = spark.range(0, 400).unionByName(spark.range(32000, 32400))
+    keys.selectExpr("id AS s_suppkey", "concat('supplier ', id) AS s_name").write.parquet(f"{folder}/supplier.parquet")
+    lines = spark.range(0, 340 * 100).selectExpr(
+        "id AS l_orderkey", "id % 997 AS l_partkey", "id % 100 * 4 AS l_suppkey", "1 AS l_linenumber", "10.0D AS l_quantity",
+        "1000.0D + (id * 37) % 501 AS l_extendedprice", "timestamp(date_add(DATE '1995-01-02', CAST(floor(id / 100) * 7 AS INT))) AS l_shipdate")
+    lines.write.parquet(f"{folder}/lineitem.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["c14_suspension_join", "j17_rule_screen", "j17_screen_counts"])
+def test_stocks_belong_to_their_catalog_number(spark, suppliers, name):
+    check(spark, suppliers, name, "supplier", "lineitem")
