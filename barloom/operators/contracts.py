@@ -118,22 +118,30 @@ DOCUMENT = {
 }
 
 
-def contract_fault(value: Column, contract: dict[str, Test], optional=()) -> Column:
-    """First fault of a VARIANT object against a contract, NULL if it has none."""
-    fields = F.try_variant_get(value, "$", "map<string,variant>")
-    names = F.map_keys(fields)
+PARTS = {"coverage": COVERAGE, "cache": CACHE, "units": UNITS}
+
+
+def fields_of(value: Column) -> Column:
+    """Fields of a VARIANT object by name, NULL for anything else."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
+def contract_fault(fields: Column, contract: dict[str, Test], optional=()) -> Column:
+    """First fault of an object's fields against a contract, NULL if it has none.
+
+    `fields` is best a stored column: each test looks its field up anew.
+    """
     known = F.array(*[F.lit(n) for n in contract])
-    faults = [F.when(fields.isNull(), "QUALITY_OBJECT_REQUIRED"), F.when(F.size(F.array_except(names, known)) > 0, "QUALITY_UNKNOWN_FIELD")]
+    faults = [F.when(fields.isNull(), "QUALITY_OBJECT_REQUIRED"), F.when(F.size(F.array_except(F.map_keys(fields), known)) > 0, "QUALITY_UNKNOWN_FIELD")]
     for name, test in contract.items():
         wrong = F.when(~F.coalesce(test(fields[name]), F.lit(False)), "QUALITY_INVALID_FIELD")
         absent = F.lit(None).cast("string") if name in optional else F.lit("QUALITY_MISSING_FIELD")
-        faults.append(F.when(F.array_contains(names, name), wrong).otherwise(absent))
+        faults.append(F.when(fields[name].isNotNull(), wrong).otherwise(absent))
     return F.coalesce(*faults)
 
 
-def _part_fault(document: Column, name: str, contract: dict[str, Test]) -> Column:
-    part = F.try_variant_get(document, f"$.{name}", "variant")
-    return F.when(table(part), contract_fault(part, contract))
+def _part_fault(fields: Column, contract: dict[str, Test]) -> Column:
+    return F.when(fields.isNotNull(), contract_fault(fields, contract))
 
 
 def _first(codes: Column) -> Column:
@@ -159,20 +167,24 @@ def document_faults(documents: DataFrame, column: str) -> DataFrame:
     Fields come first (document, coverage, cache, units, bars), then the bars'
     order and values, then what the coverage says of them.
     """
-    v, b, c = F.col("_variant"), F.col("_bars"), F.col("_coverage")
+    v, b, c = F.col("_variant"), F.col("_bars"), F.col("_span")
     values = "array<struct<date:string,open:double,high:double,low:double,close:double,volume_shares:double>>"
     span = "struct<requested:double,returned:double,calendar_unverified_rows:double,first_date:string,last_date:string>"
-    rows = documents.withColumn("_variant", F.try_parse_json(column))
-    rows = settled(rows)
-    fields = F.coalesce(
-        contract_fault(v, DOCUMENT, optional=("warnings",)), _part_fault(v, "coverage", COVERAGE), _part_fault(v, "cache", CACHE),
-        _part_fault(v, "units", UNITS), _first(F.transform(F.try_variant_get(v, "$.bars", "array<variant>"), lambda x: contract_fault(x, BAR))))
+    # Each step is stored, as tests would otherwise take the document apart once per look-up.
+    rows = settled(documents.withColumn("_variant", F.try_parse_json(column)))
+    rows = settled(rows.withColumn("_fields", fields_of(v)))
+    f = F.col("_fields")
     rows = settled(rows.withColumns({
-        "_fault": fields, "_bars": F.try_variant_get(v, "$.bars", values), "_coverage": F.try_variant_get(v, "$.coverage", span)}))
+        **{f"_{name}": fields_of(f[name]) for name in PARTS}, "_bar_fields": F.transform(F.try_variant_get(f["bars"], "$", "array<variant>"), fields_of),
+        "_bars": F.try_variant_get(f["bars"], "$", values), "_span": F.try_variant_get(f["coverage"], "$", span)}).drop("_variant"))
+    fields = F.coalesce(
+        contract_fault(f, DOCUMENT, optional=("warnings",)), *[_part_fault(F.col(f"_{name}"), part) for name, part in PARTS.items()],
+        _first(F.transform("_bar_fields", lambda x: contract_fault(x, BAR))))
+    rows = settled(rows.withColumn("_fault", fields).drop("_fields", "_bar_fields", *[f"_{name}" for name in PARTS]))
     n = F.size(b)
     against = (
         (c["returned"] != n) | (c["returned"] > c["requested"]) | (c["calendar_unverified_rows"] > c["returned"])
         | ((n > 0) & ((c["first_date"] != F.get(b, F.lit(0))["date"]) | (c["last_date"] != F.get(b, n - 1)["date"])))
     )
     error = F.coalesce("_fault", _value_fault(b), F.when(against, "QUALITY_COVERAGE_CONTRADICTION"))
-    return rows.withColumn("quality_error", error).drop("_variant", "_fault", "_bars", "_coverage")
+    return rows.withColumn("quality_error", error).drop("_fault", "_bars", "_span")
