@@ -27,24 +27,40 @@ def _number(v: Column) -> Column:
     return F.when(_kind(v).rlike("^(BIGINT|DECIMAL|DOUBLE)"), F.try_variant_get(v, "$", "double"))
 
 
+def _is_text(s: Column) -> Column:
+    return F.length(s).between(1, 1024)
+
+
+def _is_date(s: Column) -> Column:
+    return s.rlike(r"^\d{4}-\d{2}-\d{2}$") & s.try_cast("date").isNotNull()
+
+
+def _is_clock(s: Column) -> Column:
+    return s.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$") & s.try_cast("timestamp").isNotNull()
+
+
 def text(v: Column) -> Column:
-    return F.length(_string(v)).between(1, 1024)
+    return _is_text(_string(v))
 
 
 def date(v: Column) -> Column:
-    return _string(v).rlike(r"^\d{4}-\d{2}-\d{2}$") & _string(v).try_cast("date").isNotNull()
+    return _is_date(_string(v))
 
 
 def clock(v: Column) -> Column:
-    return _string(v).rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$") & _string(v).try_cast("timestamp").isNotNull()
+    return _is_clock(_string(v))
 
 
 def stamp(v: Column) -> Column:
     return date(v) | clock(v)
 
 
+def _is_count(n: Column) -> Column:
+    return (n == F.floor(n)) & n.between(0, 2000)
+
+
 def count(v: Column) -> Column:
-    return (_number(v) == F.floor(_number(v))) & _number(v).between(0, 2000)
+    return _is_count(_number(v))
 
 
 def flag(v: Column) -> Column:
@@ -94,6 +110,7 @@ def anything(v: Column) -> Column:
     return v.isNotNull()
 
 
+SYMBOL, HASH, VOLUME = r"^(?i)(sh|sz)\d{6}$", "^[0-9a-f]{64}$", "shares; provider unadjusted reported volume"
 # The fields of a stored dataset, of its parts and of its bars.
 COVERAGE = {
     "requested": lambda v: count(v) & (_number(v) > 0), "returned": count, "first_date": date, "last_date": date, "full_history": is_flag(False),
@@ -102,7 +119,7 @@ COVERAGE = {
 }
 CACHE = {"used": is_flag(True), "scope": one_of("explicit_local_dataset")}
 UNITS = {
-    "price": one_of("CNY"), "volume": one_of("shares; provider unadjusted reported volume"), "amount": one_of("unavailable=null"),
+    "price": one_of("CNY"), "volume": one_of(VOLUME), "amount": one_of("unavailable=null"),
 }
 BAR = {
     "date": date, "source_timestamp": stamp, "open": number_or_null, "high": number_or_null, "low": number_or_null, "close": number_or_null,
@@ -110,9 +127,9 @@ BAR = {
     "period_end_session": date, "observed_latest": flag_or_null, "source_finality": one_of("unknown"),
 }
 DOCUMENT = {
-    "dataset_id": text, "symbol": matching(r"^(?i)(sh|sz)\d{6}$"), "source": text, "interval": one_of("1d", "1w", "1mo"),
+    "dataset_id": text, "symbol": matching(SYMBOL), "source": text, "interval": one_of("1d", "1w", "1mo"),
     "adjustment": one_of("none", "qfq"), "target_session": date, "calendar_version": text, "policy_version": text,
-    "content_hash": matching("^[0-9a-f]{64}$"), "request_started_at": clock, "completion_cutoff": clock, "fetched_at": clock,
+    "content_hash": matching(HASH), "request_started_at": clock, "completion_cutoff": clock, "fetched_at": clock,
     "source_timestamp": stamp, "bars": array_of(anything, 2000), "coverage": table, "units": table, "source_finality": one_of("unknown"),
     "point_in_time": is_flag(False), "cache": table, "warnings": array_of(text, 64),
 }
@@ -144,6 +161,65 @@ def _part_fault(fields: Column, contract: dict[str, Test]) -> Column:
     return F.when(fields.isNotNull(), contract_fault(fields, contract))
 
 
+# Bars that keep their contract have this schema, and texts that pass; all others are judged field by field.
+_NUMBER = r"(BIGINT|DECIMAL\(\d+,\s?\d+\)|DOUBLE|VOID)"
+_KINDS = {
+    "date": "STRING", "source_timestamp": "STRING", "open": _NUMBER, "high": _NUMBER, "low": _NUMBER, "close": _NUMBER, "volume_shares": _NUMBER,
+    "amount_cny": "VOID", "complete": "BOOLEAN", "calendar_completion": "(BOOLEAN|VOID)", "completion_basis": "STRING",
+    "period_end_session": "STRING", "observed_latest": "(BOOLEAN|VOID)", "source_finality": "STRING",
+}
+_PLAIN_BAR = "^OBJECT<" + ", ".join(f"{name}: {_KINDS[name]}" for name in sorted(_KINDS)) + ">$"
+_BAR_TEXTS = "struct<date:string,source_timestamp:string,completion_basis:string,period_end_session:string,source_finality:string>"
+
+
+def _plain_bars(bars: Column) -> Column:
+    """Whether each of an array's VARIANT bars keeps its contract, by one schema and one cast a bar."""
+    texts = F.transform(bars, lambda x: F.when(F.schema_of_variant(x).rlike(_PLAIN_BAR), F.try_variant_get(x, "$", _BAR_TEXTS)))
+
+    def fine(t):
+        stamp_, end = t["source_timestamp"], t["period_end_session"]
+        dated = _is_date(t["date"]) & ((stamp_ == t["date"]) | _is_date(stamp_) | _is_clock(stamp_)) & ((end == t["date"]) | _is_date(end))
+        return F.coalesce(dated & _is_text(t["completion_basis"]) & (t["source_finality"] == "unknown"), F.lit(False))
+
+    return F.coalesce(F.forall(texts, fine), F.lit(True))
+
+
+_COUNT = r"(BIGINT|DECIMAL\(\d+,\s?\d+\)|DOUBLE)"
+_PLAIN_DOCUMENT = (
+    r"^OBJECT<adjustment: STRING, bars: ARRAY<(OBJECT<[^<>]*>|[^<>]*)>, cache: OBJECT<scope: STRING, used: BOOLEAN>, calendar_version: STRING, "
+    r"completion_cutoff: STRING, content_hash: STRING, coverage: OBJECT<calendar_gaps_unverified: BOOLEAN, calendar_unverified_rows: " + _COUNT
+    + r", first_date: STRING, full_history: BOOLEAN, last_date: STRING, missing_scheduled_session_dates: ARRAY<(VOID|STRING)>, "
+    r"missing_session_note: STRING, requested: " + _COUNT + ", returned: " + _COUNT + r">, dataset_id: STRING, fetched_at: STRING, interval: STRING, "
+    r"point_in_time: BOOLEAN, policy_version: STRING, request_started_at: STRING, source: STRING, source_finality: STRING, source_timestamp: STRING, "
+    r"symbol: STRING, target_session: STRING, units: OBJECT<amount: STRING, price: STRING, volume: STRING>>$")
+_DOCUMENT_VALUES = (
+    "struct<dataset_id:string,symbol:string,source:string,interval:string,adjustment:string,target_session:string,calendar_version:string,"
+    "policy_version:string,content_hash:string,request_started_at:string,completion_cutoff:string,fetched_at:string,source_timestamp:string,"
+    "source_finality:string,point_in_time:boolean,cache:struct<used:boolean,scope:string>,units:struct<price:string,volume:string,amount:string>,"
+    "coverage:struct<requested:double,returned:double,calendar_unverified_rows:double,first_date:string,last_date:string,full_history:boolean,"
+    "missing_scheduled_session_dates:array<string>,missing_session_note:string>>")
+
+
+def _plain_values(d: Column) -> Column:
+    """Whether the values of a document with the plain schema keep the contracts of document, coverage, cache and units."""
+    c, at = d["coverage"], d["source_timestamp"]
+    lacking = c["missing_scheduled_session_dates"]
+    tests = [
+        *[_is_text(d[k]) for k in ("dataset_id", "source", "calendar_version", "policy_version")], _is_date(d["target_session"]),
+        d["symbol"].rlike(SYMBOL), d["interval"].isin("1d", "1w", "1mo"), d["adjustment"].isin("none", "qfq"), d["content_hash"].rlike(HASH),
+        *[_is_clock(d[k]) for k in ("request_started_at", "completion_cutoff", "fetched_at")], _is_date(at) | _is_clock(at),
+        d["source_finality"] == "unknown", ~d["point_in_time"], d["cache"]["used"], d["cache"]["scope"] == "explicit_local_dataset",
+        d["units"]["price"] == "CNY", d["units"]["volume"] == VOLUME, d["units"]["amount"] == "unavailable=null",
+        *[_is_count(c[k]) for k in ("requested", "returned", "calendar_unverified_rows")], c["requested"] > 0, _is_date(c["first_date"]),
+        _is_date(c["last_date"]), ~c["full_history"], _is_text(c["missing_session_note"]), F.size(lacking) <= 2000,
+        F.forall(lacking, lambda x: F.coalesce(_is_date(x), F.lit(False))), F.size(F.array_distinct(lacking)) == F.size(lacking),
+    ]
+    fine = tests[0]
+    for test in tests[1:]:
+        fine = fine & test
+    return F.coalesce(fine, F.lit(False))
+
+
 def _first(codes: Column) -> Column:
     return F.get(F.filter(codes, lambda c: c.isNotNull()), F.lit(0))
 
@@ -172,15 +248,22 @@ def document_faults(documents: DataFrame, column: str) -> DataFrame:
     span = "struct<requested:double,returned:double,calendar_unverified_rows:double,first_date:string,last_date:string>"
     # Each step is stored, as tests would otherwise take the document apart once per look-up.
     rows = settled(documents.withColumn("_variant", F.try_parse_json(column)))
-    rows = settled(rows.withColumn("_fields", fields_of(v)))
+    rows = settled(rows.withColumns({
+        "_values": F.when(F.schema_of_variant(v).rlike(_PLAIN_DOCUMENT), F.try_variant_get(v, "$", _DOCUMENT_VALUES)),
+        "_items": F.try_variant_get(v, "$.bars", "array<variant>"), "_bars": F.try_variant_get(v, "$.bars", values),
+        "_span": F.try_variant_get(v, "$.coverage", span)}))
+    plain = _plain_values(F.col("_values")) & F.coalesce(F.size("_items") <= 2000, F.lit(False))
+    rows = settled(rows.withColumns({
+        "_fields": F.when(~plain, fields_of(v)), "_plain": plain,
+        "_items": F.when(~_plain_bars(F.col("_items")), F.col("_items"))}).drop("_variant", "_values"))
     f = F.col("_fields")
     rows = settled(rows.withColumns({
-        **{f"_{name}": fields_of(f[name]) for name in PARTS}, "_bar_fields": F.transform(F.try_variant_get(f["bars"], "$", "array<variant>"), fields_of),
-        "_bars": F.try_variant_get(f["bars"], "$", values), "_span": F.try_variant_get(f["coverage"], "$", span)}).drop("_variant"))
+        **{f"_{name}": fields_of(f[name]) for name in PARTS}, "_bar_fields": F.transform("_items", fields_of)}).drop("_items"))
     fields = F.coalesce(
-        contract_fault(f, DOCUMENT, optional=("warnings",)), *[_part_fault(F.col(f"_{name}"), part) for name, part in PARTS.items()],
+        F.when(~F.col("_plain"), F.coalesce(contract_fault(f, DOCUMENT, optional=("warnings",)),
+                                            *[_part_fault(F.col(f"_{name}"), part) for name, part in PARTS.items()])),
         _first(F.transform("_bar_fields", lambda x: contract_fault(x, BAR))))
-    rows = settled(rows.withColumn("_fault", fields).drop("_fields", "_bar_fields", *[f"_{name}" for name in PARTS]))
+    rows = settled(rows.withColumn("_fault", fields).drop("_plain", "_fields", "_bar_fields", *[f"_{name}" for name in PARTS]))
     n = F.size(b)
     against = (
         (c["returned"] != n) | (c["returned"] > c["requested"]) | (c["calendar_unverified_rows"] > c["returned"])

@@ -70,3 +70,17 @@ def test_first_fault_of_each_document(spark):
 
 def test_contract_of_an_empty_table(spark):
     assert contracts.document_faults(spark.createDataFrame([], "doc string"), "doc").collect() == []
+
+
+def test_sound_documents_are_accepted_by_schema(spark):
+    """A sound document passes the quick test of schema and texts; one fault of any kind sends it to the field tests."""
+    from pyspark.sql import functions as F
+
+    bad = document() | {"point_in_time": "false"}
+    rows = [(json.dumps(document()),), (json.dumps(bad),)]
+    df = spark.createDataFrame(rows, "doc string").select(F.parse_json("doc").alias("v"))
+    kinds = [r[0] for r in df.select(F.schema_of_variant("v").rlike(contracts._PLAIN_DOCUMENT)).collect()]
+    bars = [r[0] for r in df.select(contracts._plain_bars(F.try_variant_get("v", "$.bars", "array<variant>"))).collect()]
+    assert kinds == [True, False] and bars == [True, True]
+    values = F.try_variant_get("v", "$", contracts._DOCUMENT_VALUES)
+    assert df.select(contracts._plain_values(values)).first()[0]
