@@ -1,6 +1,9 @@
 """Dataset queries on symbols that lack bars at the target session."""
 
 import pytest
+
+from barloom import testbed as T
+from suite import ledgers
 from test_repeated_symbols import check
 
 
@@ -19,3 +22,13 @@ def traded(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", ["k07_commit_dataset", "a20_dataset_store", "j21_publish_dataset"])
 def test_symbols_without_a_bar_at_the_target_session(spark, traded, name):
     check(spark, traded, name, "lineitem")
+
+
+def test_lines_are_grouped_once_for_sessions_and_months(spark, traded):
+    """Sessions and months are those of session_bars, and dataset bars read the stored sessions, not the lines again."""
+    for interval, bars in zip(("1d", "1mo"), T.session_and_month_bars(spark, str(traded)), strict=True):
+        want = T.session_bars(spark, str(traded), interval)
+        assert bars.dtypes == want.dtypes
+        assert sorted(bars.collect()) == sorted(want.collect())
+    plan = ledgers._dataset_bars(spark, str(traded), True)._jdf.queryExecution().executedPlan().toString()
+    assert "l_shipdate" not in plan
