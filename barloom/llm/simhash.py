@@ -22,6 +22,7 @@ import dataclasses
 import functools
 import itertools
 import math
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import work_dir
 from .common import arrow_map, bodies, free_name, group_bounds, sorted_groups, stored, texts, tiled
 from .components import components
 
@@ -295,10 +297,35 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def similar_texts(keyed: DataFrame, classes: DataFrame, row_col: str, text_col: str, near: Near) -> DataFrame:
+def _block(row: str) -> Column:
+    """The block of 1,024 neighbouring rows that a row lies in."""
+    return F.shiftright(F.col(f"`{row}`"), 10)
+
+
+def _kept_in_blocks(docs: DataFrame, row_col: str, block_col: str, text_col: str, bucket_bytes=16 << 20) -> DataFrame:
+    """`docs` with a number per row and its block's, in a table bucketed by block, so that rows are looked up without a shuffle of texts."""
+    spark = docs.sparkSession
+    total = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
+    buckets = min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / bucket_bytes)))
+    table = f"barloom_keyed_{os.urandom(6).hex()}"
+    rows = docs.withColumn(row_col, F.monotonically_increasing_id())  # consecutive inside a partition, whose number is in the upper bits
+    rows.withColumn(block_col, _block(row_col)).write.bucketBy(buckets, block_col).option("path", work_dir(spark, "keyed")).saveAsTable(table)
+    return spark.table(table)
+
+
+def _looked_up(keyed: DataFrame, chosen: DataFrame, row_col: str, block_col: str, value: str) -> DataFrame:
+    """The rows of `keyed` that `chosen` (row, `value`) names, with the value, which is never null."""
+    each = free_name(keyed, "_found")
+    entries = F.collect_list(F.struct("row", value))
+    lists = chosen.groupBy(_block("row").alias(block_col)).agg(F.map_from_entries(entries).alias(each))
+    found = keyed.join(lists, block_col).withColumn(value, F.try_element_at(each, F.col(f"`{row_col}`")))
+    return found.filter(F.col(value).isNotNull()).drop(each)
+
+
+def similar_texts(keyed: DataFrame, classes: DataFrame, row_col: str, block_col: str, text_col: str, near: Near) -> DataFrame:
     """(node, root) of texts linked by a Jaccard similarity of `near.similarity` or more.
 
-    classes: node (a row of the text), fp, bands. Texts that share a band and
+    keyed: rows in a table bucketed by block; classes: node (a row of the text), fp, bands. Texts that share a band and
     whose fingerprints the pivots do not discard form coarse groups; inside a
     group, cut into pairs of tiles of bounded bytes, the pivots discard again
     and the whole sets of shingles decide.
@@ -307,8 +334,9 @@ def similar_texts(keyed: DataFrame, classes: DataFrame, row_col: str, text_col:
     dealt = cells.repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j").select("key", "_i", "_j", "node", "fp")
     coarse = components(arrow_map(dealt, lambda it: _band_links(it, near), "a long, b long"))
     body = F.col(f"`{text_col}`").cast("string").cast("binary").alias("body")
-    rows = keyed.select(F.col(f"`{row_col}`").alias("node"), body).join(coarse, "node")
-    size = coarse.join(keyed.select(F.col(f"`{row_col}`").alias("node"), F.octet_length(body).alias("size")), "node")
+    grouped = coarse.withColumnRenamed("node", "row")
+    rows = _looked_up(keyed.select(row_col, block_col, body), grouped, row_col, block_col, "root").withColumnRenamed(row_col, "node")
+    size = _looked_up(keyed.select(row_col, block_col, F.octet_length(body).alias("size")), grouped, row_col, block_col, "root")
     size = size.groupBy("root").agg(F.greatest(F.ceil(F.sum("size") / near.tile_bytes), F.ceil(F.count("*") / near.tile)).cast("int").alias("_m"))
     own = rows.join(size.filter("_m > 1"), "root", "left").withColumn("_m", F.coalesce("_m", F.lit(1)))
     own = own.withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_m")).cast("int"))
@@ -328,12 +356,14 @@ def one_per_group(docs: DataFrame, id_col="doc_id", text_col="text", near: Near
     least digest stays, and of those the first. Null and empty texts and texts
     of blanks are equal; texts of fewer than five words are near only if equal.
     """
-    mark = free_name(docs, "_row")
-    keyed = stored(docs.withColumn(mark, F.monotonically_increasing_id()), "keyed")
+    mark, block = free_name(docs, "_row"), free_name(docs, "_block")
+    keyed = _kept_in_blocks(docs, mark, block, text_col)
     rows = stored(sketches(keyed, mark, id_col, text_col, near), "sketches")
     first = F.struct(F.col("id").isNull().alias("none"), "id", "digest", "row")
     whole = stored(rows.groupBy("digest").agg(F.min("row").alias("node"), F.min(first).alias("head")), "texts")
     classes = rows.select(F.col("row").alias("node"), "fp", "bands").join(whole.select("node"), "node", "left_semi")
-    roots = similar_texts(keyed, classes, mark, text_col, near)
+    roots = similar_texts(keyed, classes, mark, block, text_col, near)
     grouped = whole.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("head").alias("head"))
-    return keyed.join(grouped.select(F.col("head.row").alias(mark)), mark, "left_semi").drop(mark)
+    least = free_name(docs, "_least")
+    chosen = grouped.select(F.col("head.row").alias("row"), F.lit(True).alias(least))
+    return _looked_up(keyed, chosen, mark, block, least).select(*[F.col(f"`{c}`") for c in docs.columns])
